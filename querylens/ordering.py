@@ -38,25 +38,25 @@ def _before(window):
     return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def running_count(df: DataFrame, lanes: Buckets, flag: Column, out: str) -> DataFrame:
-    """Flagged rows of the group up to and including each row."""
-    marked = df.withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("bigint"))
-    totals = marked.groupBy(*lanes.keys).agg(F.sum("_flag").alias("_total"))
+def running_total(df: DataFrame, lanes: Buckets, amount: Column, out: str) -> DataFrame:
+    """Sum of ``amount`` over the rows of the group up to and including each row."""
+    marked = df.withColumn("_amount", F.coalesce(amount.cast("bigint"), F.lit(0)))
+    totals = marked.groupBy(*lanes.keys).agg(F.sum("_amount").alias("_total"))
     offsets = totals.select(
         *lanes.keys, F.coalesce(F.sum("_total").over(_before(lanes.summaries())), F.lit(0)).alias("_offset")
     )
-    local = F.sum("_flag").over(lanes.rows().rowsBetween(Window.unboundedPreceding, 0))
+    local = F.sum("_amount").over(lanes.rows().rowsBetween(Window.unboundedPreceding, 0))
     return (
         marked.withColumn("_local", local)
         .join(offsets, lanes.keys)
         .withColumn(out, F.col("_offset") + F.col("_local"))
-        .drop("_flag", "_local", "_offset")
+        .drop("_amount", "_local", "_offset")
     )
 
 
 def position(df: DataFrame, lanes: Buckets, out: str) -> DataFrame:
     """1-based rank of every row in its group."""
-    return running_count(df, lanes, F.lit(True), out)
+    return running_total(df, lanes, F.lit(1), out)
 
 
 def carry_last(df: DataFrame, lanes: Buckets, value: Column, out: str) -> DataFrame:
