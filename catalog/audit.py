@@ -490,15 +490,23 @@ def str_21(spark, sf):
     return audit_tables(spark, sf)[0].select("record_id", display.sql_label(F.col("stmt_raw"), 60).alias("label"))
 
 
+def _fixed_sql(value: str, digits: int) -> str:
+    """printf rounds exact ties to even; the formats round them up."""
+    scaled = f"({value}) * {2 ** (digits + 1)}"
+    tie = f"{scaled} = floor({scaled}) AND floor({scaled})::BIGINT % 2 = 1"
+    return f"printf('%.{digits}f', ({value}) + CASE WHEN {tie} THEN {10.0 ** -(digits + 1)} ELSE 0.0 END)"
+
+
 @query(
     "str_22_human_formats",
     sql(
-        "SELECT record_id, CASE WHEN ms < 1000 THEN printf('%.0f ms', ms::DOUBLE) WHEN ms < 60000 THEN printf('%.2f s', round(ms / 1000.0::DOUBLE, 2)) "
-        "WHEN ms < 3600000 THEN printf('%.2f min', round(ms / 60000.0::DOUBLE, 2)) ELSE printf('%.2f h', round(ms / 3600000.0::DOUBLE, 2)) END AS duration, "
-        "CASE WHEN b IS NULL THEN '-' WHEN b < 1024 THEN printf('%.1f B', b::DOUBLE) WHEN b < 1048576 THEN printf('%.1f KB', round(b / 1024.0::DOUBLE, 1)) "
-        "WHEN b < 1073741824 THEN printf('%.1f MB', round(b / 1048576.0::DOUBLE, 1)) ELSE printf('%.1f GB', round(b / 1073741824.0::DOUBLE, 1)) END AS memory, "
+        "SELECT record_id, CASE WHEN ms < 1000 THEN printf('%.0f ms', ms) "
+        f"WHEN ms < 60000 THEN {_fixed_sql('ms / 1000', 2)} || ' s' "
+        f"WHEN ms < 3600000 THEN {_fixed_sql('ms / 1000 / 60', 2)} || ' min' ELSE {_fixed_sql('ms / 1000 / 3600', 2)} || ' h' END AS duration, "
+        f"CASE WHEN b IS NULL THEN '-' WHEN b < 1024 THEN printf('%.1f B', b) WHEN b < 1048576 THEN {_fixed_sql('b / 1024', 1)} || ' KB' "
+        f"WHEN b < 1073741824 THEN {_fixed_sql('b / 1048576', 1)} || ' MB' ELSE {_fixed_sql('b / 1073741824', 1)} || ' GB' END AS memory, "
         "printf('%.2f%%', (record_id % 400 / 4.0)::DOUBLE) AS share "
-        "FROM (SELECT record_id, query_time_ms * 250 AS ms, peak_memory_bytes AS b FROM r)"
+        "FROM (SELECT record_id, (query_time_ms * 250)::DOUBLE AS ms, peak_memory_bytes::DOUBLE AS b FROM r)"
     ),
 )
 def str_22(spark, sf):

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.registry import stored, table
-from querylens.functions.sqltext import template_of
+from querylens.functions.sqltext import has_template, template_of
 from querylens.operators.dictionary import build_dictionary, encode_records
 from querylens.schemas import PARSED_FIELDS
-from querylens.session import scratch_dir
+from querylens.session import scratch_dir, stage
 from querylens.sources.sinks import write_records, write_templates
 
 DATASET = "events"
@@ -63,8 +63,14 @@ def audit_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audit_source(spark, sf_dir).withColumn("template", template_of(F.col("stmt_raw")))
-    return rows.where(F.col("template").isNotNull())
+    """Records with a template, each template worked out once."""
+
+    def build() -> DataFrame:
+        rows = audit_source(spark, sf_dir).withColumn("template", template_of(F.col("stmt_raw")))
+        return stage(rows, "templated")
+
+    rows = stored(spark, sf_dir, "templated", build)
+    return rows.where(has_template(F.col("template")))
 
 
 def audit_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

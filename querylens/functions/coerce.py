@@ -22,6 +22,9 @@ SPACE_CLASS = (
     r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
 
+# The same set as a class of its own: plain text is settled by the first two tests.
+SPACE = rf"[\s[\x{{A0}}-\x{{FEFF}}&&[{SPACE_CLASS}]]]"
+
 TRUE_WORDS = ("true", "t", "1", "yes", "y")
 FALSE_WORDS = ("false", "f", "0", "no", "n")
 
@@ -40,7 +43,7 @@ def non_blank(col: Column) -> Column:
 
 
 def collapse_space(col: Column) -> Column:
-    return trim(F.regexp_replace(col, f"[{SPACE_CLASS}]+", " "))
+    return trim(F.regexp_replace(col, f"{SPACE}+", " "))
 
 
 def first_non_blank(cols: Sequence[Column]) -> Column:

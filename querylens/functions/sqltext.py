@@ -45,20 +45,22 @@ DEFAULT_RULES: tuple[StrippingRule, ...] = (
 
 
 def normalize_statement(stmt: Column) -> Column:
-    """White space collapsed, value lists, string literals and numbers replaced, in this order."""
+    """White space collapsed, value lists, string literals and numbers replaced, in this order.
+
+    No replacement begins or ends with white space, so the text stays collapsed.
+    """
     out = collapse_space(stmt)
     out = F.regexp_replace(out, _NOT_IN_LIST, "NOT IN (?)")
     out = F.regexp_replace(out, _IN_LIST, "IN (?)")
     out = F.regexp_replace(out, _STRING, "?")
-    out = F.regexp_replace(out, _NUMBER, "?")
-    return collapse_space(out)
+    return F.regexp_replace(out, _NUMBER, "?")
 
 
 def strip_template(base: Column, rules: Sequence[StrippingRule] = DEFAULT_RULES) -> Column:
     out = base
     for rule in rules:
         out = F.regexp_replace(out, f"(?i){rule.pattern}", rule.replacement)
-    return collapse_space(out)
+    return F.when(out == base, base).otherwise(collapse_space(out))
 
 
 def applied_rules(base: Column, rules: Sequence[StrippingRule] = DEFAULT_RULES) -> Column:
@@ -72,8 +74,12 @@ def applied_rules(base: Column, rules: Sequence[StrippingRule] = DEFAULT_RULES)
 
 
 def template_of(stmt: Column, rules: Sequence[StrippingRule] = DEFAULT_RULES) -> Column:
-    """Stripped template of a statement; NULL when the statement is blank."""
-    return F.nullif(strip_template(F.nullif(normalize_statement(stmt), F.lit("")), rules), F.lit(""))
+    """Stripped template of a statement; ``''`` or NULL when there is nothing to store."""
+    return strip_template(normalize_statement(stmt), rules)
+
+
+def has_template(template: Column) -> Column:
+    return F.coalesce(template != "", F.lit(False))
 
 
 def template_key(template: Column) -> Column:

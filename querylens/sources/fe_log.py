@@ -11,7 +11,7 @@ from querylens.functions import coerce, sqltext
 from querylens.ordering import Buckets, assemble, carry_last
 from querylens.sources.lines import LINES, read_lines, without_cr
 
-_S = f"[{coerce.SPACE_CLASS}]"
+_S = coerce.SPACE
 _STAMP = rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{_S}+[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}(?:[,.][0-9]{{3,6}})?(?:Z|[+-][0-9]{{2}}:?[0-9]{{2}})?"
 RECORD_START = rf"^{_STAMP}(?:{_S}+\[[^\]]+\])?{_S}+"
 _ENTRY = rf"(?s)^{_S}*({_STAMP}){_S}+(?:\[[^\]]+\])?{_S}*(.*)\z"
@@ -76,7 +76,7 @@ def _lookup(keys: str, values: str, key: str) -> Column:
 
 
 def parse_entries(blocks: DataFrame, tz: str = "UTC") -> DataFrame:
-    """Entry text to typed columns. ``template`` is NULL for entries that cannot be stored."""
+    """Entry text to typed columns. Entries without a template cannot be stored."""
     body = F.regexp_extract("text", _ENTRY, 2)
     first_line = F.substring_index("text", "\n", 1)
     split = blocks.select(
@@ -146,7 +146,7 @@ ENTRIES = Buckets(("file",), ("split_start",), ("record_seq",))
 
 def drop_slow_twins(entries: DataFrame) -> DataFrame:
     """Drop a slow-query entry that repeats the last stored query entry of its file."""
-    stored_id = F.when(F.col("is_query") & F.col("template").isNotNull(), F.col("query_id"))
+    stored_id = F.when(F.col("is_query") & sqltext.has_template(F.col("template")), F.col("query_id"))
     carried = carry_last(entries, ENTRIES, stored_id, "_last_query_id")
     twin = F.col("is_slow") & F.col("block_query_id").eqNullSafe(F.col("_last_query_id")) & F.col(
         "block_query_id"

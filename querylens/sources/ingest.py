@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querylens.functions.sqltext import has_template
 from querylens.operators.dictionary import build_dictionary, encode_records
 from querylens.ordering import Buckets, position
 from querylens.schemas import PARSED_FIELDS
@@ -109,17 +110,17 @@ def ingest(
         union = union.unionByName(part)
     parsed = stage(union, "parsed")
 
-    accepted = number_records(parsed.where(~F.col("filtered") & F.col("template").isNotNull()))
+    stored = ~F.col("filtered") & has_template(F.col("template"))
+    accepted = number_records(parsed.where(stored))
     accepted = stage(accepted, "accepted")
     dictionary = build_dictionary(accepted, dataset_id)
     dictionary = stage(dictionary, "templates")
     records = encode_records(accepted, dictionary, dataset_id, PARSED_FIELDS)
 
-    stored = ~F.col("filtered") & F.col("template").isNotNull()
     report = parsed.groupBy("file").agg(
         F.count("*").alias("records_parsed"),
         F.count_if(stored).alias("records_inserted"),
-        F.count_if(~F.col("filtered") & F.col("template").isNull()).alias("bad_records"),
+        F.count_if(~F.col("filtered") & ~has_template(F.col("template"))).alias("bad_records"),
         F.count_if(F.col("filtered")).alias("filtered_records"),
     )
     listing = spark.createDataFrame(

@@ -59,7 +59,7 @@ def test_template(spark):
     assert got == [
         "select * from t where a = ? and b = ?",
         "select ?.5x, ?, 'open from t1 where x NOT IN (?) and y IN (?)",
-        None,
+        "",
         "select -?, 1e5, 0x1F, t1.c2 from x",
         "select ?; select ?",
     ]
