@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,12 +29,27 @@ TRUE_WORDS = ("true", "t", "1", "yes", "y")
 FALSE_WORDS = ("false", "f", "0", "no", "n")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out a single time however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _trim_ends(col: Column, space: str) -> Column:
+    """Trim only texts that begin or end with white space: most do not, and the check is cheap."""
+
+    def trimmed(text: Column) -> Column:
+        touched = F.left(text, F.lit(1)).isin(*space) | F.right(text, F.lit(1)).isin(*space)
+        return F.when(touched, F.btrim(text, F.lit(space))).otherwise(text)
+
+    return once(col, trimmed)
+
+
 def trim(col: Column) -> Column:
-    return F.btrim(col, F.lit(TEXT_SPACE))
+    return _trim_ends(col, TEXT_SPACE)
 
 
 def meta_trim(col: Column) -> Column:
-    return F.btrim(col, F.lit(META_SPACE))
+    return _trim_ends(col, META_SPACE)
 
 
 def non_blank(col: Column) -> Column:
@@ -43,7 +58,7 @@ def non_blank(col: Column) -> Column:
 
 
 def collapse_space(col: Column) -> Column:
-    return trim(F.regexp_replace(col, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(col, f"{SPACE}+", " "))
 
 
 def first_non_blank(cols: Sequence[Column]) -> Column:
@@ -66,48 +81,53 @@ def client_address(col: Column) -> Column:
     return F.regexp_replace(non_blank(col), r"(?s)^(.+):[^:]*\z", "$1")
 
 
+# Whole text: a log time, or anything else (which leaves all groups empty).
 _EVENT_TIME = (
-    r"^([0-9]{4})-([0-9]{2})-([0-9]{2})["
-    + SPACE_CLASS
-    + r"]+([0-9]{2}):([0-9]{2}):([0-9]{2})(?:[,.]([0-9]{3,6}))?(Z|[+-][0-9]{2}:?[0-9]{2})?\z"
+    rf"(?s)^(?:([0-9]{{4}})-([0-9]{{2}})-([0-9]{{2}}){SPACE}+([0-9]{{2}}):([0-9]{{2}}):([0-9]{{2}})"
+    rf"(?:[,.]([0-9]{{3,6}}))?(Z|[+-][0-9]{{2}}:?[0-9]{{2}})?|.*)\z"
 )
 
 
-def event_time_ms(col: Column, tz: str = "UTC") -> Column:
-    """Epoch milliseconds of a log time; texts without an offset are wall-clock time in ``tz``.
+def time_digits(col: Column) -> Column:
+    """``yyyyMMddHHmmss|fraction|zone`` of a log time, ``||`` for other texts."""
+    return F.regexp_replace(trim(col), _EVENT_TIME, "$1$2$3$4$5$6|$7|$8")
+
+
+def millis_of_digits(digits: Column, tz: str = "UTC") -> Column:
+    """Epoch milliseconds; texts without an offset are wall-clock time in ``tz``.
 
     Out-of-range parts roll over (month 13 is next January), which is why the civil time is summed
-    up from its parts instead of being parsed.
+    up from its parts instead of being parsed. Only digits are ever cast: a failing ``try_cast``
+    costs an exception per row.
     """
-    text = trim(col)
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, _EVENT_TIME, i)
-
-    def num(i: int) -> Column:
-        return part(i).try_cast("int")
-
-    year = F.when(num(1) < 100, num(1) + 1900).otherwise(num(1))
-    month_start = F.add_months(F.make_date(year, F.lit(1), F.lit(1)), num(2) - 1)
-    day = F.unix_date(F.date_add(month_start, num(3) - 1)).cast("bigint")
-    millis = F.coalesce(F.substring(part(7), 1, 3).try_cast("int"), F.lit(0))
-    civil = (
-        day * 86_400_000
-        + num(4).cast("bigint") * 3_600_000
-        + num(5).cast("bigint") * 60_000
-        + num(6).cast("bigint") * 1_000
-        + millis
-    )
-    zone = part(8)
-    digits = F.regexp_replace(zone, "[^0-9]", "")
-    offset_minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")
-    offset = F.when(F.startswith(zone, F.lit("-")), -offset_minutes).otherwise(offset_minutes)
-    if tz.upper() in ("UTC", "Z"):
-        local = civil
-    else:
-        local = F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(civil), tz))
-    parsed = F.when(zone == "Z", civil).when(zone != "", civil - offset.cast("bigint") * 60_000).otherwise(local)
-    return F.when(text.rlike(_EVENT_TIME), parsed)
+
+    def part(number: Column, unit: int, modulus: int = 100) -> Column:
+        return (F.call_function("div", number, F.lit(unit)) % modulus).cast("int")
+
+    def civil(number: Column) -> Column:
+        year = part(number, 10**10, 10_000)
+        full_year = year + F.when(year < 100, 1900).otherwise(0)
+        month_start = F.add_months(F.make_date(full_year, F.lit(1), F.lit(1)), part(number, 10**8) - 1)
+        day = F.unix_date(F.date_add(month_start, part(number, 10**6) - 1)).cast("bigint")
+        seconds = (part(number, 10**4) * 60 + part(number, 100)) * 60 + part(number, 1)
+        return day * 86_400_000 + seconds.cast("bigint") * 1000
+
+    def instant(text: Column) -> Column:
+        fraction = F.substring(F.split_part(text, F.lit("|"), F.lit(2)), 1, 3)
+        wall = once(F.substring(text, 1, 14).cast("bigint"), civil) + F.when(
+            fraction != "", fraction.cast("int")
+        ).otherwise(0)
+        zone = F.replace(F.split_part(text, F.lit("|"), F.lit(3)), F.lit(":"), F.lit(""))
+        minutes = F.substring(zone, 2, 2).cast("bigint") * 60 + F.substring(zone, 4, 2).cast("bigint")
+        sign = F.when(F.startswith(zone, F.lit("-")), -60_000).otherwise(60_000)
+        local = wall if tz.upper() in ("UTC", "Z") else F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(wall), tz))
+        return F.when(zone == "", local).when(zone == "Z", wall).otherwise(wall - minutes * sign)
+
+    return F.when(digits != "||", once(digits, instant))
+
+
+def event_time_ms(col: Column, tz: str = "UTC") -> Column:
+    return millis_of_digits(time_digits(col), tz)
 
 
 def loose_unsigned(col: Column) -> Column:

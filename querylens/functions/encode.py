@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from querylens.functions.coerce import trim
+from querylens.functions.coerce import once, trim
 
 # Two private-use characters stand for already decoded escapes while the rest is decoded.
 _BACKSLASH_MARK = "\ue000"
@@ -31,11 +31,14 @@ def unescape_export(col: Column) -> Column:
     return F.replace(out, F.lit(_BACKSLASH_MARK), F.lit("\\"))
 
 
-def export_text(col: Column) -> Column:
+def export_text(field: Column) -> Column:
     """Exported field to text: blank, ``\\N`` and ``null`` mean NULL."""
-    text = trim(col)
-    is_null = text.isin("", "\\N") | (F.lower(text) == "null")
-    return F.when(~is_null, F.when(F.contains(text, F.lit("\\")), unescape_export(text)).otherwise(text))
+
+    def decoded(text: Column) -> Column:
+        is_null = text.isin("", "\\N") | (F.lower(text) == "null")
+        return F.when(~is_null, F.when(F.contains(text, F.lit("\\")), unescape_export(text)).otherwise(text))
+
+    return once(trim(field), decoded)
 
 
 # Escapes inside a dumped string literal.
@@ -63,8 +66,6 @@ def split_quoted(line: Column, delimiter: str) -> Column:
     d = "\\t" if delimiter == "\t" else delimiter
     token = rf'{d}("(?:[^"]++|"")*+"[^{d}]*+|[^{d}"][^{d}]*+|)'
     led = F.concat(F.lit(delimiter), line)
-    fields = F.regexp_extract_all(led, F.lit(token), 1)
-    matched = F.length(F.array_join(fields, delimiter)) + 1
     quoted = r'(?s)^"((?:[^"]++|"")*+)"(.*)\z'
 
     def plain(field: Column) -> Column:
@@ -73,5 +74,10 @@ def split_quoted(line: Column, delimiter: str) -> Column:
             F.startswith(field, F.lit('"')), F.concat(inner, F.regexp_extract(field, quoted, 2))
         ).otherwise(field)
 
-    tokens = F.when(matched == F.length(led), F.transform(fields, plain))
+    def whole(fields: Column) -> Column:
+        complete = F.length(F.array_join(fields, delimiter)) == F.length(line)
+        return F.when(complete, F.transform(fields, plain))
+
+    tokens = once(F.regexp_extract_all(led, F.lit(token), 1), whole)
     return F.when(F.contains(line, F.lit('"')), tokens).otherwise(F.split(line, d))
+

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,10 +78,50 @@ def field_keys(names: Column, aliases: dict[str, tuple[str, ...]]) -> Column:
     return F.transform(names, lambda n: F.coalesce(F.try_element_at(table, F.lower(coerce.trim(n))), F.lit("")))
 
 
-def positional_keys() -> Column:
-    return F.array(*[F.lit(name or "") for name in POSITIONAL])
+FIELDS = tuple(DUMP_ALIASES)
+
+
+def field_positions(keys: Column) -> Column:
+    """1-based column of every one of ``FIELDS``, 0 where it is missing; the first column wins."""
+    names = F.array(*[F.lit(f) for f in FIELDS])
+    return coerce.once(keys, lambda k: F.transform(names, lambda f: F.array_position(k, f).cast("int")))
+
+
+def default_positions() -> Column:
+    return F.array(*[F.lit(POSITIONAL.index(f) + 1 if f in POSITIONAL else 0) for f in FIELDS])
+
 
+def field_texts(values: Column, positions: Column, decode: Callable[[Column], Column]) -> Column:
+    """Decoded value of every one of ``FIELDS``.
 
-def pick(values: Column, keys: Column, field: str) -> Column:
-    """Value of the first column that stands for ``field``."""
-    return F.get(values, F.array_position(keys, field).cast("int") - 1)
+    One array expression instead of one expression per field: the generated code stays small
+    enough for the JVM to compile it.
+    """
+    return coerce.once(
+        values, lambda row: F.transform(positions, lambda p: coerce.once(F.get(row, p - 1), decode))
+    )
+
+
+def named_texts(texts: str) -> list[Column]:
+    return [F.col(texts)[i].alias(f) for i, f in enumerate(FIELDS)]
+
+
+def typed_columns(tz: str) -> list[Column]:
+    """Parsed record columns from text columns named like the fields, and ``_time`` digits."""
+    numbers = ("query_time_ms", "cpu_time_ms", "scan_bytes", "scan_rows", "return_rows", "peak_memory_bytes")
+    return [
+        coerce.millis_of_digits(F.col("_time"), tz).alias("event_time_ms"),
+        coerce.loose_bool(F.col("is_internal")).alias("is_internal"),
+        "query_id",
+        "user_name",
+        coerce.client_address(F.col("client_ip")).alias("client_ip"),
+        "fe_ip",
+        "db_name",
+        "state",
+        coerce.prefix_int(F.col("error_code")).try_cast("int").alias("error_code"),
+        "error_message",
+        *[coerce.prefix_int(F.col(f)).alias(f) for f in numbers],
+        "workload_group",
+        "cloud_cluster_name",
+        "stmt_raw",
+    ]

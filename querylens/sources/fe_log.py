@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from querylens.functions import coerce, sqltext
 from querylens.ordering import Buckets, assemble, carry_last
+from querylens.sources.columns import typed_columns
 from querylens.sources.lines import LINES, read_lines, without_cr
 
 _S = coerce.SPACE
@@ -71,8 +72,20 @@ def key_values(body: Column) -> tuple[Column, Column]:
     return F.reverse(keys), F.reverse(values)
 
 
-def _lookup(keys: str, values: str, key: str) -> Column:
-    return F.get(F.col(values), F.array_position(F.col(keys), key).cast("int") - 1)
+_ALIASES = [(field, alias) for field, aliases in KEY_ALIASES.items() for alias in aliases]
+
+
+def alias_values(keys: Column, values: Column) -> Column:
+    """Trimmed value of every spelling in ``_ALIASES``, NULL where the key is missing."""
+    names = F.array(*[F.lit(alias) for _, alias in _ALIASES])
+
+    def all_aliases(entry: Column) -> Column:
+        def value(alias: Column) -> Column:
+            return F.get(entry["values"], F.array_position(entry["keys"], alias).cast("int") - 1)
+
+        return F.transform(names, lambda alias: coerce.trim(value(alias)))
+
+    return coerce.once(F.struct(keys.alias("keys"), values.alias("values")), all_aliases)
 
 
 def parse_entries(blocks: DataFrame, tz: str = "UTC") -> DataFrame:
@@ -88,56 +101,40 @@ def parse_entries(blocks: DataFrame, tz: str = "UTC") -> DataFrame:
         body.alias("_body"),
     )
     keys, values = key_values(F.col("_body"))
-    split = split.select("*", keys.alias("_keys"), values.alias("_values"))
+    split = split.withColumn("_found", alias_values(keys, values))
 
-    def raw(field: str) -> list[Column]:
-        return [_lookup("_keys", "_values", alias) for alias in KEY_ALIASES[field]]
+    def found(field: str) -> list[Column]:
+        return [F.col("_found")[i] for i, (name, _) in enumerate(_ALIASES) if name == field]
 
     def text(field: str) -> Column:
-        return coerce.first_non_blank(raw(field))
-
-    def number(field: str) -> Column:
-        return F.coalesce(*[coerce.prefix_int(c) for c in raw(field)])
-
-    stmt = coerce.trim(raw("stmt_raw")[0])
-    parsed = split.select(
-        "file",
-        "split_start",
-        "record_seq",
-        "is_slow",
+        """First spelling with a value; a flag or statement counts even when it is blank."""
+        if field in ("is_internal", "stmt_raw"):
+            return F.coalesce(*found(field))
+        return F.coalesce(*[F.when(c != "", c) for c in found(field)])
+
+    place = ["file", "split_start", "record_seq", "is_slow", "block_query_id"]
+    texts = split.select(
+        *place,
         (F.col("_query_tag") & ~F.col("is_slow")).alias("is_query"),
-        "block_query_id",
-        F.coalesce(
-            coerce.event_time_ms(text("timestamp"), tz), coerce.event_time_ms(F.col("_prefix_time"), tz)
-        ).alias("event_time_ms"),
-        coerce.loose_bool(F.coalesce(*raw("is_internal"))).alias("is_internal"),
-        text("query_id").alias("query_id"),
-        text("user_name").alias("user_name"),
-        coerce.client_address(text("client_ip")).alias("client_ip"),
-        text("fe_ip").alias("fe_ip"),
-        text("db_name").alias("db_name"),
-        text("state").alias("state"),
-        number("error_code").try_cast("int").alias("error_code"),
-        text("error_message").alias("error_message"),
-        *[
-            number(f).alias(f)
-            for f in (
-                "query_time_ms",
-                "cpu_time_ms",
-                "scan_bytes",
-                "scan_rows",
-                "return_rows",
-                "peak_memory_bytes",
-            )
-        ],
-        text("workload_group").alias("workload_group"),
-        text("cloud_cluster_name").alias("cloud_cluster_name"),
-        stmt.alias("stmt_raw"),
-        text("queried_tables").alias("queried_tables"),
-        (F.col("_prefix_time") != "").alias("_is_entry"),
+        F.col("_prefix_time"),
+        *[text(field).alias(field) for field in KEY_ALIASES],
+    )
+    timed = texts.select(
+        "*",
+        coerce.time_digits(F.col("timestamp")).alias("_time"),
+        coerce.time_digits(F.col("_prefix_time")).alias("_line_time"),
+    )
+    event_time, *others = typed_columns(tz)
+    line_time = coerce.millis_of_digits(F.col("_line_time"), tz)
+    parsed = timed.select(
+        *place,
+        "is_query",
+        F.coalesce(event_time, line_time).alias("event_time_ms"),
+        *others,
+        "queried_tables",
+        F.when(F.col("_prefix_time") != "", F.col("stmt_raw")).alias("_entry_stmt"),
     )
-    template = F.when(F.col("_is_entry"), sqltext.template_of(F.col("stmt_raw")))
-    return parsed.withColumn("template", template).drop("_is_entry")
+    return parsed.withColumn("template", sqltext.template_of(F.col("_entry_stmt"))).drop("_entry_stmt")
 
 
 # Entries of a file, bucketed by the split their first line is in.

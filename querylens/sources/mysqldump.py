@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from querylens.functions import coerce, encode, sqltext
 from querylens.ordering import Buckets, assemble
-from querylens.sources.columns import DUMP_ALIASES, field_keys, pick, positional_keys
+from querylens.sources.columns import (
+    DUMP_ALIASES,
+    default_positions,
+    field_keys,
+    field_positions,
+    field_texts,
+    named_texts,
+    typed_columns,
+)
 from querylens.sources.lines import LINES, read_lines
 
 MAX_STATEMENT_CHARS = 64 * 1024 * 1024
@@ -186,9 +194,9 @@ def parse_inserts(stmts: DataFrame) -> DataFrame:
     return headed.select(
         *LINES.keys,
         "statement_seq",
-        F.when(F.size("_names") > 0, field_keys(F.col("_names"), DUMP_ALIASES))
-        .otherwise(positional_keys())
-        .alias("keys"),
+        F.when(F.size("_names") > 0, field_positions(field_keys(F.col("_names"), DUMP_ALIASES)))
+        .otherwise(default_positions())
+        .alias("positions"),
         F.when(F.col("_headed"), F.regexp_extract_all("_good", F.lit(rf"(?s){_TUPLE}"), 0)).alias("tuples"),
         reason.alias("reason"),
         snippet(F.left(F.col("sql"), F.lit(10_000))).alias("snippet"),
@@ -200,68 +208,39 @@ def rejects(inserts: DataFrame) -> DataFrame:
 
 
 def _token_text(token: Column) -> Column:
-    """Text of one dumped value; NULL for the word ``null``."""
-    bare = coerce.trim(token)
-    shown = (
-        F.when(F.lower(bare) == "null", F.lit(None).cast("string"))
-        .when(bare.rlike(r"^-?[0-9]+\z"), F.coalesce(bare.try_cast("bigint").cast("string"), bare))
-        .when(
-            bare.rlike(r"^-?[0-9]+\.[0-9]+\z"),
-            F.regexp_replace(F.regexp_replace(bare, r"^(-?)0+(?=[0-9])", "$1"), r"\.?0+\z", ""),
+    """Trimmed text of one dumped value; NULL for blank text and the word ``null``."""
+
+    def unquoted(bare: Column) -> Column:
+        return (
+            F.when(bare.rlike(r"^-?[0-9]+\z"), F.coalesce(bare.try_cast("bigint").cast("string"), bare))
+            .when(
+                bare.rlike(r"^-?[0-9]+\.[0-9]+\z"),
+                F.regexp_replace(F.regexp_replace(bare, r"^(-?)0+(?=[0-9])", "$1"), r"\.?0+\z", ""),
+            )
+            .when(F.lower(bare).isin("true", "false"), F.lower(bare))
+            .otherwise(bare)
         )
-        .when(F.lower(bare).isin("true", "false"), F.lower(bare))
-        .otherwise(bare)
-    )
-    quoted = encode.decode_dump_string(F.substr(token, F.lit(2), F.length(token) - 2))
-    return F.when(F.startswith(token, F.lit("'")), quoted).otherwise(shown)
+
+    inner = F.substr(token, F.lit(2), F.length(token) - 2)
+    escaped = F.contains(token, F.lit("\\")) | F.contains(inner, F.lit("''"))
+    quoted = F.when(escaped, encode.decode_dump_string(inner)).otherwise(inner)
+    text = F.when(F.startswith(token, F.lit("'")), quoted).otherwise(coerce.once(coerce.trim(token), unquoted))
+    return coerce.once(coerce.trim(text), lambda t: F.when((t != "") & (F.lower(t) != "null"), t))
 
 
 def tuple_records(inserts: DataFrame, tz: str = "UTC") -> DataFrame:
     """One parsed row per tuple, in file order."""
     rows = inserts.select(
-        *LINES.keys, "statement_seq", "keys", F.posexplode("tuples").alias("tuple_pos", "_tuple")
+        *LINES.keys, "statement_seq", "positions", F.posexplode("tuples").alias("tuple_pos", "_tuple")
     )
     rows = rows.withColumn(
         "_values", F.regexp_extract_all(F.substr(F.col("_tuple"), F.lit(2)), F.lit(rf"(?s){_VALUE}"), 0)
     )
 
-    def text(field: str) -> Column:
-        value = coerce.trim(_token_text(pick(F.col("_values"), F.col("keys"), field)))
-        return F.when((value != "") & (F.lower(value) != "null"), value)
-
-    def number(field: str) -> Column:
-        return coerce.prefix_int(text(field))
-
-    parsed = rows.select(
-        "file",
-        "split_start",
-        "statement_seq",
-        "tuple_pos",
-        coerce.event_time_ms(text("time"), tz).alias("event_time_ms"),
-        coerce.loose_bool(text("is_internal")).alias("is_internal"),
-        text("query_id").alias("query_id"),
-        text("user_name").alias("user_name"),
-        coerce.client_address(text("client_ip")).alias("client_ip"),
-        text("fe_ip").alias("fe_ip"),
-        text("db_name").alias("db_name"),
-        text("state").alias("state"),
-        number("error_code").try_cast("int").alias("error_code"),
-        text("error_message").alias("error_message"),
-        *[
-            number(f).alias(f)
-            for f in (
-                "query_time_ms",
-                "cpu_time_ms",
-                "scan_bytes",
-                "scan_rows",
-                "return_rows",
-                "peak_memory_bytes",
-            )
-        ],
-        text("workload_group").alias("workload_group"),
-        text("cloud_cluster_name").alias("cloud_cluster_name"),
-        text("stmt_raw").alias("stmt_raw"),
-    )
+    place = ["file", "split_start", "statement_seq", "tuple_pos"]
+    rows = rows.withColumn("_texts", field_texts(F.col("_values"), F.col("positions"), _token_text))
+    timed = rows.select(*place, *named_texts("_texts")).withColumn("_time", coerce.time_digits(F.col("time")))
+    parsed = timed.select(*place, *typed_columns(tz))
     return parsed.withColumn("is_noise", is_noise(F.col("stmt_raw"))).withColumn(
         "template", sqltext.template_of(F.col("stmt_raw"))
     )

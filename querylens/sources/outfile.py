@@ -10,22 +10,29 @@ from pyspark.sql import functions as F
 from querylens.functions import coerce, encode, sqltext
 from querylens.sources.columns import (
     EXPORT_ALIASES,
+    FIELDS,
     POSITIONAL,
     REQUIRED_IN_HEADER,
+    default_positions,
     field_keys,
-    pick,
-    positional_keys,
+    field_positions,
+    field_texts,
+    named_texts,
+    typed_columns,
 )
 from querylens.sources.lines import read_lines, without_cr
 
 
-def header_keys(fields: Column) -> Column:
-    """Canonical column fields when the line is a header, else NULL."""
-    keys = field_keys(fields, EXPORT_ALIASES)
-    named = F.size(fields) >= 3
-    for field in REQUIRED_IN_HEADER:
-        named = named & F.array_contains(keys, field)
-    return F.when(named, keys)
+def header_positions(fields: Column) -> Column:
+    """Columns of the known fields when the line is a header, else NULL."""
+
+    def checked(positions: Column) -> Column:
+        named = F.size(fields) >= 3
+        for field in REQUIRED_IN_HEADER:
+            named = named & (positions[FIELDS.index(field)] > 0)
+        return F.when(named, positions)
+
+    return coerce.once(field_positions(field_keys(fields, EXPORT_ALIASES)), checked)
 
 
 def line_delimiter(line: Column) -> Column:
@@ -33,35 +40,27 @@ def line_delimiter(line: Column) -> Column:
     out = F.lit(None).cast("string")
     for delimiter in (",", "\t"):
         fields = encode.split_quoted(line, delimiter)
-        fits = (F.size(fields) == len(POSITIONAL)) | header_keys(fields).isNotNull()
+        fits = (F.size(fields) == len(POSITIONAL)) | header_positions(fields).isNotNull()
         out = F.when(F.coalesce(fits, F.lit(False)), F.lit(delimiter)).otherwise(out)
     return out
 
 
-def _last_known(keys: Column) -> Column:
-    """Index of the last column that is the first to stand for its field."""
-    used = F.transform(
-        keys, lambda k, i: F.when((k != "") & (F.array_position(keys, k) == i + 1), i).otherwise(F.lit(-1))
-    )
-    return F.array_max(used)
-
-
 def header_lines(lines: DataFrame, delimiter: str) -> DataFrame:
-    """First header line of every file that has one: ``file, h_split, h_line, h_keys``."""
+    """First header line of every file that has one: ``file, h_split, h_line, h_positions``."""
     lowered = F.lower("value")
     possible = lines.where(
         F.contains(lowered, F.lit("query_id"))
         & F.contains(lowered, F.lit("time"))
         & F.contains(lowered, F.lit("client_ip"))
     )
-    keys = header_keys(encode.split_quoted(F.col("value"), delimiter))
-    found = possible.withColumn("keys", keys).where(F.col("keys").isNotNull())
-    first = F.min(F.struct("split_start", "line_key", "keys"))
+    positions = header_positions(encode.split_quoted(F.col("value"), delimiter))
+    found = possible.withColumn("positions", positions).where(F.col("positions").isNotNull())
+    first = F.min(F.struct("split_start", "line_key", "positions"))
     return found.groupBy("file").agg(first.alias("h")).select(
         "file",
         F.col("h.split_start").alias("h_split"),
         F.col("h.line_key").alias("h_line"),
-        F.col("h.keys").alias("h_keys"),
+        F.col("h.positions").alias("h_positions"),
     )
 
 
@@ -83,48 +82,17 @@ def read_outfile(
         "split_start",
         F.col("line_key").alias("record_seq"),
         encode.split_quoted(F.col("value"), delimiter).alias("_fields"),
-        F.when(after, F.col("h_keys")).otherwise(positional_keys()).alias("_keys"),
+        F.when(after, F.col("h_positions")).otherwise(default_positions()).alias("_positions"),
         after.alias("_named"),
     )
-    wide_enough = F.when(F.col("_named"), F.size("_fields") > _last_known(F.col("_keys"))).otherwise(
+    wide_enough = F.when(F.col("_named"), F.size("_fields") >= F.array_max("_positions")).otherwise(
         F.size("_fields") == len(POSITIONAL)
     )
     split = split.withColumn("valid", F.col("_fields").isNotNull() & wide_enough)
 
-    def text(field: str) -> Column:
-        return F.when(F.col("valid"), encode.export_text(pick(F.col("_fields"), F.col("_keys"), field)))
-
-    def number(field: str) -> Column:
-        return coerce.prefix_int(text(field))
-
-    parsed = split.select(
-        "file",
-        "split_start",
-        "record_seq",
-        "valid",
-        coerce.event_time_ms(text("time"), tz).alias("event_time_ms"),
-        F.lit(None).cast("boolean").alias("is_internal"),
-        text("query_id").alias("query_id"),
-        text("user_name").alias("user_name"),
-        coerce.client_address(text("client_ip")).alias("client_ip"),
-        text("fe_ip").alias("fe_ip"),
-        text("db_name").alias("db_name"),
-        text("state").alias("state"),
-        number("error_code").try_cast("int").alias("error_code"),
-        text("error_message").alias("error_message"),
-        *[
-            number(f).alias(f)
-            for f in (
-                "query_time_ms",
-                "cpu_time_ms",
-                "scan_bytes",
-                "scan_rows",
-                "return_rows",
-                "peak_memory_bytes",
-            )
-        ],
-        text("workload_group").alias("workload_group"),
-        text("cloud_cluster_name").alias("cloud_cluster_name"),
-        text("stmt_raw").alias("stmt_raw"),
-    )
+    place_columns = ["file", "split_start", "record_seq", "valid"]
+    decoded = field_texts(F.col("_fields"), F.col("_positions"), encode.export_text)
+    texts = split.withColumn("_texts", F.when(F.col("valid"), decoded)).select(*place_columns, *named_texts("_texts"))
+    timed = texts.withColumn("_time", coerce.time_digits(F.col("time")))
+    parsed = timed.select(*place_columns, *typed_columns(tz))
     return parsed.withColumn("template", sqltext.template_of(F.col("stmt_raw")))
