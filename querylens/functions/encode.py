@@ -64,9 +64,9 @@ def split_quoted(line: Column, delimiter: str) -> Column:
     after the closing quote belongs to the field.
     """
     d = "\\t" if delimiter == "\t" else delimiter
-    token = rf'{d}("(?:[^"]++|"")*+"[^{d}]*+|[^{d}"][^{d}]*+|)'
+    token = rf'{d}("(?:[^"]+|"")*+"[^{d}]*|[^{d}"][^{d}]*|)'
     led = F.concat(F.lit(delimiter), line)
-    quoted = r'(?s)^"((?:[^"]++|"")*+)"(.*)\z'
+    quoted = r'(?s)^"((?:[^"]+|"")*+)"(.*)\z'
 
     def plain(field: Column) -> Column:
         inner = F.replace(F.regexp_extract(field, quoted, 1), F.lit('""'), F.lit('"'))

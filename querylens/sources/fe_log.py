@@ -64,7 +64,7 @@ def record_blocks(lines: DataFrame) -> DataFrame:
 
 def key_values(body: Column) -> tuple[Column, Column]:
     """Lower-cased keys and their values, latest first, so that the first match is the last entry."""
-    tail = F.rtrim(body, F.lit(coerce.TEXT_SPACE))
+    tail = coerce.trim(body)
     closed = F.when(F.endswith(tail, F.lit("|")), F.left(tail, F.length(tail) - 1)).otherwise(tail)
     keys = F.split(F.lower(F.array_join(F.regexp_extract_all(body, F.lit(_KEY), 1), "|")), r"\|")
     pieces = F.split(closed, _KEY)

@@ -42,14 +42,14 @@ NOISE_PREFIXES = (
     "set session transaction isolation level",
 )
 
-_CLOSED = r"(?:[^']++|'(?:[^'\\]++|\\.)*+')*+"
-_TO_QUOTE = r"(?:[^'\\]++|\\.)*+'"
+_CLOSED = r"(?:[^']+|'(?:[^'\\]+|\\.)*+')*+"
+_TO_QUOTE = r"(?:[^'\\]+|\\.)*+'"
 
 _NAME = r"(?:`(?:[^`]++|``)*+`|[A-Za-z0-9_$]++)"
 _TARGET = rf"(?is)^{_S}*+{_INSERT}{_S}++(?:{_NAME}{_S}*+\.{_S}*+)?{_NAME}{_S}*+"
 _COLUMNS = rf"(?:\((?:{_S}*+{_NAME}{_S}*+(?:,|(?=\))))*+{_S}*+\))"
 _HEAD = rf"{_TARGET}({_COLUMNS}?){_S}*+values(?![A-Za-z0-9_$])"
-_VALUE = rf"(?:'(?:[^'\\]++|\\.|'')*+'|[^{coerce.SPACE_CLASS}',)][^,)]*+)"
+_VALUE = rf"(?:'(?:[^'\\]+|\\.|'')*+'|(?!{_S})[^',)][^,)]*+)"
 _TUPLE = rf"\({_S}*+(?:{_VALUE}{_S}*+,{_S}*+)*+(?:{_VALUE}{_S}*+)?\)"
 _TUPLES = rf"(?s)^(?:{_S}*+{_TUPLE}{_S}*+,)*+(?:{_S}*+{_TUPLE})?"
 
@@ -114,11 +114,11 @@ _FRAGMENTS = Buckets(("file",), ("split_start",), ("line_key", "pos"))
 def statements(lines: DataFrame, max_chars: int = MAX_STATEMENT_CHARS) -> DataFrame:
     """``file, split_start, statement_seq, sql, n_chars, oversized``, split at ``;`` outside strings."""
     text = F.concat(F.col("value"), F.lit("\n"))
-    opened = rf"(?s)^(?:[^'\\]++|\\.)*+(?:'|\z)"
+    opened = rf"(?s)^(?:[^'\\]+|\\.)*+(?:'|\z)"
     lead = F.when(F.col("in_string"), F.regexp_extract(text, opened, 0)).otherwise(F.lit(""))
     rest = F.substr(text, F.length(lead) + 1)
     pieces = F.regexp_extract_all(
-        rest, F.lit(r"(?s)(?:[^';]++|'(?:[^'\\]++|\\.)*+(?:'|\z))*+(?:;|\z)"), 0
+        rest, F.lit(r"(?s)(?:[^';]+|'(?:[^'\\]+|\\.)*+(?:'|\z))*+(?:;|\z)"), 0
     )
     # The rest of a line ends with its line break, so only closed pieces end with a semicolon.
     fragments = (
