@@ -14,6 +14,7 @@ from querylens.schema_audit.findings import collected, score
 from querylens.schema_audit.future import mark_future, window_columns
 from querylens.schema_audit.inputs import KEY, catalogue_properties, ddl_properties, merged_properties
 from querylens.schema_audit.timeline import ORDERED, counted, timeline, with_slices
+from querylens.session import stage
 
 SAMPLES = 5
 
@@ -213,12 +214,16 @@ def schema_audit_detail(
     default_zone: str = "UTC",
     config: rules.BucketConfig | None = None,
 ) -> DataFrame:
-    """``database, table, total, findings, finding_count, score`` for every table in ``ddl``."""
+    """``database, table, total, findings, finding_count, score`` for every table in ``ddl``.
+
+    Settings, classified partitions and the timeline each feed several rules, so they are written
+    once below ``spark.checkpoint.dir``.
+    """
     cfg = (config or rules.BucketConfig()).normalized()
-    tables = table_settings(ddl, properties, as_of, default_zone)
-    marked = mark_future(partitions, tables)
+    tables = stage(table_settings(ddl, properties, as_of, default_zone), "settings")
+    marked = stage(mark_future(partitions, tables), "classified")
     stats = empty_stats(marked)
-    ordered = timeline(marked)
+    ordered = stage(timeline(marked), "timeline")
     small, large = anomaly_samples(partitions, cfg)
     facts = tables
     for part in (

@@ -19,7 +19,7 @@ UNITS = ("HOUR", "DAY", "WEEK", "MONTH", "YEAR")
 
 def known_zones() -> list[str]:
     """Zone names that the JVM knows too."""
-    return sorted(z for z in zoneinfo.available_timezones() if re.match(r"^[A-Z]", z) and z != "ROC")
+    return sorted(z for z in zoneinfo.available_timezones() if re.match(r"^[A-Z]", z) and z not in ("ROC", "Factory"))
 
 
 def lower_bound_us(text: Column) -> Column:
