@@ -49,16 +49,17 @@ def tree_rest(line: Column) -> Column:
 def with_form(lines: DataFrame) -> DataFrame:
     """Add ``is_tree_line`` (a tree node), ``bad_header`` and ``form`` (tree wins over plan)."""
     rest = tree_rest(F.col("line"))
-    looks = F.startswith(rest, F.lit("[")) & F.contains(rest, F.lit("]||"))
-    segments = F.filter(F.transform(F.split(rest, r"\|\|"), coerce.trim), lambda s: s != "")
-    marked = lines.withColumn("segments", F.when(looks, segments))
-    header = F.get("segments", F.lit(0))
-    known = F.coalesce(header.rlike(_TREE_HEADER), F.lit(False))
-    marked = marked.withColumn("is_tree_line", known).withColumn("bad_header", F.coalesce(looks, F.lit(False)) & ~known)
+    looks = F.coalesce(F.startswith(rest, F.lit("[")) & F.contains(rest, F.lit("]||")), F.lit(False))
+    known = looks & coerce.trim(F.substring_index(rest, "||", 1)).rlike(_TREE_HEADER)
+    marked = lines.withColumn("is_tree_line", known).withColumn("bad_header", looks & ~known)
     has_tree = F.max("is_tree_line").over(whole_doc())
     return marked.withColumn("form", F.when(has_tree, "tree").otherwise("plan"))
 
 
+def tree_segments(line: Column) -> Column:
+    return F.filter(F.transform(F.split(tree_rest(line), r"\|\|"), coerce.trim), lambda s: s != "")
+
+
 def tree_header(segments: Column) -> tuple[Column, Column, Column]:
     """Ids text, node id and operator."""
     header = F.get(segments, F.lit(0))
