@@ -224,12 +224,12 @@ def schema_audit_detail(
     marked = stage(mark_future(partitions, tables), "classified")
     stats = empty_stats(marked)
     ordered = stage(timeline(marked), "timeline")
-    small, large = anomaly_samples(partitions, cfg)
+    small, large = anomaly_samples(marked, cfg)
     facts = tables
     for part in (
         stats,
         tail_stats(ordered, stats),
-        bucket_stats(partitions, cfg),
+        bucket_stats(marked, cfg),
         small,
         large,
         jump_stats(bucket_jumps(ordered, cfg.tolerance)),

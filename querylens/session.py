@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app_name: str = "querylens", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,3 +47,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def broadcast_if_small(staged: DataFrame, row_bytes: int, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a staged table whose counted rows stay below the limit; otherwise leave the join to Spark.
+
+    Past the limit the big side is shuffled, and adaptive execution splits the partitions of hot keys.
+    """
+    return F.broadcast(staged) if staged.count() * row_bytes <= limit_bytes else staged

@@ -114,7 +114,6 @@ def ingest(
     accepted = number_records(parsed.where(stored))
     accepted = stage(accepted, "accepted")
     dictionary = build_dictionary(accepted, dataset_id)
-    dictionary = stage(dictionary, "templates")
     records = encode_records(accepted, dictionary, dataset_id, PARSED_FIELDS)
 
     report = parsed.groupBy("file").agg(

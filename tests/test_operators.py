@@ -110,3 +110,19 @@ def test_bucketed_windows_match_plain_ones(spark):
         last[r.g] = r.v if r.v is not None else last[r.g]
     ids = dense_ids(spark.range(0, 50, 7).withColumnRenamed("id", "x"), "x", "n", bucket_rows_log2=3)
     assert values(ids.orderBy("x"), "n") == [(i,) for i in range(1, 9)]
+
+
+def test_dictionary_is_the_same_without_broadcast(spark):
+    from querylens.operators.dictionary import build_dictionary, encode_records
+
+    rows = [(i, f"t{(i * i) % 7}", f"select 1 from x{(i * i) % 7}", "d") for i in range(100)]
+    accepted = spark.createDataFrame(rows, "record_id long, template string, stmt_raw string, db_name string")
+    results = []
+    for limit in (0, 10**9):
+        words = build_dictionary(accepted, "ds", limit)
+        coded = encode_records(accepted, words, "ds", ["db_name"], limit)
+        results.append(
+            (values(words.orderBy("stripped_template_id")), values(coded.orderBy("record_id"), "record_id", "stripped_template_id"))
+        )
+    assert results[0] == results[1]
+    assert [r[1:4] for r in results[0][0]] == [(1, "t0", "d.x0"), (2, "t1", "d.x1"), (3, "t4", "d.x4"), (4, "t2", "d.x2")]
