@@ -48,10 +48,11 @@ def tree_rest(line: Column) -> Column:
 
 def with_form(lines: DataFrame) -> DataFrame:
     """Add ``is_tree_line`` (a tree node), ``bad_header`` and ``form`` (tree wins over plan)."""
-    rest = tree_rest(F.col("line"))
-    looks = F.coalesce(F.startswith(rest, F.lit("[")) & F.contains(rest, F.lit("]||")), F.lit(False))
-    known = looks & coerce.trim(F.substring_index(rest, "||", 1)).rlike(_TREE_HEADER)
-    marked = lines.withColumn("is_tree_line", known).withColumn("bad_header", looks & ~known)
+    rested = lines.withColumn("_rest", tree_rest(F.col("line")))
+    looks = F.coalesce(F.startswith("_rest", F.lit("[")) & F.contains("_rest", F.lit("]||")), F.lit(False))
+    header = F.when(looks, coerce.trim(F.substring_index("_rest", "||", 1)))
+    known = F.coalesce(header.rlike(_TREE_HEADER), F.lit(False))
+    marked = rested.withColumn("is_tree_line", known).withColumn("bad_header", looks & ~F.col("is_tree_line")).drop("_rest")
     has_tree = F.max("is_tree_line").over(whole_doc())
     return marked.withColumn("form", F.when(has_tree, "tree").otherwise("plan"))
 
