@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from llm import byte_bpe
+from llm import byte_bpe, exact_dedup
 
 QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1,
     "op8_byte_bpe": byte_bpe.op8,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": exact_dedup.OP1_SQL,
+}
