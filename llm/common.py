@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from querylens.session import scratch_dir, stage
 
-__all__ = ["documents", "fold", "heavy_join", "scratch_dir", "shuffle_width", "stage", "strings", "table", "texts_in_slices"]
+__all__ = ["documents", "fold", "salted_join", "scratch_dir", "shuffle_width", "stage", "strings", "table", "texts_in_slices"]
 
 #: ASCII white space as the contracts write it: blank and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\f\r"
@@ -53,17 +53,8 @@ def texts_in_slices(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterat
             start = stop
 
 
-def heavy_join(rows: DataFrame, small: DataFrame, key: str, count: str, share: int = 1000) -> DataFrame:
-    """Left join of ``rows`` with ``small`` (one row a key, ``count`` = rows of that key in ``rows``).
-
-    Keys that hold more than 1/``share`` of all rows are at most ``share`` in number, whatever the
-    input: these are broadcast, so that no task gets a hot key. All other keys meet in a shuffle.
-    Both inputs are read twice; stage them if they are dear. ``count`` is not kept.
-    """
-    total = small.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
-    hot = small.where(F.col(count) > total / share)
-    names = hot.select(key).withColumn("_hot", F.lit(True))
-    marked = rows.join(F.broadcast(names), key, "left")
-    few = marked.where("_hot").drop("_hot").join(F.broadcast(hot.drop(count)), key, "left")
-    rest = marked.where("_hot IS NULL").drop("_hot").join(small.where(F.col(count) <= total / share).drop(count), key, "left")
-    return few.unionByName(rest)
+def salted_join(rows: DataFrame, small: DataFrame, key: str, by: Column, salts: int = 32) -> DataFrame:
+    """Left join with one row a key in ``small``, each repeated for every salt; ``by`` deals the rows of a hot key over the salts."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(repeated, [key, "_salt"], "left").drop("_salt")
