@@ -311,7 +311,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
-bits AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, x, array_to_string(list_transform(range(1, 41), i ->
+bits AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, x, array_to_string(list_transform(range(1, 41), lambda i:
            substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', substr(x, i, 1)) - 1) + 1, 4)), '') AS b FROM p),
 marked AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first, row_number() OVER (PARTITION BY x ORDER BY page_id) AS n FROM bits)
 SELECT page_id, payload_bytes,
