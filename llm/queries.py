@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from llm import arc_convert, byte_bpe, exact_dedup, vector_packing
+from llm import arc_convert, byte_bpe, exact_dedup, html_layout, vector_packing
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
     "op4_vector_packing": vector_packing.op4,
     "op6_arc_to_warc": arc_convert.op6,
     "op8_byte_bpe": byte_bpe.op8,
+    "op9_html_layout": html_layout.op9,
 }
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
