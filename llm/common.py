@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def texts_in_slices(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterat
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.binary_length(batch.column("text")).fill_null(0), dtype=np.int64)
+        sizes = np.asarray(pc.binary_length(batch.column("text")).fill_null(0), dtype=np.int64)
         start, ends = 0, np.cumsum(sizes)
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
