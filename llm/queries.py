@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import arc_convert, byte_bpe, exact_dedup, html_layout, hyperminhash, vector_packing
+from llm import arc_convert, byte_bpe, exact_dedup, html_layout, hyperminhash, ppm, vector_packing
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_arc_to_warc": arc_convert.op6,
     "op8_byte_bpe": byte_bpe.op8,
     "op9_html_layout": html_layout.op9,
+    "op10_ppm": ppm.op10,
 }
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
