@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from querylens.session import scratch_dir, stage
 
-__all__ = ["documents", "fold", "salted_join", "scratch_dir", "shuffle_width", "stage", "strings", "table", "texts_in_slices"]
+__all__ = ["documents", "fold", "hashed_sample", "salted_join", "scratch_dir", "shuffle_width", "stage", "strings", "table", "texts_in_slices"]
 
 #: ASCII white space as the contracts write it: blank and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\f\r"
@@ -59,3 +59,14 @@ def salted_join(rows: DataFrame, small: DataFrame, key: str, by: Column, salts:
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(repeated, [key, "_salt"], "left").drop("_salt")
+
+
+def hashed_sample(rows: DataFrame, key: str, most: int) -> list:
+    """About ``most`` rows, those with the smallest hash of the key (all rows if there are fewer), in the order of the key.
+
+    The cut follows from the count, so only what is kept reaches the driver; rows that repeat a key may add up to as many again.
+    """
+    n = rows.count()
+    if n > most:
+        rows = rows.where(F.xxhash64(key) < int(-(2**63) + 2**64 * (most / n)))
+    return sorted(rows.limit(2 * most).collect(), key=lambda r: (r[key], str(r)))
