@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import SPACES, documents, stage, table, texts_in_slices
-from llm.linking import components, members_of, open_members, ordered_pairs, star_pairs
+from llm.linking import components, members_of, open_members, star_pairs
 
 BAND = 5
 MANTISSA = 10
@@ -176,27 +176,39 @@ def register_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
-def open_pairs(blocks: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of different components within a block whose estimate passes; only these leave a task."""
+def open_links(blocks: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed pairs (a, b) that join different components within a block, fewer than the block has rows.
+
+    Pairs whose estimate passes are decided on their full sets here, where both are; pairs that earlier
+    links have joined need no decision. A pair is taken in the bucket of the first band that both share.
+    """
     least = least_estimate(percent)
 
     def run(group: pa.Table) -> pa.Table:
-        node, component = (group.column(c).to_numpy() for c in ("node", "component"))
+        node, label = (group.column(c).to_numpy() for c in ("node", "component"))
+        label = label.copy()
         sizes, rows = group.column("n_shingles").to_numpy().astype(float), register_rows(group.column("registers"))
+        held = [np.frombuffer(s, U) for s in group.column("members").to_pylist()]
+        bands = np.ascontiguousarray(rows).view(f"V{2 * BAND}")
+        own = int(np.argmax((bands == bands[0]).all(axis=0)))
         low, high = [], []
         for i in range(len(node) - 1):
             rest = slice(i + 1, None)
-            fit = (component[rest] != component[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))
+            fit = (label[rest] != label[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))
             where = np.flatnonzero(fit) + i + 1
             if len(where):
-                where = where[estimate(rows[where], rows[i], sizes[where], sizes[i]) >= least]
-                low.append(np.minimum(node[where], node[i]))
-                high.append(np.maximum(node[where], node[i]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *low]), "b": np.concatenate([empty, *high])})
+                where = where[(estimate(rows[where], rows[i], sizes[where], sizes[i]) >= least) & (np.argmax(bands[where] == bands[i], axis=1) == own)]
+            for j in where.tolist():
+                if label[j] != label[i]:
+                    shared = len(np.intersect1d(held[i], held[j], assume_unique=True))
+                    if 100 * shared >= percent * (len(held[i]) + len(held[j]) - shared):
+                        label[label == label[j]] = label[i]
+                        low.append(min(node[i], node[j]))
+                        high.append(max(node[i], node[j]))
+        return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
 
-    joined = blocks.join(nodes.select("node", "n_shingles", "registers"), "node")
-    return joined.groupBy("key", "block").applyInArrow(run, "a long, b long").distinct()
+    joined = blocks.join(nodes.select("node", "n_shingles", "registers"), "node").join(sets, "node")
+    return joined.groupBy("key", "block").applyInArrow(run, "a long, b long")
 
 
 def node_sets(rows: DataFrame, sketched: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -229,10 +241,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-
-
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of (doc_id, text): n_shingles, component_id (smallest doc_id reachable) and kept.
 
@@ -248,16 +256,13 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     nodes = stage(shingled.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "op2-nodes")
     width = 2 * BAND
     keys = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands_for(percent) - 1)), lambda i: F.xxhash64(i, F.substr("registers", i * width + 1, F.lit(width)))))
-    members = members_of(nodes.select(keys.alias("key"), "node"), "op2-members")
-    tried = stage(likely(star_pairs(members), nodes, percent), "op2-pairs")
-    sets = stage(node_sets(rows, shingled.select("node", "doc_id"), ends(tried), words), "op2-sets")
-    edges = stage(confirmed(tried, sets, percent), "op2-edges")
+    members = members_of(nodes.select(keys.alias("key"), "node", F.col("n_shingles").alias("weight")), "op2-members")
+    sets = stage(node_sets(rows, shingled.select("node", "doc_id"), members.select("node").distinct(), words), "op2-sets")
+    edges = stage(confirmed(likely(star_pairs(members), nodes, percent), sets, percent), "op2-edges")
     found = components(edges, "op2-components")
-    left = stage(open_pairs(open_members(members, found), nodes, percent).join(tried, ["a", "b"], "left_anti"), "op2-left")
-    if left.take(1):
-        more = node_sets(rows, shingled.select("node", "doc_id"), ends(left).join(sets, "node", "left_anti"), words)
-        edges = edges.union(confirmed(left, stage(sets.union(more), "op2-sets"), percent))
-        found = components(edges, "op2-components")
+    more = stage(open_links(open_members(members, found), nodes, sets, percent), "op2-edges")
+    if more.take(1):
+        found = components(edges.union(more), "op2-components")
     return labelled(sketched, found)
 
 
