@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from llm import arc_convert, byte_bpe, exact_dedup, html_layout, hyperminhash, multi_index, ppm, pu_quality, vector_packing
+from llm import arc_convert, byte_bpe, exact_dedup, html_layout, hyperminhash, line_dedup, multi_index, ppm, pu_quality, vector_packing
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
     "op2_hyperminhash": hyperminhash.op2,
     "op3_pu_quality": pu_quality.op3,
     "op4_vector_packing": vector_packing.op4,
+    "op5_line_dedup": line_dedup.op5,
     "op6_arc_to_warc": arc_convert.op6,
     "op7_multi_index": multi_index.op7,
     "op8_byte_bpe": byte_bpe.op8,
