@@ -1,6 +1,52 @@
-"""The corpus pipeline: quality, line dedup, near-duplicate dedup, packing."""
+"""The corpus pipeline: quality classifier, line dedup, near-duplicate dedup, packing."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from llm.common import stage, table
+from llm.hyperminhash import near_duplicates
+from llm.line_dedup import without_repeats
+from llm.pu_quality import HELD_OUT, accepted
+from llm.vector_packing import packed_documents
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return accepted(docs, table(spark, sf_dir, "labels"), f"NOT ({HELD_OUT})")
+
+
+def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier place of the corpus has; a document may end up empty, but stays."""
+    out = without_repeats(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def one_of_a_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    gone = near_duplicates(docs, words=5, percent=80).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences, as op4 returns them."""
+    return packed_documents(docs)
+
+
+STAGES = [("quality classifier", good_quality), ("line dedup", first_lines), ("MinHash near-dedup", one_of_a_group), ("packing", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name.split()[0]}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: A trained classifier and sequence numbers of tasks are beyond SQL; tests/llm has a brute-force version.
+ORACLE_SQL = None
+
+QUERIES = {"pipeline": run}
+ORACLES = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}
