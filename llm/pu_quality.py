@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import SPACES, documents, fold, stage, strings, table
+from llm.common import SPACES, documents, fold, hashed_sample, stage, strings, table
 
 #: Bound on each side of the rows that the network is fitted on.
 SAMPLE = 12_000
@@ -167,18 +167,17 @@ def feature_rows(df: DataFrame) -> DataFrame:
     return documents(df).mapInArrow(run, FEATURES)
 
 
-def bounded(rows: DataFrame, most: int) -> np.ndarray:
-    """At most ``most`` rows' features, by the smallest hash of the id."""
-    kept = rows.withColumn("by", F.xxhash64("doc_id")).orderBy("by", "doc_id").limit(most).select("features").collect()
-    return np.array([r[0] for r in kept], float).reshape(len(kept), N_FEATURES)
+def bounded(rows: DataFrame) -> np.ndarray:
+    kept = hashed_sample(rows, "doc_id", SAMPLE)
+    return np.array([r["features"] for r in kept], float).reshape(len(kept), N_FEATURES)
 
 
 def fit(staged: DataFrame, labels: DataFrame, learn: str) -> Network | None:
     """None if there is nothing to learn from."""
     known = labels.where(learn).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
     mine = staged.where("doc_id IS NOT NULL").where(learn)
-    p = bounded(mine.join(known.where("quality = 1"), "doc_id", "left_semi"), SAMPLE)
-    u = bounded(mine, SAMPLE)
+    p = bounded(mine.join(known.where("quality = 1"), "doc_id", "left_semi"))
+    u = bounded(mine)
     if not len(p) or not len(u):
         return None
     good, reviewed = known.agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)), F.count("quality")).first()
@@ -206,6 +205,20 @@ def quality(df: DataFrame, labels: DataFrame, learn: str = "true") -> DataFrame:
     return staged.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def accepted(df: DataFrame, labels: DataFrame, learn: str = "true") -> DataFrame:
+    """The rows of ``df``, all columns, that score THRESHOLD or more; see ``quality``. Rows are judged where they are."""
+    net = fit(stage(feature_rows(df), "op3-features"), labels, learn)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and net is not None:
+                rows = np.array([features(text) for text in strings(batch.column("text"))], np.float32)
+                batch = batch.filter(pa.array(net.score(rows.astype(float)) >= THRESHOLD))
+            yield batch
+
+    return df.mapInArrow(run, df.schema)
+
+
 HELD_OUT = "crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0"
 
 
