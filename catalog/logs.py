@@ -212,15 +212,19 @@ def src_17(spark, sf):
 
 @query(
     "src_18_statement_cut",
-    "SELECT doc_id, length(text) > 4096 AS cut, CASE WHEN length(text) > 4096 THEN left(text, 4096) || ' ...[truncated]' ELSE text END AS stored FROM documents",
+    "SELECT doc_id, CASE WHEN length(text) > 4096 THEN left(text, 4096) || ' ...[truncated]' ELSE text END AS shown FROM documents",
 )
 def src_18(spark, sf):
-    from querylens.operators.dictionary import stored_statement
+    """The shortened form that lists show."""
+    from querylens.operators.dictionary import displayed_statement
+
+    return table(spark, sf, "documents").select("doc_id", displayed_statement(F.col("text")).alias("shown"))
 
-    docs = table(spark, sf, "documents")
-    return docs.select(
-        "doc_id", (F.length("text") > 4096).alias("cut"), stored_statement(F.col("text")).alias("stored")
-    )
+
+@query("src_18_statement_stored", sql("SELECT row_number() OVER (ORDER BY record_id) - 1 AS record_id, stmt_raw FROM r"))
+def src_18_stored(spark, sf):
+    """Stored statements are whole, whatever their length."""
+    return ingested(spark, sf, "fe").records.select("record_id", "stmt_raw")
 
 
 @query(
@@ -318,11 +322,22 @@ def q_08(spark, sf):
 
 @query(
     "src_23_lookback",
-    "SELECT event_id, ts, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-19 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00' ORDER BY ts DESC LIMIT 200",
+    "SELECT event_id, ts, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-19 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00'",
 )
 def src_23(spark, sf):
+    """Every row of the look-back."""
+    rows = table(spark, sf, "events")
+    return lookback.lookback(rows, datetime(2024, 1, 20), 86_400, time_column="ts").select("event_id", "ts", "user_id", "event_type")
+
+
+@query(
+    "src_23_newest",
+    "SELECT event_id, ts, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2023-12-01 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00' ORDER BY ts DESC, event_id LIMIT 200",
+)
+def src_23_newest(spark, sf):
+    """A cut that the caller asks for is decided by a key; 50 days are no longer refused."""
     rows = table(spark, sf, "events")
-    return lookback.lookback(rows, datetime(2024, 1, 20), 86_400, 200, "ts").select("event_id", "ts", "user_id", "event_type")
+    return lookback.lookback(rows, datetime(2024, 1, 20), 50 * 86_400, 200, "ts", key=["event_id"]).select("event_id", "ts", "user_id", "event_type")
 
 
 @query("src_24_tsv_sink", sql("SELECT query_id, nullif(user_name, '') AS user_name, stmt_raw, error_message FROM src"))

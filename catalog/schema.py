@@ -53,7 +53,7 @@ def _detail(spark, sf):
 
 @query(
     "src_25_candidates",
-    sql("SELECT database AS table_schema, \"table\" AS table_name FROM tl WHERE k < 8 ORDER BY 1, 2 LIMIT 5001"),
+    sql("SELECT database AS table_schema, \"table\" AS table_name FROM tl WHERE k < 8"),
 )
 def src_25(spark, sf):
     return inputs.candidates(corpus.catalogue_tables(spark, sf))
@@ -199,7 +199,7 @@ def rule_scan(spark, sf):
         corpus.catalogue_partitions(spark, sf),
         corpus.catalogue_properties(spark, sf),
     )
-    return _items(scan.scan_items(scan.truncated(scan.scan_rows(tables, parts, props), inputs.SCAN_LIMIT), AS_OF))
+    return _items(scan.scan_items(scan.scan_rows(tables, parts, props), AS_OF))
 
 
 @query(

@@ -9,15 +9,13 @@ from querylens.functions.sqltext import table_guess, template_key
 from querylens.ordering import dense_ids
 from querylens.session import BROADCAST_BYTES, broadcast_if_small, stage
 
-STATEMENT_CHARS = 4096
+DISPLAY_CHARS = 4096
 _CUT_MARK = " ...[truncated]"
 
 
-def stored_statement(stmt: Column) -> Column:
-    """Statement text as stored; templates are always taken from the whole text."""
-    return F.when(F.length(stmt) > STATEMENT_CHARS, F.concat(F.left(stmt, F.lit(STATEMENT_CHARS)), F.lit(_CUT_MARK))).otherwise(
-        stmt
-    )
+def displayed_statement(stmt: Column) -> Column:
+    """A statement shortened for lists. Stored statements and templates are always whole."""
+    return F.when(F.length(stmt) > DISPLAY_CHARS, F.concat(F.left(stmt, F.lit(DISPLAY_CHARS)), F.lit(_CUT_MARK))).otherwise(stmt)
 
 
 def build_dictionary(accepted: DataFrame, dataset_id: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -58,9 +56,6 @@ def encode_records(
     return keyed.join(ids, "template_key").select(
         F.lit(dataset_id).alias("dataset_id"),
         "record_id",
-        *[
-            stored_statement(F.col(c)).alias(c) if c == "stmt_raw" else F.col(c)
-            for c in columns
-        ],
+        *columns,
         "stripped_template_id",
     )

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from querylens.operators.filters import TOP_VALUES, QueryFilters, apply_filters, clamp, non_blank
+from querylens.operators.filters import QueryFilters, apply_filters, list_length, non_blank
 from querylens.operators.overview import DIMENSIONS, with_zero_totals, workload_sums
 from querylens.operators.samples import samples
 from querylens.operators.series import template_series
@@ -29,7 +29,7 @@ def dimension_top(
     rows = apply_filters(records, filters, dataset_id, template_id).where(non_blank(column))
     sums = rows.groupBy(F.col(column).alias("name")).agg(*workload_sums())
     return with_zero_totals(
-        sums.orderBy(F.col(rank).desc_nulls_last(), "name").limit(clamp(n, TOP_VALUES))
+        sums.orderBy(F.col(rank).desc_nulls_last(), "name").limit(list_length(n))
     )
 
 
@@ -48,7 +48,7 @@ def dimension_tops(
     named = rows.select("cpu_time_ms", "query_time_ms", F.inline(pairs)).where(non_blank("name"))
     sums = named.groupBy("dimension", "name").agg(*workload_sums())
     order = Window.partitionBy("dimension").orderBy(F.col(rank).desc_nulls_last(), "name")
-    top = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= clamp(n, TOP_VALUES))
+    top = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= list_length(n))
     return with_zero_totals(top)
 
 

@@ -8,11 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Limits of the lists a caller can ask for.
-TOP_TEMPLATES = (1, 1000)
-TOP_VALUES = (1, 50)
-TOP_SAMPLES = (1, 500)
-
 
 @dataclass(frozen=True)
 class QueryFilters:
@@ -63,9 +58,9 @@ def non_blank(name: str) -> Column:
     return F.col(name).isNotNull() & (F.col(name) != "")
 
 
-def clamp(n: float, bounds: tuple[int, int]) -> int:
-    low, high = bounds
-    return max(low, min(high, math.floor(n)))
+def list_length(n: float) -> int:
+    """Length of a list as asked for; at least one row."""
+    return max(1, math.floor(n))
 
 
 def nulls_last(col: Column, descending: bool = False) -> Column:
@@ -79,6 +74,6 @@ def failed() -> Column:
 
 
 def search_templates(rows: DataFrame, text: str, column: str = "template") -> DataFrame:
-    """Case-insensitive substring search over a result list."""
+    """Rows whose text contains the words searched for, in any case."""
     wanted = text.strip().lower()
     return rows.where(F.contains(F.lower(column), F.lit(wanted))) if wanted else rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querylens.operators.filters import TOP_SAMPLES, QueryFilters, apply_filters, clamp
+from querylens.operators.filters import QueryFilters, apply_filters, list_length
 
 ORDER_KEYS = ("query_time_ms", "cpu_time_ms", "peak_memory_bytes")
 _TEXT = ("query_id", "user_name", "db_name", "client_ip", "state", "stmt_raw")
@@ -40,5 +40,5 @@ def samples(
     rows = apply_filters(records, filters, dataset_id, template_id).select(*COLUMNS)
     top = rows.orderBy(
         F.col(metric).desc_nulls_last(), F.col("event_time_ms").desc_nulls_last(), F.col("record_id").desc()
-    ).limit(clamp(limit, TOP_SAMPLES))
+    ).limit(list_length(limit))
     return top.select(*[F.nullif(c, F.lit("")).alias(c) if c in _TEXT else c for c in COLUMNS])

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from querylens.operators.filters import QueryFilters, apply_filters
 from querylens.operators.overview import workload_sums
 
-MAX_BUCKETS = 2000
 # Bucket widths in seconds that read well on an axis.
 NICE_SECONDS = (60, 300, 900, 1800, 3600, 7200, 21600, 43200, 86400, 172800, 604800)
 
@@ -23,15 +22,15 @@ def nice_width_ms(at_least_ms: float) -> int:
     return max(1, math.ceil(seconds / 86400)) * 86400 * 1000
 
 
-def plan_buckets(start_ms: int, end_ms: int, bucket_seconds: int) -> tuple[int, int, int]:
-    """Width and edges (first start, end exclusive) with at most 2000 buckets."""
+def plan_buckets(start_ms: int, end_ms: int, bucket_seconds: int, max_buckets: int | None = None) -> tuple[int, int, int]:
+    """Width and edges (first start, end exclusive); wider than asked only to keep a maximum that the caller sets."""
     width = max(1, math.floor(bucket_seconds)) * 1000
     while True:
         first = start_ms // width * width
         last = -(-end_ms // width) * width
-        if (last - first) // width <= MAX_BUCKETS:
+        if max_buckets is None or (last - first) // width <= max_buckets:
             return width, first, last
-        width = nice_width_ms(math.ceil((last - first) / MAX_BUCKETS))
+        width = nice_width_ms(math.ceil((last - first) / max_buckets))
 
 
 def bucket_sums(rows: DataFrame, width_ms: int) -> DataFrame:
@@ -45,6 +44,7 @@ def template_series(
     bucket_seconds: int = 300,
     filters: QueryFilters | None = None,
     dataset_id: str | None = None,
+    max_buckets: int | None = None,
 ) -> DataFrame:
     """``bucket_seconds, bucket_ms, bucket_start, exec_count, total_cpu_ms, total_time_ms``.
 
@@ -59,7 +59,7 @@ def template_series(
     else:
         start = filters.start_ms if filters.start_ms is not None else low
         end = filters.end_ms if filters.end_ms is not None else high + 1
-        width, first, last = plan_buckets(start, end, bucket_seconds)
+        width, first, last = plan_buckets(start, end, bucket_seconds, max_buckets)
     spine = spark.range(first, last, width).withColumnRenamed("id", "bucket_ms")
     sums = bucket_sums(rows, width)
     return spine.join(sums, "bucket_ms", "left").select(

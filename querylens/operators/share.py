@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querylens.operators.filters import TOP_TEMPLATES, QueryFilters, apply_filters, clamp
+from querylens.operators.filters import QueryFilters, apply_filters, list_length
 from querylens.operators.overview import with_zero_totals, workload_sums
 
 RANK_KEYS = ("total_cpu_ms", "total_time_ms", "max_peak_mem_bytes")
@@ -57,7 +57,7 @@ def share(
     top = with_zero_totals(
         per_template.join(templates.select(*keys, "sql_template_stripped"), keys)
         .orderBy(F.col(rank_by).desc_nulls_last(), "stripped_template_id")
-        .limit(clamp(n, TOP_TEMPLATES))
+        .limit(list_length(n))
     ).select(
         F.col("stripped_template_id").cast("string").alias("template_key"),
         F.col("sql_template_stripped").alias("template"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from querylens.operators.filters import TOP_TEMPLATES, QueryFilters, apply_filters, clamp, search_templates
+from querylens.operators.filters import QueryFilters, apply_filters, list_length, search_templates
 from querylens.operators.overview import with_zero_totals, workload_sums
 from querylens.operators.quantiles import approx_quantile, exact_quantiles
 
@@ -21,7 +21,10 @@ def top_sql(
     search: str = "",
     exact: bool = False,
 ) -> DataFrame:
-    """Templates by total CPU time, aggregated before they meet the dimension."""
+    """Templates by total CPU time: aggregated, searched and cut before their texts are joined.
+
+    ``rank`` counts among the templates whose text matches ``search``.
+    """
     rows = apply_filters(records, filters, dataset_id)
     measures = [
         *workload_sums(),
@@ -33,14 +36,15 @@ def top_sql(
         measures.append(approx_quantile("query_time_ms", 0.95).alias("p95_time_ms"))
     sums = rows.groupBy(*KEYS).agg(*measures)
     order = [F.col("total_cpu_ms").desc_nulls_last(), F.col("stripped_template_id").asc()]
-    top = sums.join(templates, KEYS).orderBy(*order).limit(clamp(n, TOP_TEMPLATES))
+    matching = search_templates(templates, search, "sql_template_stripped").select(*KEYS)
+    top = sums.join(matching, KEYS, "left_semi").orderBy(*order).limit(list_length(n)).join(templates, KEYS)
     if exact:
         listed = rows.join(top.select(*KEYS), KEYS, "left_semi")
         p95 = exact_quantiles(listed, KEYS, "query_time_ms", {"p95_time_ms": 0.95})
         top = top.join(p95, KEYS, "left")
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     out = with_zero_totals(ranked).fillna(0, subset=["avg_time_ms", "max_time_ms"])
-    out = out.select(
+    return out.select(
         "rank",
         F.col("stripped_template_id").alias("template_id"),
         F.col("sql_template_stripped").alias("template"),
@@ -53,4 +57,3 @@ def top_sql(
         "p95_time_ms",
         "max_peak_mem_bytes",
     )
-    return search_templates(out, search)

@@ -162,8 +162,3 @@ def dense_ids(df: DataFrame, order: str, out: str, bucket_rows_log2: int = 20) -
     """Consecutive ids from 1 in the order of a unique non-negative number."""
     bucketed = df.withColumn("_bucket", F.shiftright(order, bucket_rows_log2))
     return position(bucketed, Buckets((), ("_bucket",), (order,)), out).drop("_bucket")
-
-
-def ordered_values(order_and_value: Sequence[Column], value: str) -> Column:
-    """Array of ``value`` in the order of the leading struct fields (for groups known to be small)."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(*order_and_value))), lambda r: r[value])

@@ -27,7 +27,7 @@ DEFAULT_RULE_WEIGHT = 0.65
 MIN_CONFIDENCE = 0.5
 MAX_CONTRIBUTION = 0.95
 COVERAGE_TARGET, COVERAGE_FLOOR = 16.0, 0.55
-EVIDENCE_CHARS = 2400
+PREVIEW_CHARS = 2400
 
 FINDING_TYPE = (
     "struct<rule_id:string,severity:string,confidence:double,summary:string,"
@@ -191,6 +191,10 @@ def is_bucket_rule(rule_id: Column) -> Column:
 
 
 def evidence_json(numbers: Column, details: Column) -> Column:
-    """Evidence as JSON text, cut at 2400 characters."""
-    text = F.to_json(F.struct(numbers.alias("numbers"), details.alias("details")))
-    return F.when(F.length(text) <= EVIDENCE_CHARS, text).otherwise(F.concat(F.left(text, F.lit(EVIDENCE_CHARS)), F.lit("\n...")))
+    """Evidence as JSON text, whole."""
+    return F.to_json(F.struct(numbers.alias("numbers"), details.alias("details")))
+
+
+def evidence_preview(text: Column) -> Column:
+    """Evidence shortened for display."""
+    return F.when(F.length(text) <= PREVIEW_CHARS, text).otherwise(F.concat(F.left(text, F.lit(PREVIEW_CHARS)), F.lit("\n...")))

@@ -71,7 +71,8 @@ def _unit_number(us: Column, unit: Column, first_day: Column) -> Column:
 
 
 def _signed_int(text: Column) -> Column:
-    return F.when(text.rlike(r"^[+-]?[0-9]{1,9}\z"), text).try_cast("int")
+    """Integers of any length that 64 bits hold; the pattern keeps other texts from a failing cast."""
+    return F.when(text.rlike(r"^[+-]?[0-9]{1,19}\z"), text).try_cast("bigint")
 
 
 def window_columns(properties: Column, as_of: datetime, default_zone: str = "UTC") -> dict[str, Column]:
@@ -88,11 +89,11 @@ def window_columns(properties: Column, as_of: datetime, default_zone: str = "UTC
     utc = F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz"), clock))
     return {
         "dyn_enabled": F.coalesce(F.lower(prop("enable")).isin("1", "t", "true"), F.lit(False)),
-        "dyn_span": F.when(end >= start, end - start + 1),
+        "dyn_span": F.when(end >= start, F.try_add(F.try_subtract(end, start), F.lit(1))),
         "dyn_end": F.greatest(end, F.lit(0)),
         "dyn_unit": F.coalesce(F.upper(prop("time_unit")), F.lit("")),
         "dyn_prefix": F.coalesce(prop("prefix"), F.lit("")),
-        "dyn_first_day": F.when(dow.between(1, 7), dow).otherwise(1),
+        "dyn_first_day": F.when(dow.between(1, 7), dow).otherwise(1).cast("int"),
         "dyn_now_us": F.unix_micros(F.from_utc_timestamp(utc, zone)),
     }
 

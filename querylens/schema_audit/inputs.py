@@ -15,7 +15,6 @@ KEY = ["database", "table"]
 TABLE_TYPE = "BASE TABLE"
 ENGINES = ("Doris", "OLAP")
 SYSTEM_DATABASES = ("information_schema", "mysql", "performance_schema", "sys", "__internal_schema")
-SCAN_LIMIT, FILTERED_SCAN_LIMIT = 5000, 20000
 
 PROPERTY_PREFIX = "dynamic_partition."
 SCAN_PROPERTIES = ("enable", "start", "end", "buckets", "time_unit", "prefix", "time_zone", "start_day_of_week")
@@ -31,12 +30,8 @@ def like_pattern(text: str) -> str:
     return wanted if "%" in wanted or "_" in wanted else f"%{wanted}%"
 
 
-def scan_limit(database: str = "", table_like: str = "") -> int:
-    return FILTERED_SCAN_LIMIT if database.strip() or table_like.strip() else SCAN_LIMIT
-
-
 def candidates(tables: DataFrame, database: str = "", table_like: str = "", limit: int | None = None) -> DataFrame:
-    """First tables in name order, one more than the limit so that a cut can be noticed."""
+    """Tables to audit; with a limit the first in name order, one more than the limit so that a cut can be noticed."""
     rows = tables.where(
         (F.col("table_type") == TABLE_TYPE)
         & F.col("engine").isin(*ENGINES)
@@ -46,8 +41,8 @@ def candidates(tables: DataFrame, database: str = "", table_like: str = "", limi
         rows = rows.where(F.col("table_schema") == database.strip())
     if table_like.strip():
         rows = rows.where(F.col("table_name").like(like_pattern(table_like)))
-    limit = scan_limit(database, table_like) if limit is None else limit
-    return rows.select("table_schema", "table_name").orderBy("table_schema", "table_name").limit(limit + 1)
+    rows = rows.select("table_schema", "table_name")
+    return rows if limit is None else rows.orderBy("table_schema", "table_name").limit(limit + 1)
 
 
 def first_present(df: DataFrame, names: Sequence[str]) -> Column:
@@ -152,11 +147,11 @@ def catalogue_properties(properties: DataFrame | None, like: DataFrame) -> DataF
 
 
 def ddl_text(raw: DataFrame) -> DataFrame:
-    """Table definitions; the text is in a named column or else in the one after the table's."""
+    """Table definitions; the text is in a named column or else in the one after the table's or view's name."""
     named = first_present(raw, ["create table", "create_table"])
-    others = [c for c in raw.columns if c not in KEY]
+    others = [c for c in raw.columns if c.lower() not in (*KEY, "view", "name")]
     if others:
-        named = F.coalesce(named, F.nullif(coerce.meta_trim(F.col(f"`{others[-1]}`")), F.lit("")))
+        named = F.coalesce(named, F.nullif(coerce.meta_trim(F.col(f"`{others[0]}`")), F.lit("")))
     return raw.select(*KEY, named.alias("create_sql"))
 
 

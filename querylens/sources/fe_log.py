@@ -107,9 +107,11 @@ def parse_entries(blocks: DataFrame, tz: str = "UTC") -> DataFrame:
         return [F.col("_found")[i] for i, (name, _) in enumerate(_ALIASES) if name == field]
 
     def text(field: str) -> Column:
-        """First spelling with a value; a flag or statement counts even when it is blank."""
+        """First spelling with a value; a flag or statement counts even when it is blank, a number only if it can be read."""
         if field in ("is_internal", "stmt_raw"):
             return F.coalesce(*found(field))
+        if field == "error_code":
+            return F.coalesce(*[F.when(coerce.prefix_int(c).try_cast("int").isNotNull(), c) for c in found(field)])
         return F.coalesce(*[F.when(c != "", c) for c in found(field)])
 
     place = ["file", "split_start", "record_seq", "is_slow", "block_query_id"]

@@ -74,7 +74,7 @@ def test_samples_and_dimensions(tables):
     rows = samples.samples(tables[0], 2, ALL, order_by="cpu_time_ms").collect()
     assert [r.record_id for r in rows] == [3, 2]
     assert values(dimension.dimension_top(tables[0], 2, "db_name"), "name", "exec_count") == [("db", 1)]
-    assert filters.clamp(0, (1, 50)) == 1 and filters.clamp(99.9, (1, 50)) == 50
+    assert filters.list_length(0) == 1 and filters.list_length(99_999.9) == 99_999
 
 
 def test_series(tables):
@@ -82,9 +82,10 @@ def test_series(tables):
     assert [(r.bucket_ms, r.exec_count, r.total_cpu_ms) for r in rows] == [(0, 1, 10), (1000, 1, 0)]
     assert series.template_series(tables[0], 99).collect() == []
     assert series.plan_buckets(0, 86_400_000, 60) == (60_000, 0, 86_400_000)
-    assert series.plan_buckets(0, 15 * 86_400_000, 60) == (900_000, 0, 15 * 86_400_000)
-    width, first, last = series.plan_buckets(-1, 10**14, 60)
-    assert width % 86_400_000 == 0 and (last - first) // width <= 2000 and first < 0
+    assert series.plan_buckets(0, 15 * 86_400_000, 60) == (60_000, 0, 15 * 86_400_000)
+    assert series.plan_buckets(0, 15 * 86_400_000, 60, 2000) == (900_000, 0, 15 * 86_400_000)
+    width, first, last = series.plan_buckets(-1, 10**14, 60, 500)
+    assert width % 86_400_000 == 0 and (last - first) // width <= 500 and first < 0
 
 
 def test_exact_quantiles_against_sorting(spark):

@@ -207,7 +207,7 @@ def test_scan(spark):
     inv = result.inventory.collect()[0]
     assert (inv.table_count, inv.partitioned_table_count, inv.total_partition_count, inv.empty_partition_count, inv.dynamic_partition_table_count) == (4, 3, 55, 35, 2)
     cut = scan.schema_audit_scan(tables, parts, None, AS_OF, limit=2)
-    assert cut.truncated and "first 2 candidate" in cut.warning
+    assert cut.truncated and cut.warning.startswith("Only 2 ") and not result.warning
     assert [r.table for r in cut.items.collect()] == ["b", "a"]
     assert scan.schema_audit_scan(tables, parts, props, AS_OF, table_like=" b ").total_items == 1
 
@@ -223,5 +223,9 @@ def test_inputs(spark):
     assert one(spark, inputs.ddl_properties(F.lit("x"))) == {}
     assert inputs.like_pattern(" ab ") == "%ab%" and inputs.like_pattern("a_b") == "a_b" and inputs.like_pattern("") == "%"
     assert one(spark, inputs.range_lower(F.lit("[types: [DATE]; keys: ['2026-01-05', 7]; ..keys: [x])"))) == "2026-01-05"
+    views = spark.createDataFrame([("d", "v", "create view v as select 1", "utf8")], "database string, table string, `Create View` string, character_set_client string")
+    assert inputs.ddl_text(views).collect()[0].create_sql == "create view v as select 1"
+    wide = future.window_columns(F.create_map(F.lit("dynamic_partition.start"), F.lit("-2147483648"), F.lit("dynamic_partition.end"), F.lit("3000000000")), AS_OF)
+    assert one(spark, wide["dyn_span"]) == 5147483649 and one(spark, wide["dyn_end"]) == 3000000000
     cfg = rules.BucketConfig(0, -1, -1, 2.0).normalized()
     assert (cfg.min_buckets, cfg.max_buckets, cfg.tolerance) == (1, 128, 0.95)

@@ -238,11 +238,11 @@ def test_detect(spark, tmp_path):
     assert got == {name: (fmt, d) for name, (_, fmt, d) in cases.items()}
 
 
-def test_long_statement_is_cut_but_template_is_whole(spark, tmp_path):
+def test_long_statement_is_stored_whole(spark, tmp_path):
     stmt = "select '" + "y" * 5000 + "' from t"
     done = ingest.ingest(spark, put(tmp_path, "f.log", f"2025-12-25 11:17:02,188 [query] |QueryId=a|Stmt={stmt}|\n"), "ds")
     r = done.records.collect()[0]
-    assert r.stmt_raw == stmt[:4096] + " ...[truncated]"
+    assert r.stmt_raw == stmt
     assert done.templates.collect()[0].sql_template_stripped == "select ? from t"
 
 
@@ -267,3 +267,12 @@ def test_sinks_round_trip(spark, tmp_path):
     more = done.templates.withColumn("stripped_template_id", F.col("stripped_template_id") + 1)
     sinks.append_templates(more, dims)
     assert spark.read.parquet(dims).count() == 3
+
+
+def test_first_error_code_that_can_be_read(spark, tmp_path):
+    log = "".join(
+        f"2026-03-0{i + 1} 07:08:09,100 [query] |QueryId=n{i}|{codes}|Stmt=select {i}|\n"
+        for i, codes in enumerate(["ErrorCode=abc|error_code=7", "ErrorCode=|error_code=8", "ErrorCode=5|error_code=9", "ErrorCode=abc"])
+    )
+    done = ingest.ingest(spark, put(tmp_path, "codes.log", log), "ds")
+    assert [r.error_code for r in done.records.orderBy("record_id").collect()] == [7, 8, 5, None]
