@@ -30,7 +30,7 @@ SAMPLE = 8192
 CODE_BITS = 256
 FIT_ROUNDS = 25
 #: The radius in a block must hold this share of its rows, and LEAST rows at least.
-SHARE, LEAST = 0.1, 256
+SHARE, LEAST = 0.05, 128
 #: Components of an index block and of a query block.
 INDEX_FLOATS, QUERY_FLOATS = 1 << 23, 1 << 21
 
@@ -116,14 +116,15 @@ def matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def nearest(df: DataFrame, queries: str, k: int = 20, vector: str = "embedding") -> DataFrame:
+def nearest(df: DataFrame, queries: str, k: int = 20, vector: str = "embedding", share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest rows found for every row that meets the SQL condition ``queries`` on vec_id.
 
     Nearness is the inner product; ties go to the smaller vec_id. Rows without id and vectors that are
     null, empty, zero or hold null or non-finite components take no part, nor do vectors of another length than the most
     frequent one (the smaller of equally frequent ones). Rows with the query's own vec_id are not its
     candidates; of several rows with a query's id the smallest vector asks. Fewer than k candidates are all
-    returned; an empty table or query set gives no rows. Extra columns are ignored.
+    returned; an empty table or query set gives no rows. Extra columns are ignored. A larger ``share`` of rows
+    to rank raises recall where norms differ much.
     """
     spark = df.sparkSession
     valid = stage(usable(df, vector), "op7-vectors")
@@ -152,7 +153,7 @@ def nearest(df: DataFrame, queries: str, k: int = 20, vector: str = "embedding")
             asks = matrix(wanted.column("v"), d)
             tables = Index(codes(widened(vectors, norm), turn))
             ask_codes = codes(np.concatenate([asks, np.zeros((len(asks), 1))], axis=1), turn)
-            least = max(LEAST, k + 1, int(len(ids) * SHARE))
+            least = max(LEAST, k + 1, int(len(ids) * share))
             for key, x, code in zip(wanted.column("vec_id").to_pylist(), asks, ask_codes):
                 near = tables.within(code, least)
                 near = near[ids[near] != key]
