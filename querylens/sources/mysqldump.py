@@ -178,18 +178,18 @@ def parse_inserts(stmts: DataFrame) -> DataFrame:
     reason = (
         F.when(
             F.col("oversized"),
-            F.concat(F.lit("statement exceeds max size ("), F.col("n_chars").cast("string"), F.lit(" chars)")),
+            F.concat(F.lit("statement of "), F.col("n_chars").cast("string"), F.lit(" characters is over the limit")),
         )
-        .when(~F.col("sql").rlike(_TARGET), F.lit("missing table identifier after INSERT INTO"))
+        .when(~F.col("sql").rlike(_TARGET), F.lit("no table is named after INSERT INTO"))
         .when(
             ~F.col("_headed") & F.startswith(after_target, F.lit("(")) & ~after_target.rlike(rf"(?s)^{_COLUMNS}"),
-            F.lit("malformed column list"),
+            F.lit("column list cannot be read"),
         )
-        .when(~F.col("_headed"), F.lit("expected VALUES clause"))
+        .when(~F.col("_headed"), F.lit("VALUES is missing"))
         .when(finished, F.lit(None).cast("string"))
-        .when(~wants_tuple, F.lit("unexpected token after tuple"))
-        .when(F.startswith(left_over, F.lit("(")), F.lit("malformed tuple in VALUES list"))
-        .otherwise(F.lit("expected tuple start '('"))
+        .when(~wants_tuple, F.lit("something else than a comma or the end follows a tuple"))
+        .when(F.startswith(left_over, F.lit("(")), F.lit("tuple cannot be read"))
+        .otherwise(F.lit("no tuple begins where one should"))
     )
     return headed.select(
         *LINES.keys,

@@ -158,7 +158,7 @@ def test_dump_default_order_and_strings(spark, tmp_path):
     assert [r.query_id for r in rows] == ["qid-1", "qid-2", "q-3", "q-4", "q-5", "q-6"]
     assert [r.stmt_raw for r in rows[2:]] == ["select 1; select 2", "select\n\t\\path", "it's;\n raw", "now("]
     assert rows[2].template == "select ?; select ?"
-    assert [i.reason for i in ins] == [None, None, None, "unexpected token after tuple"]
+    assert [i.reason for i in ins] == [None, None, None, "something else than a comma or the end follows a tuple"]
 
 
 def test_dump_rejects(spark, tmp_path):
@@ -173,8 +173,8 @@ def test_dump_rejects(spark, tmp_path):
     ins, rows = dump_rows(spark, path)
     assert [r.query_id for r in rows] == ["q-good", "q-kept"]
     assert [(i.statement_seq, i.reason) for i in ins] == [
-        (0, None), (1, "malformed tuple in VALUES list"), (2, "malformed column list"), (3, "expected VALUES clause"),
-        (4, "expected tuple start '('"),
+        (0, None), (1, "tuple cannot be read"), (2, "column list cannot be read"), (3, "VALUES is missing"),
+        (4, "no tuple begins where one should"),
     ]
     done = ingest.ingest(spark, path, "ds")
     report = done.report.collect()[0]
@@ -187,7 +187,7 @@ def test_dump_oversized(spark, tmp_path):
     sql = f"{SHORT}('q-oversized',{NOW},'{'x' * 512}');\n{SHORT}('ok',{NOW},'s');\n"
     ins, rows = dump_rows(spark, put(tmp_path, "d.sql", sql), max_chars=140)
     assert [r.query_id for r in rows] == ["ok"]
-    assert "exceeds max size" in ins[0].reason and ins[1].reason is None
+    assert "over the limit" in ins[0].reason and ins[1].reason is None
 
 
 @pytest.mark.parametrize("split_bytes", ["150", "134217728"])
