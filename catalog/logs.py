@@ -181,7 +181,7 @@ def src_14(spark, sf):
 
 @query(
     "src_15_malformed_statements",
-    sql(f"SELECT 'malformed tuple in VALUES list' AS reason, count(*) AS n FROM {GROUPS} WHERE g % 10 = 9 HAVING count(*) > 0"),
+    sql(f"SELECT 'tuple cannot be read' AS reason, count(*) AS n FROM {GROUPS} WHERE g % 10 = 9 HAVING count(*) > 0"),
 )
 def src_15(spark, sf):
     bad = mysqldump.rejects(mysqldump.parse_inserts(_statements(spark, sf)))

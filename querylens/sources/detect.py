@@ -27,23 +27,20 @@ def detect_formats(lines: DataFrame) -> DataFrame:
 
     Server-log keys in the first 256 KiB win, then a dump marker there, then the delimiter of the
     first line; a marker further on counts only for files that look like a script and not like a
-    tab-delimited export.
+    tab-delimited export. Places are counted in bytes of the file, whatever its splits.
     """
-    first_split = Window.partitionBy("file").orderBy("line_key")
+    in_file = Window.partitionBy("file").orderBy("split_start", "line_key").rowsBetween(Window.unboundedPreceding, -1)
     head = (
-        lines.where(F.col("split_start") == 0)
+        lines.where(F.col("split_start") < HEAD_BYTES)
         .withColumn("_size", F.octet_length("value") + 1)
-        .withColumn(
-            "_offset",
-            F.coalesce(F.sum("_size").over(first_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        )
+        .withColumn("_offset", F.coalesce(F.sum("_size").over(in_file), F.lit(0)))
         .where(F.col("_offset") < HEAD_BYTES)
-        .withColumn("value", F.left("value", (F.lit(HEAD_BYTES) - F.col("_offset")).cast("int")))
+        .withColumn("value", F.left(F.col("value").cast("binary"), (F.lit(HEAD_BYTES) - F.col("_offset")).cast("int")).cast("string"))
     )
     fe_marker = F.lit(False)
     for marker in FE_MARKERS:
         fe_marker = fe_marker | F.contains("value", F.lit(marker))
-    non_blank = F.when(coerce.trim(F.col("value")) != "", F.struct("line_key", "value"))
+    non_blank = F.when(coerce.trim(F.col("value")) != "", F.struct("split_start", "line_key", "value"))
     by_head = head.groupBy("file").agg(
         F.bool_or(fe_marker).alias("fe"),
         F.bool_or(F.col("value").rlike(AUDIT_MARKER)).alias("dump_head"),

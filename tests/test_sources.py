@@ -276,3 +276,17 @@ def test_first_error_code_that_can_be_read(spark, tmp_path):
     )
     done = ingest.ingest(spark, put(tmp_path, "codes.log", log), "ds")
     assert [r.error_code for r in done.records.orderBy("record_id").collect()] == [7, 8, 5, None]
+
+
+def test_format_does_not_depend_on_splits(spark, tmp_path):
+    put(tmp_path, "mixed.txt", csv_row("select 7") + "\n" + "filler, with commas\n" * 150 + "2026-03-01 07:08:09,100 [query] |QueryId=z|Stmt=select 1|\n")
+    put(tmp_path, "late.txt", csv_row("select 7") + "\n" + "é" * 140_000 + "\n|Stmt=beyond the head|\n")
+    found = []
+    for size in ("1000b", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = detect.detect_formats(read_lines(spark, str(tmp_path))).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        found.append({r.file.rsplit("/", 1)[1]: r.format for r in rows})
+    assert found[0] == found[1] == {"mixed.txt": "feAuditLog", "late.txt": "auditLogOutfileCsv"}
