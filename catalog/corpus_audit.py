@@ -88,6 +88,7 @@ def audit_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return spark.read.parquet(f"{root}/records"), spark.read.parquet(f"{root}/templates")
 
 
+# The normalisation rules of templates in the other dialect.
 _NAME = r"(?:`[^`]+`|[a-zA-Z0-9_$]+)"
 _SOURCE_SELECT = ", ".join(f"{sql} AS {name}" for name, sql in _COLUMNS.items()).replace("{epoch_ms}", "(epoch_us(ts) // 1000)")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from querylens.functions.coerce import collapse_space, non_blank, trim
 
 # ASCII word boundaries; the engine's own \b also knows Unicode letters.
+# The normalisation rules of templates; loops are possessive, word borders ASCII.
 _WORD_START = "(?<![A-Za-z0-9_])"
 _WORD_END = "(?![A-Za-z0-9_])"
 _LIST = r"\s*+\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)"

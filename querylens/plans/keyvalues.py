@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from querylens.functions.coerce import collapse_space, once, trim
 
+# How facts of a node are written.
 _EQ = r"^([A-Za-z_][A-Za-z0-9_]*)=(.+)\z"
 _COLON = r"^([A-Za-z_][A-Za-z0-9_ ]*):\s*(.+)\z"
 _NEXT_PAIR = r",\s+(?=[A-Za-z_][A-Za-z0-9_ ]*\s*[:=])"

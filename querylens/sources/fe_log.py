@@ -13,6 +13,7 @@ from querylens.sources.columns import typed_columns
 from querylens.sources.lines import LINES, read_lines, without_cr
 
 _S = coerce.SPACE
+# How entries of the server log begin and name their keys.
 _STAMP = rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{_S}+[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}(?:[,.][0-9]{{3,6}})?(?:Z|[+-][0-9]{{2}}:?[0-9]{{2}})?"
 RECORD_START = rf"^{_STAMP}(?:{_S}+\[[^\]]+\])?{_S}+"
 _ENTRY = rf"(?s)^{_S}*({_STAMP}){_S}+(?:\[[^\]]+\])?{_S}*(.*)\z"
