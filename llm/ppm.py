@@ -17,7 +17,6 @@ chunk's task puts the answers together and sums them per text. What is shuffled
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from llm.hyperminhash import text_bytes, word_hashes
 ORDER = 5
 #: Text of one chunk, and of the slices in which its arrays are worked out.
 CHUNK_BYTES = 16 << 20
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 EDGE = 0xFF
 
 U = np.uint64
@@ -72,6 +71,23 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, n.astype(np.int64)
 
 
+class Tally:
+    """Distinct keys with training counts, merged whenever a few parts have come together."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, train: np.ndarray, other: np.ndarray) -> None:
+        keys, n = counted(train)
+        rest = np.unique(other)
+        self.parts += [(keys, n), (rest, np.zeros(len(rest), np.int64))]
+        if len(self.parts) > 12:
+            self.parts = [self.all()]
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        return summed(*(np.concatenate(x) for x in zip(*self.parts)))
+
+
 def place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index, found) of the wanted values in sorted keys."""
     if not len(keys):
@@ -133,13 +149,30 @@ CHUNK = "chunk long, kind string, bucket int, size long, payload binary"
 CHUNK_TYPES = pa.schema([("chunk", pa.int64()), ("kind", pa.string()), ("bucket", pa.int32()), ("size", pa.int64()), ("payload", pa.binary())])
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    return zlib.compress(b"".join(a.tobytes() for a in arrays), 1)
+def squeezed(data: bytes | pa.Buffer) -> bytes:
+    return pa.Codec("zstd", compression_level=3).compress(data, asbytes=True)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes and so on: small numbers become runs of zeros."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), 8).T).tobytes()
+
+
+def from_planes(data: bytes, kind: type, size: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * size).reshape(8, size).T).view(kind).ravel()
+
+
+def pack(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """Sorted keys by their differences, and a value each."""
+    steps = np.diff(keys, prepend=U(0))
+    body = planes(steps) + (planes(values) if values.dtype == np.int64 else values.tobytes())
+    return squeezed(body)
 
 
-def packed_pairs(payload: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
-    data = zlib.decompress(payload)
-    return np.frombuffer(data, U, size), np.frombuffer(data, np.int64, size, 8 * size)
+def unpack(payload: bytes, size: int, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
+    body = pa.decompress(payload, 16 * size, "zstd", asbytes=True)
+    rest = body[8 * size :]
+    return np.cumsum(from_planes(body, U, size), dtype=U), from_planes(rest, kind, size) if kind is np.int64 else np.frombuffer(rest, kind)
 
 
 def gram_bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
@@ -163,32 +196,29 @@ def chunks(rows: DataFrame, order: int, buckets: int) -> DataFrame:
         base = TaskContext.get().partitionId() << 32
 
         def closed(number: int, parts: list[pa.RecordBatch]) -> Iterator[tuple]:
-            chunk, grams, words, pairs = base + number, [], [], np.zeros(1 << 16, np.int64)
+            chunk, grams, words, pairs = base + number, Tally(), Tally(), np.zeros(1 << 16, np.int64)
             for part in parts:
                 data, offsets = text_bytes(part.column("text"))
                 train = part.column("train").to_numpy(zero_copy_only=False)
                 own, sizes = grams_of(data, offsets, order)
                 by_symbol = np.repeat(train, sizes)
-                for chosen, weight in ((own[by_symbol], 1), (own[~by_symbol], 0)):
-                    keys, n = counted(chosen)
-                    grams.append((keys, n * weight))
+                grams.add(own[by_symbol], own[~by_symbol])
                 pairs += np.bincount(low_bytes(own[by_symbol], 2).astype(np.int64), minlength=1 << 16)
                 hashes, per_row = word_hashes(data, offsets)
                 by_word = np.repeat(train, per_row)
-                for chosen, weight in ((hashes[by_word], 1), (hashes[~by_word], 0)):
-                    keys, n = counted(chosen)
-                    words.append((keys, n * weight))
-            keys, n = summed(*(np.concatenate(x) for x in zip(*grams)))
+                words.add(hashes[by_word], hashes[~by_word])
+            keys, n = grams.all()
             yield from dealt(chunk, "gram", keys, n, gram_bucket(keys, buckets), buckets)
-            keys, n = summed(*(np.concatenate(x) for x in zip(*words)))
+            keys, n = words.all()
             yield from dealt(chunk, "word", keys, n, (keys >> U(32)) % U(buckets), buckets)
             seen = np.flatnonzero(pairs)
             yield chunk, "pair", 0, len(seen), pack(seen.astype(U), pairs[seen])
-            whole = pa.Table.from_batches(parts).combine_chunks()
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(whole)
-            yield chunk, "text", -1, whole.num_rows, sink.getvalue().to_pybytes()
+            with pa.ipc.new_stream(sink, parts[0].schema) as writer:
+                for part in parts:
+                    writer.write_batch(part)
+            texts = sink.getvalue()
+            yield chunk, "text", -1, texts.size, squeezed(texts)
 
         def out(number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*closed(number, parts)), CHUNK_TYPES)], schema=CHUNK_TYPES)
@@ -212,7 +242,7 @@ def low_orders(staged: DataFrame) -> list[Order]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for size, payload in zip(batch.column("size").to_pylist(), batch.column("payload").to_pylist()):
-                keys, n = packed_pairs(payload, size)
+                keys, n = unpack(payload, size)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], ["pair", "n"])
 
     rows = staged.where("kind = 'pair'").select("size", "payload").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n")).collect()
@@ -225,12 +255,12 @@ ANSWER = "chunk long, kind string, bucket int, size long, payload binary, distin
 
 
 def answers(staged: DataFrame, order: int, low: list[Order]) -> DataFrame:
-    """Per chunk and bucket: log-probabilities of its grams or training counts of its words, in the order of its keys."""
+    """Per chunk and bucket: its grams with their log-probabilities, or its words with their training counts."""
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.select(["chunk", "kind", "bucket", "size", "payload"]).sort_by([("chunk", "ascending")]).to_pylist()
         kind = rows[0]["kind"]
-        sent = [packed_pairs(r["payload"], r["size"]) for r in rows]
+        sent = [unpack(r["payload"], r["size"]) for r in rows]
         keys, n = summed(*(np.concatenate(x) for x in zip(*sent)))
         distinct = total = 0
         if kind == "gram":
@@ -238,7 +268,7 @@ def answers(staged: DataFrame, order: int, low: list[Order]) -> DataFrame:
             told = log_probabilities(orders_of(keys[trained], n[trained], order, low), keys)
         else:
             told, distinct, total = n, int((n > 0).sum()), int(n.sum())
-        out = [pack(told[np.searchsorted(keys, own)]) for own, _ in sent]
+        out = [pack(own, told[np.searchsorted(keys, own)]) for own, _ in sent]
         again = [0] * (len(rows) - 1)
         return pa.table(
             [pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([kind] * len(rows)), pa.array([r["bucket"] for r in rows], pa.int32()), pa.array([r["size"] for r in rows], pa.int64()), pa.array(out, pa.binary()), pa.array([distinct, *again], pa.int64()), pa.array([total, *again], pa.int64())],
@@ -257,11 +287,11 @@ def scored(parts: DataFrame, order: int) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         held: dict[str, list] = {"gram": [], "word": []}
         text = None
-        for r in group.select(["kind", "ask", "size", "payload", "told"]).to_pylist():
+        for r in group.select(["kind", "size", "payload"]).to_pylist():
             if r["kind"] == "text":
-                text = r["payload"]
+                text = pa.decompress(r["payload"], r["size"], "zstd")
             else:
-                held[r["kind"]].append((packed_pairs(r["payload"], r["size"])[0], np.frombuffer(zlib.decompress(r["told"]), np.float64 if r["kind"] == "gram" else np.int64)))
+                held[r["kind"]].append(unpack(r["payload"], r["size"], np.float64 if r["kind"] == "gram" else np.int64))
         tables = {}
         for kind, found in held.items():
             keys, values = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, U), np.zeros(0))
@@ -270,7 +300,7 @@ def scored(parts: DataFrame, order: int) -> DataFrame:
         held.clear()
         (grams, logs), (words, counts) = tables["gram"], tables["word"]
         out = []
-        for batch in pa.ipc.open_stream(text).read_all().to_batches(max_chunksize=1 << 20):
+        for batch in pa.ipc.open_stream(text):
             for part in texts_in_slices(iter([batch]), SLICE_BYTES):
                 data, offsets = text_bytes(part.column("text"))
                 own, sizes = grams_of(data, offsets, order)
@@ -304,9 +334,7 @@ def ppm_scores(df: DataFrame, train: str, order: int = ORDER) -> DataFrame:
     told = stage(answers(staged, order, low_orders(staged)), "op10-answers")
     sums = told.agg(F.coalesce(F.sum("distinct_words"), F.lit(0)), F.coalesce(F.sum("train_words"), F.lit(0))).first()
     trained = rows.where("train").count()
-    texts = staged.where("kind = 'text'").select("chunk", "kind", "bucket", "size", "payload", F.lit(None).cast("binary").alias("told"))
-    asked = staged.where("kind IN ('gram', 'word')").join(told.select("chunk", "kind", "bucket", F.col("payload").alias("told")), ["chunk", "kind", "bucket"])
-    parts = texts.unionByName(asked).withColumnRenamed("bucket", "ask")
+    parts = staged.where("kind = 'text'").select("chunk", "kind", "size", "payload").union(told.select("chunk", "kind", "size", "payload"))
     # the end of a text is a token too: seen once in every training text
     tokens, kinds = sums[1] + trained, sums[0] + (trained > 0)
     out = scored(parts, order)
