@@ -8,16 +8,23 @@ from pyspark.sql import functions as F
 from querylens.functions.encode import tsv_field
 
 
-def write_records(records: DataFrame, path: str) -> None:
+#: Rows after which a task begins another file.
+ROWS_PER_FILE = 4_000_000
+
+
+def write_records(records: DataFrame, path: str, partitions: int | None = None) -> None:
     """Replace the datasets present in ``records``.
 
-    Rows are spread by dataset and time range, so that a large dataset gets many files, each with a
-    narrow time span for later skipping.
+    Rows are spread by dataset, time and record, so that a large dataset gets many files, each with a
+    narrow time span for later skipping; the record id splits rows without time and those of one busy
+    moment. ``partitions`` suits the size of the load; the default is the session's.
     """
+    order = ["dataset_id", "event_time_ms", "record_id"]
+    spread = records.repartitionByRange(partitions, *order) if partitions else records.repartitionByRange(*order)
     (
-        records.repartitionByRange("dataset_id", "event_time_ms")
-        .sortWithinPartitions("dataset_id", "event_time_ms", "record_id")
+        spread.sortWithinPartitions(*order)
         .write.partitionBy("dataset_id")
+        .option("maxRecordsPerFile", ROWS_PER_FILE)
         .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
         .parquet(path)

@@ -318,3 +318,11 @@ def test_format_does_not_depend_on_splits(spark, tmp_path):
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
         found.append({r.file.rsplit("/", 1)[1]: r.format for r in rows})
     assert found[0] == found[1] == {"mixed.txt": "feAuditLog", "late.txt": "auditLogOutfileCsv"}
+
+
+def test_rows_without_time_are_spread(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("'ds' AS dataset_id", "id AS record_id", "CASE WHEN id % 2 = 0 THEN id END AS event_time_ms")
+    target = str(tmp_path / "spread")
+    sinks.write_records(rows, target, 8)
+    sizes = [r["count"] for r in spark.read.parquet(target).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * min(sizes) and sum(sizes) == 4000
