@@ -1,25 +1,30 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
 Lines that are equal in lower case and without outer blanks are one node. A node's set holds the
-hashes of its character shingles (windows of SHINGLE UTF-16 units; a shorter line is its own shingle). Its
-signature are the SKETCH smallest hashes (bottom-k MinHash); every two of them are a band, so lines become
-candidates as soon as two of the smallest hashes agree: at the similarity THRESHOLD for more than 99 pairs of 100,
-and more often above. Candidates are verified by the exact Jaccard similarity of their whole sets; the confirmed links
+hashes of its character shingles: SHINGLE characters from the start of every word (a shorter line is its own shingle). Its
+signature are the SKETCH smallest hashes (bottom-k MinHash); every three of them are a band, so lines become
+candidates as soon as three of the smallest hashes agree: at the similarity THRESHOLD for 98 pairs of 100, at
+0.9 for 999 of 1000. Candidates are verified by the exact Jaccard similarity of their whole sets; the confirmed links
 go through distributed union-find (see ``linking``). Of each component the first occurrence stays: the smallest
 document id, then the smallest line number.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm.common import stage, table
 from llm.linking import components, open_members, ordered_pairs, star_pairs
 
-SHINGLE = 12
+SHINGLE = 16
 THRESHOLD = 0.8
-SKETCH = 5
+#: A shingle begins with every word, and within long words after every eighth character.
+_WINDOWS = rf"(?s)(?=(.{{{SHINGLE}}}))\S{{1,8}}\s*"
+_ANY = rf"(?s)(?=.{{{SHINGLE}}})\S"
+SKETCH = 6
 _SLOTS = [f"s{i}" for i in range(SKETCH)]
 
 
@@ -40,13 +45,19 @@ def node(norm: Column) -> Column:
     return F.xxhash64(norm)
 
 
-def with_shingles(df: DataFrame, norm: str, name: str) -> DataFrame:
-    """The hashes of all windows as a column; two bytes a UTF-16 unit, so that a window is a slice at a known place."""
-    units = f"_{name}"
-    last = F.greatest(F.lit(1), F.octet_length(units) - (2 * SHINGLE - 1))
-    window = lambda start: F.xxhash64(F.substr(units, start, F.lit(2 * SHINGLE)))
-    encoded = df.withColumn(units, F.encode(norm, "UTF-16BE"))
-    return encoded.withColumn(name, F.transform(F.sequence(F.lit(1), last, F.lit(2)), window)).drop(units)
+def shingles(norm: Column) -> Column:
+    """Hashes of the shingles, in the order of the line and with repeats."""
+    found = F.regexp_extract_all(norm, F.lit(_WINDOWS), 1)
+    return F.transform(F.when(F.rlike(norm, F.lit(_ANY)), found).otherwise(F.array(norm)), lambda window: F.xxhash64(window))
+
+
+def similar(one: Column, other: Column) -> Column:
+    """Whether the whole sets of two lines reach the threshold; each line is read once, wherever the condition ends up in the plan."""
+    bound = lambda value, use: F.transform(F.array(value), use)[0]
+    distinct = lambda norm: F.array_distinct(shingles(norm))
+    counted = lambda p: F.struct(F.size(F.array_intersect(p["a"], p["b"])).alias("n"), (F.size(p["a"]) + F.size(p["b"])).alias("both"))
+    enough = lambda p: bound(counted(p), lambda q: q["n"] >= THRESHOLD * (q["both"] - q["n"]))
+    return bound(F.struct(distinct(one).alias("a"), distinct(other).alias("b")), enough)
 
 
 def smallest(hashes: str) -> Column:
@@ -57,18 +68,16 @@ def smallest(hashes: str) -> Column:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node): one key for every two of a node's smallest hashes."""
-    bands = [F.when(F.col(b).isNotNull(), F.xxhash64(a, b)) for i, a in enumerate(_SLOTS) for b in _SLOTS[i + 1 :]]
-    return nodes.select("node", F.explode(F.array_compact(F.array(*bands))).alias("key"))
+    """(key, node): one key for every three of a node's smallest hashes; a node with fewer has one key of all."""
+    bands = [F.when(F.col(c[-1]).isNotNull(), F.xxhash64(*c)) for c in combinations(_SLOTS, 3)]
+    few = F.when(F.col(_SLOTS[2]).isNull(), F.xxhash64(F.col(_SLOTS[0]), F.coalesce(_SLOTS[1], _SLOTS[0])))
+    return nodes.select("node", F.explode(F.array_compact(F.array(*bands, few))).alias("key"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs whose whole sets reach the threshold."""
     a, b = (texts.select(F.col("node").alias(x), F.col("norm").alias(f"t{x}")) for x in "ab")
-    sets = with_shingles(with_shingles(pairs.join(a, "a").join(b, "b"), "ta", "ha"), "tb", "hb")
-    sets = sets.select("a", "b", F.array_distinct("ha").alias("sa"), F.array_distinct("hb").alias("sb"))
-    counted = sets.select("a", "b", (F.size("sa") + F.size("sb")).alias("both"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
-    return counted.where(F.col("shared") >= THRESHOLD * (F.col("both") - F.col("shared"))).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(similar(F.col("ta"), F.col("tb"))).select("a", "b")
 
 
 def line_classes(df: DataFrame) -> DataFrame:
@@ -80,7 +89,7 @@ def line_classes(df: DataFrame) -> DataFrame:
     table gives no rows; extra columns are ignored.
     """
     lines = lines_of(df)
-    signed = with_shingles(lines, "norm", "hashes").withColumn("node", F.when(F.col("norm").isNotNull(), node(F.col("norm"))))
+    signed = lines.withColumn("hashes", shingles(F.col("norm"))).withColumn("node", F.when(F.col("norm").isNotNull(), node(F.col("norm"))))
     rows = stage(signed.select("doc_id", "line_no", "node", smallest("hashes").alias("sketch")), "op5-rows")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(*(F.min(F.get("sketch", F.lit(i))).alias(s) for i, s in enumerate(_SLOTS)))
     sized = buckets(nodes).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")

@@ -1,11 +1,12 @@
 import random
+import re
 
 from llm import line_dedup as L
 
 
 def shingles(line):
-    units = line.encode("utf-16-be")
-    return {units[i : i + 2 * L.SHINGLE] for i in range(0, max(1, len(units) - 2 * L.SHINGLE + 1), 2)}
+    found = {m[1] for m in re.finditer(r"(?s)(?=(.{%d}))[^ \t\n\x0b\f\r]{1,8}[ \t\n\x0b\f\r]*" % L.SHINGLE, line)}
+    return found or {line}
 
 
 def brute(rows):
