@@ -221,9 +221,9 @@ def src_18(spark, sf):
     return table(spark, sf, "documents").select("doc_id", displayed_statement(F.col("text")).alias("shown"))
 
 
-@query("src_18_statement_stored", sql("SELECT row_number() OVER (ORDER BY record_id) - 1 AS record_id, stmt_raw FROM r"))
+@query("src_18_statement_stored", sql("SELECT row_number() OVER (ORDER BY record_id) - 1 AS record_id, replace(stmt_raw, chr(13) || chr(10), chr(10)) AS stmt_raw FROM r"))
 def src_18_stored(spark, sf):
-    """Stored statements are whole, whatever their length."""
+    """Stored statements are whole, whatever their length; a log line does not keep the return at its end."""
     return ingested(spark, sf, "fe").records.select("record_id", "stmt_raw")
 
 
