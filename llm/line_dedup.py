@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
 Lines that are equal in lower case and without outer blanks are one node. A node's set holds the
-hashes of its character shingles: SHINGLE characters from the start of every word (a shorter line is its own shingle). Its
+hashes of its character shingles: every window of SHINGLE characters (a shorter line is its own shingle). Its
 signature are the SKETCH smallest hashes (bottom-k MinHash); every three of them are a band, so lines become
 candidates as soon as three of the smallest hashes agree: at the similarity THRESHOLD for 98 pairs of 100, at
 0.9 for 999 of 1000. Candidates are verified by the exact Jaccard similarity of their whole sets; the confirmed links
@@ -11,6 +11,7 @@ document id, then the smallest line number.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,9 +22,8 @@ from llm.linking import components, open_members, ordered_pairs, star_pairs
 
 SHINGLE = 16
 THRESHOLD = 0.8
-#: A shingle begins with every word, and within long words after every eighth character.
-_WINDOWS = rf"(?s)(?=(.{{{SHINGLE}}}))\S{{1,8}}\s*"
-_ANY = rf"(?s)(?=.{{{SHINGLE}}})\S"
+#: Bytes of a character, the same for all, so that a window is a slice at a known place.
+_WIDE = 4
 SKETCH = 6
 _SLOTS = [f"s{i}" for i in range(SKETCH)]
 
@@ -45,15 +45,21 @@ def node(norm: Column) -> Column:
     return F.xxhash64(norm)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, wherever the expression ends up in the plan."""
+    return F.transform(F.array(value), use)[0]
+
+
 def shingles(norm: Column) -> Column:
     """Hashes of the shingles, in the order of the line and with repeats."""
-    found = F.regexp_extract_all(norm, F.lit(_WINDOWS), 1)
-    return F.transform(F.when(F.rlike(norm, F.lit(_ANY)), found).otherwise(F.array(norm)), lambda window: F.xxhash64(window))
+    last = lambda units: F.greatest(F.lit(1), F.octet_length(units) - (_WIDE * SHINGLE - 1))
+    window = lambda units, start: F.xxhash64(F.substr(units, start, F.lit(_WIDE * SHINGLE)))
+    cut = lambda units: F.transform(F.sequence(F.lit(1), last(units), F.lit(_WIDE)), lambda start: window(units, start))
+    return bound(F.encode(norm, "UTF-32"), cut)
 
 
 def similar(one: Column, other: Column) -> Column:
-    """Whether the whole sets of two lines reach the threshold; each line is read once, wherever the condition ends up in the plan."""
-    bound = lambda value, use: F.transform(F.array(value), use)[0]
+    """Whether the whole sets of two lines reach the threshold."""
     distinct = lambda norm: F.array_distinct(shingles(norm))
     counted = lambda p: F.struct(F.size(F.array_intersect(p["a"], p["b"])).alias("n"), (F.size(p["a"]) + F.size(p["b"])).alias("both"))
     enough = lambda p: bound(counted(p), lambda q: q["n"] >= THRESHOLD * (q["both"] - q["n"]))

@@ -82,3 +82,20 @@ def test_query(spark, sf_dir):
             seen.setdefault(line.strip(" ").lower(), (r.doc_id, n))
     texts = {r.doc_id: r.text.split("\n") for r in docs}
     assert all(not r.kept for r in out if seen[t := texts[r.doc_id][r.line_no].strip(" ").lower()] != (r.doc_id, r.line_no) and t.strip())
+
+
+def all_windows(line):
+    return {line[i : i + L.SHINGLE] for i in range(max(1, len(line) - L.SHINGLE + 1))}
+
+
+def dropped(spark, texts):
+    """Places of the lines, one a document, that an earlier one replaces."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in L.line_classes(df).collect() if not r.kept}
+
+
+def test_tails_count(spark):
+    texts = ["The result was 17", "The result was 18", "Figure 1 shows the results for group A", "Figure 1 shows the results for group B", "2024-05-01 12:00:01 price 10.50", "2024-05-01 12:00:01 price 10.59", "x" * 17, "x" * 18]
+    expect = {j for j, t in enumerate(texts) if any(len(all_windows(s) & all_windows(t)) >= L.THRESHOLD * len(all_windows(s) | all_windows(t)) for s in texts[:j])}
+    assert {1} & expect == set() and 7 in expect
+    assert dropped(spark, texts) == expect
