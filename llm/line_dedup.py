@@ -2,17 +2,16 @@
 
 Lines that are equal in lower case and without outer blanks are one node. A node's set holds the
 hashes of its character shingles: every window of SHINGLE characters (a shorter line is its own shingle). Its
-signature are the SKETCH smallest hashes (bottom-k MinHash); every three of them are a band, so lines become
-candidates as soon as three of the smallest hashes agree: at the similarity THRESHOLD for 98 pairs of 100, at
-0.9 for 999 of 1000. Candidates are verified by the exact Jaccard similarity of their whole sets; the confirmed links
-go through distributed union-find (see ``linking``). Of each component the first occurrence stays: the smallest
-document id, then the smallest line number.
+signature are the SKETCH smallest hashes (bottom-k MinHash); every two that follow each other are a key, and lines with
+a common key are candidates if their signatures share enough. A pair at the similarity THRESHOLD is missed with a probability below one in a
+million (0.7 for no common key, 0.14 for too few shared hashes, in millionths). Candidates are verified by the exact Jaccard similarity of
+their whole sets; the confirmed links go through distributed union-find (see ``linking``). Of each component the first
+occurrence stays: the smallest document id, then the smallest line number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,8 +23,10 @@ SHINGLE = 16
 THRESHOLD = 0.8
 #: Bytes of a character, the same for all, so that a window is a slice at a known place.
 _WIDE = 4
-SKETCH = 6
-_SLOTS = [f"s{i}" for i in range(SKETCH)]
+#: Hashes of a signature, and how many of them two similar lines have in common at least.
+SKETCH, SHARED = 22, 7
+#: Of a long line only about so many of the smallest hashes are sorted.
+_SORTED = 64
 
 
 def plain(line: Column) -> Column:
@@ -50,10 +51,10 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def shingles(norm: Column) -> Column:
+def shingles(norm: Column, by: Callable[..., Column] = F.xxhash64) -> Column:
     """Hashes of the shingles, in the order of the line and with repeats."""
     last = lambda units: F.greatest(F.lit(1), F.octet_length(units) - (_WIDE * SHINGLE - 1))
-    window = lambda units, start: F.xxhash64(F.substr(units, start, F.lit(_WIDE * SHINGLE)))
+    window = lambda units, start: by(F.substr(units, start, F.lit(_WIDE * SHINGLE)))
     cut = lambda units: F.transform(F.sequence(F.lit(1), last(units), F.lit(_WIDE)), lambda start: window(units, start))
     return bound(F.encode(norm, "UTF-32"), cut)
 
@@ -66,18 +67,41 @@ def similar(one: Column, other: Column) -> Column:
     return bound(F.struct(distinct(one).alias("a"), distinct(other).alias("b")), enough)
 
 
-def smallest(hashes: str) -> Column:
-    """The smallest distinct hashes; only a line that repeats its smallest ones needs all of them made distinct."""
-    few = F.array_distinct(F.slice(F.sort_array(hashes), 1, 3 * SKETCH))
-    every = F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
-    return F.when((F.size(few) >= SKETCH) | (F.size(hashes) <= 3 * SKETCH), F.slice(few, 1, SKETCH)).otherwise(every)
+def sketch(hashes: Column) -> Column:
+    """The smallest distinct hashes, in 32 bits; only a line that repeats its smallest ones needs all of them sorted."""
+    lowest = lambda values: F.slice(F.sort_array(F.array_distinct(values)), 1, SKETCH)
+    limit = lambda h: F.when(F.size(h) > 2 * _SORTED, (F.lit(2.0**32 * _SORTED) / F.size(h) - 2.0**31).cast("int"))
+    few = lambda p: F.when(p["limit"].isNull(), p["h"]).otherwise(F.filter(p["h"], lambda x: x < p["limit"]))
+    enough = lambda p: bound(lowest(few(p)), lambda s: F.when(p["limit"].isNull() | (F.size(s) >= SKETCH), s).otherwise(lowest(p["h"])))
+    return bound(hashes, lambda h: bound(F.struct(h.alias("h"), limit(h).alias("limit")), enough))
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node): one key for every three of a node's smallest hashes; a node with fewer has one key of all."""
-    bands = [F.when(F.col(c[-1]).isNotNull(), F.xxhash64(*c)) for c in combinations(_SLOTS, 3)]
-    few = F.when(F.col(_SLOTS[2]).isNull(), F.xxhash64(F.col(_SLOTS[0]), F.coalesce(_SLOTS[1], _SLOTS[0])))
-    return nodes.select("node", F.explode(F.array_compact(F.array(*bands, few))).alias("key"))
+    """(key, node): one key for every two hashes that follow each other in a node's signature; a single one has a key of its own."""
+    at = lambda i: F.get("sketch", i)
+    keys = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("sketch") - 2)), lambda i: F.xxhash64(at(i), F.coalesce(at(i + 1), at(i))))
+    return nodes.select("node", F.explode(keys).alias("key"))
+
+
+def likely(one: Column, other: Column) -> Column:
+    """Whether signatures allow the threshold: those of sets that fit in whole decide, others must share SHARED hashes."""
+    both = F.size(one) + F.size(other)
+    whole = (F.size(one) < SKETCH) & (F.size(other) < SKETCH)
+    return bound(F.size(F.array_intersect(one, other)), lambda n: F.when(whole, n >= THRESHOLD * (both - n)).otherwise(n >= SHARED))
+
+
+def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    a, b = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").where(likely(F.col("sa"), F.col("sb"))).select("a", "b")
+
+
+def open_pairs(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of likely pairs that join different components within a block; a block is compared inside one row."""
+    held = blocks.join(nodes, "node").groupBy("key", "block").agg(F.collect_list(F.struct("component", "node", "sketch")).alias("held"))
+    fits = lambda x, y: (x["component"] < y["component"]) & likely(x["sketch"], y["sketch"])
+    partners = lambda x: F.transform(F.filter("held", lambda y: fits(x, y)), lambda y: F.struct(x["node"].alias("x"), y["node"].alias("y")))
+    found = held.select(F.explode(F.flatten(F.transform("held", partners))).alias("p"))
+    return ordered_pairs(found.select("p.x", "p.y"), "x", "y")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -95,22 +119,20 @@ def line_classes(df: DataFrame) -> DataFrame:
     table gives no rows; extra columns are ignored.
     """
     lines = lines_of(df)
-    signed = lines.withColumn("hashes", shingles(F.col("norm"))).withColumn("node", F.when(F.col("norm").isNotNull(), node(F.col("norm"))))
-    rows = stage(signed.select("doc_id", "line_no", "node", smallest("hashes").alias("sketch")), "op5-rows")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(*(F.min(F.get("sketch", F.lit(i))).alias(s) for i, s in enumerate(_SLOTS)))
+    signed = lines.select("doc_id", "line_no", F.when(F.col("norm").isNotNull(), node(F.col("norm"))).alias("node"), sketch(shingles(F.col("norm"), F.hash)).alias("sketch"))
+    rows = stage(signed, "op5-rows")
+    nodes = stage(rows.where("node IS NOT NULL").select("node", "sketch").dropDuplicates(["node"]), "op5-nodes")
     sized = buckets(nodes).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
     members = stage(sized.withColumn("total", F.lit(0)), "op5-members")
     wanted = members.select("node").distinct()
     places = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     again = lines_of(df.join(places, "doc_id", "left_semi")).where("norm IS NOT NULL").withColumn("node", node(F.col("norm")))
     texts = stage(again.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "norm"), "op5-texts")
-    tried = star_pairs(members)
+    tried = stage(likely_pairs(star_pairs(members), nodes), "op5-pairs")
     edges = stage(verified(tried, texts), "op5-edges")
     found = components(edges, "op5-components")
     blocks = open_members(members, found)
-    one, other = (blocks.select("key", "block", F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "xy")
-    left = ordered_pairs(one.join(other, ["key", "block"]).where("cx < cy"), "x", "y")
-    more = stage(verified(left.join(tried, ["a", "b"], "left_anti"), texts), "op5-edges")
+    more = stage(verified(open_pairs(blocks, nodes).join(tried, ["a", "b"], "left_anti"), texts), "op5-edges")
     if more.take(1):
         found = components(edges.union(more), "op5-components")
     labelled = rows.select("doc_id", "line_no", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

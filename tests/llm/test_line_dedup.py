@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -99,3 +100,23 @@ def test_tails_count(spark):
     expect = {j for j, t in enumerate(texts) if any(len(all_windows(s) & all_windows(t)) >= L.THRESHOLD * len(all_windows(s) | all_windows(t)) for s in texts[:j])}
     assert {1} & expect == set() and 7 in expect
     assert dropped(spark, texts) == expect
+
+
+def test_near_copies_without_blanks(spark):
+    draw = random.Random(5)
+    line = lambda n: "".join(chr(draw.randrange(0x4E00, 0x9000)) for _ in range(n))
+    texts, expect = [], set()
+    for _ in range(60):
+        text = line(200)
+        texts += [text, "x" + text, text[:190] + line(1) + text[190:], line(1) + text + line(10)]
+        expect |= {len(texts) - i for i in (1, 2, 3)}
+    assert dropped(spark, texts) == expect
+
+
+def test_candidates_at_the_threshold():
+    """Of the SKETCH smallest hashes of a union each is shared at 0.8: no two next to each other, or fewer than SHARED."""
+    t, apart = L.THRESHOLD, [1.0, 1.0]
+    while len(apart) <= L.SKETCH:
+        apart.append((1 - t) * apart[-1] + t * (1 - t) * apart[-2])
+    few = sum(math.comb(L.SKETCH, n) * t**n * (1 - t) ** (L.SKETCH - n) for n in range(L.SHARED))
+    assert apart[L.SKETCH] + few < 1e-6
