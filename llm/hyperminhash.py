@@ -212,9 +212,9 @@ def open_links(blocks: DataFrame, nodes: DataFrame, sets: DataFrame, percent: in
 
 
 def node_sets(rows: DataFrame, sketched: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, set) of the wanted nodes: the whole texts of one document each are read again."""
+    """(node, set) of the wanted nodes: the whole texts of one document each are read again, and of all rows without id, as those cannot be told apart."""
     chosen = sketched.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    again = rows.join(chosen, "doc_id", "left_semi")
+    again = rows.join(chosen, "doc_id", "left_semi").union(rows.where("doc_id IS NULL"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in texts_in_slices(batches, SLICE_BYTES):

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from llm.common import stage, table
 from llm.linking import components, open_members, ordered_pairs, star_pairs
+from querylens.session import broadcast_if_small
 
 SHINGLE = 16
 THRESHOLD = 0.8
@@ -27,6 +28,8 @@ _WIDE = 4
 SKETCH, SHARED = 22, 7
 #: Of a long line only about so many of the smallest hashes are sorted.
 _SORTED = 64
+#: About what a broadcast id takes in memory.
+ROW_BYTES = 64
 
 
 def plain(line: Column) -> Column:
@@ -104,10 +107,22 @@ def open_pairs(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
     return ordered_pairs(found.select("p.x", "p.y"), "x", "y")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def texts_of(pairs: DataFrame, rows: DataFrame, df: DataFrame) -> DataFrame:
+    """(node, norm) of the nodes in the pairs: one document of each is read again, and all without an id, as those cannot be told apart."""
+    wanted = stage(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("node")), "op5-wanted")
+    near = broadcast_if_small(wanted, ROW_BYTES)
+    places = stage(rows.join(near, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")).where("_id IS NOT NULL").select("_id").distinct(), "op5-places")
+    doc_id = F.col("doc_id").cast("long")
+    again = df.join(broadcast_if_small(places, ROW_BYTES), doc_id == F.col("_id"), "left_semi").select("doc_id", "text").union(df.where(doc_id.isNull()).select("doc_id", "text"))
+    lines = lines_of(again).where("norm IS NOT NULL").withColumn("node", node(F.col("norm")))
+    return stage(lines.join(near, "node", "left_semi").dropDuplicates(["node"]).select("node", "norm"), "op5-texts")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, df: DataFrame) -> DataFrame:
     """Pairs whose whole sets reach the threshold."""
+    texts = texts_of(pairs, rows, df)
     a, b = (texts.select(F.col("node").alias(x), F.col("norm").alias(f"t{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").where(similar(F.col("ta"), F.col("tb"))).select("a", "b")
+    return stage(pairs.join(a, "a").join(b, "b").where(similar(F.col("ta"), F.col("tb"))).select("a", "b"), "op5-edges")
 
 
 def line_classes(df: DataFrame) -> DataFrame:
@@ -119,22 +134,19 @@ def line_classes(df: DataFrame) -> DataFrame:
     table gives no rows; extra columns are ignored.
     """
     lines = lines_of(df)
-    signed = lines.select("doc_id", "line_no", F.when(F.col("norm").isNotNull(), node(F.col("norm"))).alias("node"), sketch(shingles(F.col("norm"), F.hash)).alias("sketch"))
-    rows = stage(signed, "op5-rows")
-    nodes = stage(rows.where("node IS NOT NULL").select("node", "sketch").dropDuplicates(["node"]), "op5-nodes")
+    rows = stage(lines.select("doc_id", "line_no", F.when(F.col("norm").isNotNull(), node(F.col("norm"))).alias("node")), "op5-rows")
+    signed = lines.where("norm IS NOT NULL").select(node(F.col("norm")).alias("node"), sketch(shingles(F.col("norm"), F.hash)).alias("sketch"))
+    nodes = stage(signed.dropDuplicates(["node"]), "op5-nodes")
     sized = buckets(nodes).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
     members = stage(sized.withColumn("total", F.lit(0)), "op5-members")
-    wanted = members.select("node").distinct()
-    places = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    again = lines_of(df.join(places, "doc_id", "left_semi")).where("norm IS NOT NULL").withColumn("node", node(F.col("norm")))
-    texts = stage(again.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "norm"), "op5-texts")
-    tried = stage(likely_pairs(star_pairs(members), nodes), "op5-pairs")
-    edges = stage(verified(tried, texts), "op5-edges")
+    together = stage(members.select("node").distinct(), "op5-together")
+    signatures = stage(nodes.join(broadcast_if_small(together, ROW_BYTES), "node", "left_semi"), "op5-signatures")
+    tried = stage(likely_pairs(star_pairs(members), signatures), "op5-pairs")
+    edges = verified(tried, rows, df)
     found = components(edges, "op5-components")
-    blocks = open_members(members, found)
-    more = stage(verified(open_pairs(blocks, nodes).join(tried, ["a", "b"], "left_anti"), texts), "op5-edges")
-    if more.take(1):
-        found = components(edges.union(more), "op5-components")
+    left = stage(open_pairs(open_members(members, found), signatures).join(tried, ["a", "b"], "left_anti"), "op5-pairs")
+    if left.take(1):
+        found = components(edges.union(verified(left, rows, df)), "op5-components")
     labelled = rows.select("doc_id", "line_no", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
     firsts = labelled.where("node IS NOT NULL").groupBy("component").agg(F.min(place).alias("first"))

@@ -94,3 +94,9 @@ def test_query(spark, sf_dir):
     out = H.op2(spark, sf_dir).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(rows, 3, 85)
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
+
+
+def test_near_copy_without_id(spark):
+    words = [f"w{i}" for i in range(40)]
+    df = spark.createDataFrame([(None, " ".join(words)), (7, " ".join(words[:-1] + ["x"]))], "doc_id long, text string")
+    assert {tuple(r) for r in H.near_duplicates(df, 3, 85).collect()} == {(7, 38, 7, True), (None, 38, 7, False)}

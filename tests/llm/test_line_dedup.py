@@ -120,3 +120,9 @@ def test_candidates_at_the_threshold():
         apart.append((1 - t) * apart[-1] + t * (1 - t) * apart[-2])
     few = sum(math.comb(L.SKETCH, n) * t**n * (1 - t) ** (L.SKETCH - n) for n in range(L.SHARED))
     assert apart[L.SKETCH] + few < 1e-6
+
+
+def test_near_copy_without_id(spark):
+    line = "a line of some length that is found once more with a slight change near its very end, {}"
+    df = spark.createDataFrame([(None, line.format("x")), (7, line.format("y"))], "doc_id long, text string")
+    assert {(r.doc_id, r.first_doc_id, r.kept) for r in L.line_classes(df).collect()} == {(7, 7, True), (None, 7, False)}
