@@ -10,6 +10,9 @@ A query probes, for t = 0, 1, ..., all values within distance t of each of its s
 principle that retrieves every code within Hamming radius m * (t + 1) - 1 of m substrings. The smallest radius
 up to there that holds enough rows is then complete, and all rows within it are ranked by their inner products in double precision.
 
+How many rows are enough follows from the data: codes tell less where norms differ much, so on a bounded sample
+the share of rows is measured that a radius must hold to have the true neighbours of a bounded set of queries.
+
 All rows are indexed, in blocks; the stated query set meets every block, in blocks of its own. A task holds one
 block of either. For the ranking each block hands on its best k rows a query.
 """
@@ -23,14 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from llm.common import hashed_sample, shuffle_width, stage, table
+from llm.common import hashed_sample, stage, table
 
 #: Bound on the rows that the rotations are fitted on.
 SAMPLE = 8192
 CODE_BITS = 256
 FIT_ROUNDS = 25
-#: The radius in a block must hold this share of its rows, and LEAST rows at least.
+#: The radius in a block must hold this share of its rows, and LEAST rows at least; the share grows until on the sample
+#: RECALL of the neighbours of PROBES queries are within it.
 SHARE, LEAST = 0.05, 128
+RECALL, PROBES = 0.97, 256
+#: Index blocks at most that are made for the sake of parallel work; fixed, so that results do not follow from the cluster.
+SPREAD = 32
 #: Components of an index block and of a query block.
 INDEX_FLOATS, QUERY_FLOATS = 1 << 23, 1 << 21
 
@@ -105,6 +112,20 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def needed_share(ids: np.ndarray, rows: np.ndarray, asks: list[tuple[int, np.ndarray]], norm: float, turn: np.ndarray, k: int) -> float:
+    """The share of rows that a radius must hold to have RECALL of the k nearest rows of every ask.
+
+    Of a larger table the k nearest are nearer still, so that a sample rather asks for too much.
+    """
+    code, shares = codes(widened(rows, norm), turn), [np.zeros(1)]
+    for key, x in asks:
+        distance = np.bitwise_count(code ^ codes(np.append(x, 0.0)[None], turn)).sum(1, dtype=np.int64)
+        others = np.flatnonzero(ids != key)
+        top = others[best((rows[others] * x).sum(1), ids[others], k)]
+        shares.append((np.searchsorted(np.sort(distance), distance[top]) + 1) / len(ids))
+    return float(np.quantile(np.concatenate(shares), RECALL, method="higher"))
+
+
 def usable(df: DataFrame, vector: str) -> DataFrame:
     """Rows with an id and a finite vector other than zero."""
     v = F.col(vector).cast("array<double>")
@@ -123,8 +144,8 @@ def nearest(df: DataFrame, queries: str, k: int = 20, vector: str = "embedding",
     null, empty, zero or hold null or non-finite components take no part, nor do vectors of another length than the most
     frequent one (the smaller of equally frequent ones). Rows with the query's own vec_id are not its
     candidates; of several rows with a query's id the smallest vector asks. Fewer than k candidates are all
-    returned; an empty table or query set gives no rows. Extra columns are ignored. A larger ``share`` of rows
-    to rank raises recall where norms differ much.
+    returned; an empty table or query set gives no rows. Extra columns are ignored. ``share``: of the rows
+    of a block, how many are ranked at least; more are where the data asks for it (see ``needed_share``).
     """
     spark = df.sparkSession
     valid = stage(usable(df, vector), "op7-vectors")
@@ -137,9 +158,13 @@ def nearest(df: DataFrame, queries: str, k: int = 20, vector: str = "embedding",
     rows = valid.where(F.size("v") == d)
     asked = rows.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     q = asked.count()
-    turn = rotations(np.array([r["v"] for r in hashed_sample(rows, "vec_id", SAMPLE)]), norm)
+    sample = hashed_sample(rows, "vec_id", SAMPLE)
+    fitted = np.array([r["v"] for r in sample])
+    turn = rotations(fitted, norm)
+    asks = [(r["vec_id"], np.array(r["v"])) for r in hashed_sample(asked, "vec_id", PROBES)]
+    share = max(share, needed_share(np.array([r["vec_id"] for r in sample]), fitted, asks, norm, turn, k))
     query_blocks = max(1, math.ceil(q * d / QUERY_FLOATS))
-    spread = min(math.ceil(shuffle_width(spark) / query_blocks), n // 4096)
+    spread = min(math.ceil(SPREAD / query_blocks), n // 4096)
     index_blocks = max(1, math.ceil(n * d / INDEX_FLOATS), spread)
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     dealt = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
@@ -153,7 +178,7 @@ def nearest(df: DataFrame, queries: str, k: int = 20, vector: str = "embedding",
             asks = matrix(wanted.column("v"), d)
             tables = Index(codes(widened(vectors, norm), turn))
             ask_codes = codes(np.concatenate([asks, np.zeros((len(asks), 1))], axis=1), turn)
-            least = max(LEAST, k + 1, int(len(ids) * share))
+            least = max(LEAST, k + 1, math.ceil(len(ids) * share))
             for key, x, code in zip(wanted.column("vec_id").to_pylist(), asks, ask_codes):
                 near = tables.within(code, least)
                 near = near[ids[near] != key]

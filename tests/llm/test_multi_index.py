@@ -77,3 +77,15 @@ def test_query_recall(spark):
     expect, got = brute(rows, [i for i, _ in rows if i % 20 == 0], 20), found(M.op7(spark, sf_dir))
     assert set(got) == set(expect)
     assert sum(len({i for i, _ in expect[q]} & {i for i, _ in got[q]}) for q in expect) >= 0.9 * 20 * len(expect)
+
+
+@pytest.mark.parametrize("longest", [3, 60])
+def test_recall_at_the_default(spark, longest):
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(6000, 24)) * draw.uniform(0.5, 3, (6000, 1))
+    x[5000:5005] *= longest / 3  # a few very long vectors
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    expect, got = brute(rows, range(0, 6000, 100), 20), found(M.nearest(df, "vec_id % 100 = 0"))
+    hits = sum(len({i for i, _ in expect[q]} & {i for i, _ in got[q]}) for q in expect)
+    assert hits >= 0.9 * 20 * len(expect), hits
