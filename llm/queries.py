@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from llm import arc_convert, byte_bpe, exact_dedup, html_layout, hyperminhash, line_dedup, multi_index, ppm, pu_quality, vector_packing
+from llm import (
+    arc_convert,
+    byte_bpe,
+    cross_parsing,
+    exact_dedup,
+    html_layout,
+    hyperminhash,
+    importance_resampling,
+    line_dedup,
+    multi_index,
+    ppm,
+    pu_quality,
+    spelling_variants,
+    vector_packing,
+)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
@@ -15,8 +29,13 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.op8,
     "op9_html_layout": html_layout.op9,
     "op10_ppm": ppm.op10,
+    "op11_spelling_variants": spelling_variants.op11,
+    "op12_importance_resampling": importance_resampling.op12,
+    "op13_cross_parsing": cross_parsing.op13,
 }
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op6_arc_to_warc": arc_convert.OP6_SQL,
+    "op11_spelling_variants": spelling_variants.OP11_SQL,
+    "op12_importance_resampling": importance_resampling.OP12_SQL,
 }
