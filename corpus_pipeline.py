@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from llm.common import stage, table
 from llm.hyperminhash import near_duplicates
-from llm.line_dedup import without_repeats
+from llm.line_dedup import fresh_name, without_repeats
 from llm.pu_quality import HELD_OUT, accepted
 from llm.vector_packing import packed_documents
 
@@ -18,15 +18,27 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier place of the corpus has; a document may end up empty, but stays."""
-    out = without_repeats(docs)
+    """Documents without lines that an earlier place of the corpus has; a document of which nothing but blank lines is left goes."""
+    out = without_repeats(docs, leave_out_emptied=True)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def one_of_a_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    gone = near_duplicates(docs, words=5, percent=80).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    The one with the smallest id stays; a null id comes last. Rows that repeat an id are documents of their own, of which the text's digest decides;
+    of rows that agree in id and text one stays.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
+    if not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").take(1):
+        gone = near_duplicates(docs, words=5, percent=80).where("NOT kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    row, number = fresh_name(docs, "row"), fresh_name(docs, "number")
+    # numbers in the order of the keys: tasks of a sorted table hold ranges that follow each other
+    numbers = stage(docs.select(key.alias(row)).distinct().orderBy(row).withColumn(number, F.monotonically_increasing_id()), "pipeline-rows")
+    numbered = stage(docs.withColumn(row, key).dropDuplicates([row]).join(numbers, row), "pipeline-numbered")
+    gone = near_duplicates(numbered.select(F.col(number).alias("doc_id"), "text"), words=5, percent=80).where("NOT kept").select(F.col("doc_id").alias(number))
+    return numbered.join(gone, number, "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,17 +3,23 @@
 Lines that are equal in lower case and without outer blanks are one node. A node's set holds the
 hashes of its character shingles: every window of SHINGLE characters (a shorter line is its own shingle). Its
 signature are the SKETCH smallest hashes (bottom-k MinHash); every two that follow each other are a key, and lines with
-a common key are candidates if their signatures share enough. A pair at the similarity THRESHOLD is missed with a probability below one in a
-million (0.7 for no common key, 0.14 for too few shared hashes, in millionths). Candidates are verified by the exact Jaccard similarity of
-their whole sets; the confirmed links go through distributed union-find (see ``linking``). Of each component the first
-occurrence stays: the smallest document id, then the smallest line number.
+a common key are candidates. A pair at the similarity THRESHOLD has no common key with a probability below one in a million.
+
+The lines of candidates are read once more and get a parity mark: BITS bits, of which each shingle flips one. Two marks differ in
+at most as many bits as the sets differ in shingles, so marks that differ in more than the threshold allows rule a
+pair out for certain; hardly any others are left. These are verified by the exact Jaccard similarity of their whole sets, which are
+built once a node. Candidates are first each line of a bucket with its most central one. Buckets that hold several components
+after that are compared inside a row, in rounds: every line hands on its closest partners in other components only, confirmed
+links unite components, and a block is done once a round has handed on all that it had. The confirmed links go
+through distributed union-find (see ``linking``). Of each component the first occurrence stays: the smallest
+document id, then the smallest line number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import stage, table
@@ -21,13 +27,19 @@ from llm.linking import components, open_members, ordered_pairs, star_pairs
 from querylens.session import broadcast_if_small
 
 SHINGLE = 16
-THRESHOLD = 0.8
+#: Similarity in per cent from which lines are linked.
+THRESHOLD = 80
 #: Bytes of a character, the same for all, so that a window is a slice at a known place.
 _WIDE = 4
-#: Hashes of a signature, and how many of them two similar lines have in common at least.
-SKETCH, SHARED = 22, 7
+#: Hashes of a signature.
+SKETCH = 22
 #: Of a long line only about so many of the smallest hashes are sorted.
 _SORTED = 64
+#: Bits of a mark, in words of 64.
+WORDS = 16
+BITS = 64 * WORDS
+#: Partners that a line hands on in the first round, and by how much this grows from round to round.
+PARTNERS, MORE = 4, 8
 #: About what a broadcast id takes in memory.
 ROW_BYTES = 64
 
@@ -39,10 +51,10 @@ def plain(line: Column) -> Column:
 
 
 def lines_of(df: DataFrame) -> DataFrame:
-    """(doc_id, line_no, norm) of every line of every document; an empty text is one blank line."""
+    """(doc_id, digest, line_no, norm) of every line of every document; an empty text is one blank line. digest: tells rows with the same id apart."""
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", plain(F.col("line")).alias("norm"))
+    lines = texts.select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return lines.select("doc_id", "digest", "line_no", plain(F.col("line")).alias("norm"))
 
 
 def node(norm: Column) -> Column:
@@ -63,11 +75,9 @@ def shingles(norm: Column, by: Callable[..., Column] = F.xxhash64) -> Column:
 
 
 def similar(one: Column, other: Column) -> Column:
-    """Whether the whole sets of two lines reach the threshold."""
-    distinct = lambda norm: F.array_distinct(shingles(norm))
-    counted = lambda p: F.struct(F.size(F.array_intersect(p["a"], p["b"])).alias("n"), (F.size(p["a"]) + F.size(p["b"])).alias("both"))
-    enough = lambda p: bound(counted(p), lambda q: q["n"] >= THRESHOLD * (q["both"] - q["n"]))
-    return bound(F.struct(distinct(one).alias("a"), distinct(other).alias("b")), enough)
+    """Whether two whole sets reach the threshold."""
+    counted = F.struct(F.size(F.array_intersect(one, other)).alias("n"), (F.size(one) + F.size(other)).alias("both"))
+    return bound(counted, lambda q: 100 * q["n"] >= THRESHOLD * (q["both"] - q["n"]))
 
 
 def sketch(hashes: Column) -> Column:
@@ -86,86 +96,152 @@ def buckets(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.explode(keys).alias("key"))
 
 
-def likely(one: Column, other: Column) -> Column:
-    """Whether signatures allow the threshold: those of sets that fit in whole decide, others must share SHARED hashes."""
-    both = F.size(one) + F.size(other)
-    whole = (F.size(one) < SKETCH) & (F.size(other) < SKETCH)
-    return bound(F.size(F.array_intersect(one, other)), lambda n: F.when(whole, n >= THRESHOLD * (both - n)).otherwise(n >= SHARED))
+def keyed_members(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of buckets with two nodes, and (key, node, n, total) of larger ones; only small rows are counted, and none are gathered."""
+    keys = buckets(nodes)
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    sizes = stage(sizes, "op5-sizes")
+    large = stage(sizes.where("n > 2").select("key", "n"), "op5-large")
+    # marks have one size, so the weight of a block is its number of rows
+    members = keys.join(broadcast_if_small(large, ROW_BYTES), "key").select("key", "node", "n", F.lit(0).alias("total"))
+    return sizes.where("n = 2").select("a", "b").distinct(), stage(members, "op5-members")
 
 
-def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    a, b = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").where(likely(F.col("sa"), F.col("sb"))).select("a", "b")
+def texts_of(together: DataFrame, rows: DataFrame, df: DataFrame) -> DataFrame:
+    """(node, norm) of the nodes in shared buckets: one document of each is read again, and all without an id, as those cannot be told apart."""
+    near = broadcast_if_small(together, ROW_BYTES)
+    places = stage(rows.join(near, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("place")).where("place IS NOT NULL").select("place").distinct(), "op5-places")
+    texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    again = texts.join(broadcast_if_small(places, ROW_BYTES), F.col("doc_id") == F.col("place"), "left_semi").union(texts.where("doc_id IS NULL"))
+    lines = lines_of(again).where("norm IS NOT NULL").withColumn("node", node(F.col("norm")))
+    return stage(lines.join(near, "node", "left_semi").dropDuplicates(["node"]).select("node", "norm"), "op5-texts")
 
 
-def open_pairs(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of likely pairs that join different components within a block; a block is compared inside one row."""
-    held = blocks.join(nodes, "node").groupBy("key", "block").agg(F.collect_list(F.struct("component", "node", "sketch")).alias("held"))
-    fits = lambda x, y: (x["component"] < y["component"]) & likely(x["sketch"], y["sketch"])
-    partners = lambda x: F.transform(F.filter("held", lambda y: fits(x, y)), lambda y: F.struct(x["node"].alias("x"), y["node"].alias("y")))
-    found = held.select(F.explode(F.flatten(F.transform("held", partners))).alias("p"))
-    return ordered_pairs(found.select("p.x", "p.y"), "x", "y")
+def marks_of(texts: DataFrame) -> DataFrame:
+    """(node, size, w0 to w15): the size of the node's set and the parities of its shingles by place."""
+    sets = texts.select("node", F.array_distinct(shingles(F.col("norm"))).alias("shingles"))
+    each = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("x"))
+    flip, word = F.expr("shiftleft(1L, CAST(x & 63 AS INT))"), F.shiftright("x", 6).bitwiseAND(F.lit(WORDS - 1))
+    words = [F.bit_xor(F.when(word == i, flip).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)]
+    return stage(each.groupBy("node").agg(F.first("size").alias("size"), *words), "op5-marks")
 
 
-def texts_of(pairs: DataFrame, rows: DataFrame, df: DataFrame) -> DataFrame:
-    """(node, norm) of the nodes in the pairs: one document of each is read again, and all without an id, as those cannot be told apart."""
-    wanted = stage(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("node")), "op5-wanted")
-    near = broadcast_if_small(wanted, ROW_BYTES)
-    places = stage(rows.join(near, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")).where("_id IS NOT NULL").select("_id").distinct(), "op5-places")
-    doc_id = F.col("doc_id").cast("long")
-    again = df.join(broadcast_if_small(places, ROW_BYTES), doc_id == F.col("_id"), "left_semi").select("doc_id", "text").union(df.where(doc_id.isNull()).select("doc_id", "text"))
-    lines = lines_of(again).where("norm IS NOT NULL").withColumn("node", node(F.col("norm")))
-    return stage(lines.join(near, "node", "left_semi").dropDuplicates(["node"]).select("node", "norm"), "op5-texts")
+def apart(x: Column, y: Column) -> Column:
+    """Bits in which two marks differ."""
+    total = F.bit_count(x["w0"].bitwiseXOR(y["w0"]))
+    for i in range(1, WORDS):
+        total = total + F.bit_count(x[f"w{i}"].bitwiseXOR(y[f"w{i}"]))
+    return total
 
 
-def verified(pairs: DataFrame, rows: DataFrame, df: DataFrame) -> DataFrame:
-    """Pairs whose whole sets reach the threshold."""
-    texts = texts_of(pairs, rows, df)
-    a, b = (texts.select(F.col("node").alias(x), F.col("norm").alias(f"t{x}")) for x in "ab")
-    return stage(pairs.join(a, "a").join(b, "b").where(similar(F.col("ta"), F.col("tb"))).select("a", "b"), "op5-edges")
+def likely(x: Column, y: Column) -> Column:
+    """Whether sizes and marks allow the threshold; no pair that reaches it is ruled out."""
+    sizes = (100 * x["size"] >= THRESHOLD * y["size"]) & (100 * y["size"] >= THRESHOLD * x["size"])
+    return sizes & ((100 + THRESHOLD) * apart(x, y) <= (100 - THRESHOLD) * (x["size"] + y["size"]))
 
 
-def line_classes(df: DataFrame) -> DataFrame:
-    """(doc_id, line_no, first_doc_id, first_line_no, kept) of every line of (doc_id, text) rows.
+def mark(df: DataFrame, *more: str) -> Column:
+    return F.struct(*more, "node", "size", *[f"w{i}" for i in range(WORDS)])
 
-    first_*: the first occurrence in the line's component. A null or empty text is one blank line. Blank
-    lines are their own first and always kept. A null doc_id comes after all ids. Rows that repeat an
-    id are read as one document said twice: of equal places (id and line number) all are kept or dropped alike. An empty
-    table gives no rows; extra columns are ignored.
-    """
+
+def likely_pairs(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    a, b = (marks.select(F.col("node").alias(x), mark(marks).alias(f"m{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").where(likely(F.col("ma"), F.col("mb"))).select("a", "b")
+
+
+def compared(blocks: DataFrame, marks: DataFrame, most: int) -> DataFrame:
+    """(key, block, pairs, more): per line of a block the ``most`` closest likely partners in other components; more: whether any line had further ones."""
+    held = blocks.join(marks, "node").groupBy("key", "block").agg(F.collect_list(mark(marks, "component")).alias("held"))
+    fits = lambda x, y: (x["component"] != y["component"]) & likely(x, y)
+    ranked = lambda x: F.transform(F.filter("held", lambda y: fits(x, y)), lambda y: F.struct((apart(x, y) / (x["size"] + y["size"])).alias("far"), y["node"].alias("y")))
+    partners = F.transform("held", lambda x: F.struct(x["node"].alias("x"), F.sort_array(ranked(x)).alias("found")))
+    tried = held.select("key", "block", F.filter(partners, lambda p: F.size(p["found"]) > 0).alias("tried"))
+    nearest = lambda p: F.transform(F.slice(p["found"], 1, most), lambda f: F.struct(p["x"].alias("x"), f["y"].alias("y")))
+    return tried.select("key", "block", F.flatten(F.transform("tried", nearest)).alias("pairs"), F.exists("tried", lambda p: F.size(p["found"]) > most).alias("more"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs whose whole sets reach the threshold."""
+    wanted = stage(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("node")), "op5-wanted")
+    sets = texts.join(broadcast_if_small(wanted, ROW_BYTES), "node", "left_semi")
+    sets = stage(sets.select("node", F.array_distinct(shingles(F.col("norm"))).alias("shingles")), "op5-sets")
+    a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    return stage(pairs.join(a, "a").join(b, "b").where(similar(F.col("sa"), F.col("sb"))).select("a", "b"), "op5-edges")
+
+
+def linked(nodes: DataFrame, rows: DataFrame, df: DataFrame) -> DataFrame:
+    """(node, component) of all nodes with a confirmed link."""
+    twos, members = keyed_members(nodes)
+    together = stage(twos.select("a").union(twos.select("b")).union(members.select("node")).distinct().select(F.col("a").alias("node")), "op5-together")
+    texts = texts_of(together, rows, df)
+    marks = marks_of(texts)
+    tried = stage(likely_pairs(star_pairs(members).union(twos).distinct(), marks), "op5-pairs")
+    edges = verified(tried, texts)
+    found = components(edges, "op5-components")
+    blocks, most = open_members(members, found), PARTNERS
+    while True:
+        round_ = stage(compared(blocks, marks, most), "op5-round")
+        pairs = ordered_pairs(round_.select(F.explode("pairs").alias("p")).select("p.x", "p.y"), "x", "y")
+        fresh = stage(pairs.join(tried, ["a", "b"], "left_anti"), "op5-pairs")
+        if fresh.take(1):
+            tried, edges = tried.union(fresh), edges.union(verified(fresh, texts))
+            found = components(edges, "op5-components")
+        left = round_.where("more").select("key", "block")
+        if not left.take(1):
+            return found
+        blocks, most = open_members(members, found).join(left, ["key", "block"], "left_semi"), most * MORE
+
+
+def line_rows(df: DataFrame) -> DataFrame:
+    """As ``line_classes``, with the digest of the row's text."""
     lines = lines_of(df)
-    rows = stage(lines.select("doc_id", "line_no", F.when(F.col("norm").isNotNull(), node(F.col("norm"))).alias("node")), "op5-rows")
+    rows = stage(lines.select("doc_id", "digest", "line_no", F.when(F.col("norm").isNotNull(), node(F.col("norm"))).alias("node")), "op5-rows")
     signed = lines.where("norm IS NOT NULL").select(node(F.col("norm")).alias("node"), sketch(shingles(F.col("norm"), F.hash)).alias("sketch"))
-    nodes = stage(signed.dropDuplicates(["node"]), "op5-nodes")
-    sized = buckets(nodes).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
-    members = stage(sized.withColumn("total", F.lit(0)), "op5-members")
-    together = stage(members.select("node").distinct(), "op5-together")
-    signatures = stage(nodes.join(broadcast_if_small(together, ROW_BYTES), "node", "left_semi"), "op5-signatures")
-    tried = stage(likely_pairs(star_pairs(members), signatures), "op5-pairs")
-    edges = verified(tried, rows, df)
-    found = components(edges, "op5-components")
-    left = stage(open_pairs(open_members(members, found), signatures).join(tried, ["a", "b"], "left_anti"), "op5-pairs")
-    if left.take(1):
-        found = components(edges.union(verified(left, rows, df)), "op5-components")
-    labelled = rows.select("doc_id", "line_no", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
+    found = linked(stage(signed.dropDuplicates(["node"]), "op5-nodes"), rows, df)
+    labelled = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "digest")
     firsts = labelled.where("node IS NOT NULL").groupBy("component").agg(F.min(place).alias("first"))
     own = F.coalesce("first", place)
     return labelled.join(firsts, "component", "left").select(
-        "doc_id", "line_no", own["doc_id"].alias("first_doc_id"), own["line_no"].alias("first_line_no"), (own == place).alias("kept")
+        "doc_id", "digest", "line_no", own["doc_id"].alias("first_doc_id"), own["line_no"].alias("first_line_no"), (own == place).alias("kept")
     )
 
 
-def without_repeats(df: DataFrame) -> DataFrame:
-    """The documents with only the kept lines in their text; all columns and rows stay.
+def line_classes(df: DataFrame) -> DataFrame:
+    """(doc_id, line_no, first_doc_id, first_line_no, kept) of every line of (doc_id, text) rows.
+
+    first_*: the first occurrence in the line's component. A null or empty text is one blank line. Blank
+    lines are their own first and always kept. A null doc_id comes after all ids. Rows that repeat an
+    id are documents of their own, told apart by a digest of their text, which also decides between equal places; rows that agree in id and text are
+    one document said twice, whose lines are kept or dropped alike. An empty table gives no rows; extra columns, whatever their names, are ignored.
+    """
+    return line_rows(df).drop("digest")
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def without_repeats(df: DataFrame, leave_out_emptied: bool = False) -> DataFrame:
+    """The documents with only the kept lines in their text; all columns stay, whatever their names.
 
-    A row whose id is null keeps its text: its lines cannot be told from those of other such rows.
+    Of rows that agree in id and text, both keep the lines that are kept; a null id is an id like others here. All rows stay
+    as well, unless ``leave_out_emptied``: then documents that lose lines and have only blank ones left go.
     """
-    drops = line_classes(df).where("NOT kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_drop"))
-    joined = df.join(drops, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_drop", i))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn("text", text).select(*df.columns)
+    row, gone = fresh_name(df, "row"), fresh_name(df, "gone")
+    key = lambda doc_id, digest: F.struct(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("id"), digest.alias("digest"))
+    drops = line_rows(df).where("NOT kept").select(key(F.col("doc_id"), F.col("digest")).alias(row), "line_no")
+    drops = drops.groupBy(row).agg(F.collect_set("line_no").alias(gone))
+    joined = df.withColumn(row, key(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))))).join(drops, row, "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(gone, i))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    out = joined.withColumn("text", text)
+    if leave_out_emptied:
+        out = out.where(F.col(gone).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*df.columns)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
