@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import stage, table
+from llm.common import shuffle_width, stage, table
 from llm.linking import components, open_members, ordered_pairs, star_pairs
 from querylens.session import broadcast_if_small
 
@@ -39,7 +39,7 @@ _SORTED = 64
 WORDS = 16
 BITS = 64 * WORDS
 #: Partners that a line hands on in the first round, and by how much this grows from round to round.
-PARTNERS, MORE = 4, 8
+PARTNERS, MORE = 4, 16
 #: About what a broadcast id takes in memory.
 ROW_BYTES = 64
 
@@ -126,18 +126,19 @@ def marks_of(texts: DataFrame) -> DataFrame:
     return stage(each.groupBy("node").agg(F.first("size").alias("size"), *words), "op5-marks")
 
 
-def apart(x: Column, y: Column) -> Column:
-    """Bits in which two marks differ."""
+def apart(x: Column, y: Column, words: int = WORDS) -> Column:
+    """Bits in which the first words of two marks differ."""
     total = F.bit_count(x["w0"].bitwiseXOR(y["w0"]))
-    for i in range(1, WORDS):
+    for i in range(1, words):
         total = total + F.bit_count(x[f"w{i}"].bitwiseXOR(y[f"w{i}"]))
     return total
 
 
 def likely(x: Column, y: Column) -> Column:
-    """Whether sizes and marks allow the threshold; no pair that reaches it is ruled out."""
-    sizes = (100 * x["size"] >= THRESHOLD * y["size"]) & (100 * y["size"] >= THRESHOLD * x["size"])
-    return sizes & ((100 + THRESHOLD) * apart(x, y) <= (100 - THRESHOLD) * (x["size"] + y["size"]))
+    """Whether sizes and marks allow the threshold; no pair that reaches it is ruled out. Half a mark rules most pairs out."""
+    sizes = (100 * y["size"] >= THRESHOLD * x["size"]) & (100 * x["size"] >= THRESHOLD * y["size"])
+    allowed = lambda words: (100 + THRESHOLD) * apart(x, y, words) <= (100 - THRESHOLD) * (x["size"] + y["size"])
+    return sizes & allowed(WORDS // 2) & allowed(WORDS)
 
 
 def mark(df: DataFrame, *more: str) -> Column:
@@ -150,9 +151,19 @@ def likely_pairs(pairs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def compared(blocks: DataFrame, marks: DataFrame, most: int) -> DataFrame:
-    """(key, block, pairs, more): per line of a block the ``most`` closest likely partners in other components; more: whether any line had further ones."""
-    held = blocks.join(marks, "node").groupBy("key", "block").agg(F.collect_list(mark(marks, "component")).alias("held"))
-    fits = lambda x, y: (x["component"] != y["component"]) & likely(x, y)
+    """(key, block, pairs, more): per line of a block the ``most`` closest likely partners in other components, sets no larger than its own; more: whether any line had further ones.
+
+    Two lines that share several buckets are compared in all of them, but handed on in that of the smallest key only.
+    """
+    # a node has a key for every two hashes of its signature at most
+    keys = blocks.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    # rows are few and small, but the work grows with the square of a block: as many tasks as the session allows
+    dealt = blocks.join(marks.join(keys, "node"), "node").repartition(shuffle_width(blocks.sparkSession), "key", "block")
+    held = dealt.groupBy("key", "block").agg(F.collect_list(mark(marks, "component", "keys")).alias("held"))
+    owned = lambda x, y: F.col("key") == F.array_min(F.array_intersect(x["keys"], y["keys"]))
+    # from the larger set to the smaller, so that a pair is looked at once; sizes rule most pairs out
+    order = lambda x, y: (y["size"] <= x["size"]) & (100 * y["size"] >= THRESHOLD * x["size"]) & ((y["size"] < x["size"]) | (y["node"] < x["node"]))
+    fits = lambda x, y: order(x, y) & (x["component"] != y["component"]) & likely(x, y) & owned(x, y)
     ranked = lambda x: F.transform(F.filter("held", lambda y: fits(x, y)), lambda y: F.struct((apart(x, y) / (x["size"] + y["size"])).alias("far"), y["node"].alias("y")))
     partners = F.transform("held", lambda x: F.struct(x["node"].alias("x"), F.sort_array(ranked(x)).alias("found")))
     tried = held.select("key", "block", F.filter(partners, lambda p: F.size(p["found"]) > 0).alias("tried"))
@@ -184,14 +195,23 @@ def linked(nodes: DataFrame, rows: DataFrame, df: DataFrame) -> DataFrame:
         pairs = ordered_pairs(round_.select(F.explode("pairs").alias("p")).select("p.x", "p.y"), "x", "y")
         fresh = stage(pairs.join(tried, ["a", "b"], "left_anti"), "op5-pairs")
         if fresh.take(1):
-            tried, edges = tried.union(fresh), edges.union(verified(fresh, texts))
-            found = components(edges, "op5-components")
+            tried, found = tried.union(fresh), united(found, verified(fresh, texts))
         left = round_.where("more").select("key", "block")
         if not left.take(1):
             return found
         blocks, most = open_members(members, found).join(left, ["key", "block"], "left_semi"), most * MORE
 
 
+def united(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after further links, of which only the small graph between components is worked through."""
+    named = lambda side: F.coalesce(f"{side}_component", side).alias(side)
+    a, b = (found.select(F.col("node").alias(x), F.col("component").alias(f"{x}_component")) for x in "ab")
+    merged = components(links.join(a, "a", "left").join(b, "b", "left").select(named("a"), named("b")), "op5-components")
+    nodes = found.union(merged.select("node", F.col("node").alias("component"))).dropDuplicates(["node"])
+    target = merged.select(F.col("node").alias("component"), F.col("component").alias("target"))
+    return stage(nodes.join(target, "component", "left").select("node", F.coalesce("target", "component").alias("component")), "op5-found")
+
+
 def line_rows(df: DataFrame) -> DataFrame:
     """As ``line_classes``, with the digest of the row's text."""
     lines = lines_of(df)
