@@ -31,10 +31,8 @@ def _entries(spark, sf) -> DataFrame:
     return stored(spark, sf, "fe-entries", lambda: stage(fe_log.read_fe_log(spark, corpus(spark, sf, "fe")), "fe"))
 
 
-def _statements(spark, sf) -> DataFrame:
-    return stored(
-        spark, sf, "dump-statements", lambda: stage(mysqldump.read_statements(spark, corpus(spark, sf, "dump")), "dump")
-    )
+def _parts(spark, sf) -> DataFrame:
+    return stored(spark, sf, "dump-parts", lambda: mysqldump.read_parts(spark, corpus(spark, sf, "dump")))
 
 
 def _folder(column: str = "file"):
@@ -135,9 +133,9 @@ GROUPS = "(SELECT DISTINCT record_id // 50 AS g FROM src)"
 )
 def src_09(spark, sf):
     """Statements that follow another one on their line come in pairs."""
-    stmts = _statements(spark, sf)
-    is_set = F.startswith(coerce.trim(F.col("sql")), F.lit("SET NAMES"))
-    sets = stmts.agg(F.count_if(is_set).alias("s"), F.count("*").alias("n"))
+    read = _parts(spark, sf)
+    is_set = F.startswith(coerce.trim(F.col("text")), F.lit("SET NAMES"))
+    sets = read.agg(F.count_if(is_set).alias("s")).crossJoin(mysqldump.statement_count(read).agg(F.sum("statements_scanned").alias("n")))
     pairs = sets.select(F.lit(2).alias("k"), F.col("s").alias("n_groups"), (F.col("s") * 2).alias("n"))
     single = sets.select(
         F.lit(1).alias("k"), (F.col("n") - 2 * F.col("s")).alias("n_groups"), (F.col("n") - 2 * F.col("s")).alias("n")
@@ -150,7 +148,7 @@ def src_09(spark, sf):
     sql(f"SELECT count(*) AS n FROM {GROUPS}"),
 )
 def src_10(spark, sf):
-    return _statements(spark, sf).where(F.col("sql").rlike(mysqldump.AUDIT_INSERT)).agg(F.count("*").alias("n"))
+    return mysqldump.parse_inserts(_parts(spark, sf)).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -158,8 +156,7 @@ def src_10(spark, sf):
     sql("SELECT g, CAST(count(*) + sum(CASE WHEN record_id % 71 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_tuples FROM (SELECT record_id // 50 AS g, record_id FROM src) GROUP BY g"),
 )
 def src_11(spark, sf):
-    inserts = mysqldump.parse_inserts(_statements(spark, sf))
-    rows = mysqldump.tuple_records(inserts)
+    rows = mysqldump.tuple_records(_parts(spark, sf))
     group = F.floor(F.max((F.substr(F.col("query_id"), F.lit(3))).cast("bigint")) / 50)
     return rows.groupBy("file", "statement_seq").agg(group.alias("g"), F.count("*").alias("n_tuples")).select("g", "n_tuples")
 
@@ -169,13 +166,13 @@ def src_11(spark, sf):
     sql(f"SELECT {_fields('CASE WHEN record_id // 50 % 2 = 0 THEN is_internal END', 'stmt_raw')}, coalesce(template, '') AS template FROM (SELECT src.*, acc.template FROM src LEFT JOIN acc USING (record_id))"),
 )
 def src_13(spark, sf):
-    rows = mysqldump.tuple_records(mysqldump.parse_inserts(_statements(spark, sf)))
+    rows = mysqldump.tuple_records(_parts(spark, sf))
     return rows.where(~F.col("is_noise")).select(*PARSED_FIELDS, F.coalesce("template", F.lit("")).alias("template"))
 
 
 @query("src_14_known_noise", sql("SELECT count(*) FILTER (record_id % 71 = 0) AS noise, count(*) AS kept FROM src"))
 def src_14(spark, sf):
-    rows = mysqldump.tuple_records(mysqldump.parse_inserts(_statements(spark, sf)))
+    rows = mysqldump.tuple_records(_parts(spark, sf))
     return rows.agg(F.count_if("is_noise").alias("noise"), F.count_if(~F.col("is_noise")).alias("kept"))
 
 
@@ -184,7 +181,7 @@ def src_14(spark, sf):
     sql(f"SELECT 'tuple cannot be read' AS reason, count(*) AS n FROM {GROUPS} WHERE g % 10 = 9 HAVING count(*) > 0"),
 )
 def src_15(spark, sf):
-    bad = mysqldump.rejects(mysqldump.parse_inserts(_statements(spark, sf)))
+    bad = mysqldump.rejects(mysqldump.parse_inserts(_parts(spark, sf)))
     return bad.groupBy("reason").agg(F.count("*").alias("n"))
 
 

@@ -66,7 +66,6 @@ def ingest(
     dataset_id: str = "default",
     tz: str = "UTC",
     formats: dict[str, tuple[str, str | None]] | None = None,
-    max_statement_chars: int = mysqldump.MAX_STATEMENT_CHARS,
 ) -> Ingested:
     """Read, parse and number the records of a set of files.
 
@@ -92,16 +91,15 @@ def ingest(
             rows = outfile.read_outfile(spark, files, delimiter or "\t", tz)
             parts.append(_common(rows, "record_seq", F.lit(0), F.lit(False)))
         else:
-            stmts = stage(mysqldump.read_statements(spark, files, max_statement_chars), "statements")
-            inserts = mysqldump.parse_inserts(stmts)
-            scanned = stmts.groupBy("file").agg(F.count("*").alias("statements_scanned"))
-            matched = inserts.groupBy("file").agg(
-                F.count("*").alias("insert_statements_matched"),
-                F.sum(F.coalesce(F.size("tuples"), F.lit(0)).cast("bigint")).alias("tuples_parsed"),
-                F.count("reason").alias("bad_statements"),
-            )
-            counters = scanned.join(matched, "file", "left")
-            rows = mysqldump.tuple_records(inserts, tz)
+            read = mysqldump.read_parts(spark, files)
+            found = stage(mysqldump.parse_inserts(read), "inserts")
+            rows = stage(mysqldump.tuple_records(read, tz), "tuples")
+            matched = found.groupBy("file").agg(F.count("*").alias("insert_statements_matched"), F.count("reason").alias("bad_statements"))
+            parsed_tuples = rows.groupBy("file").agg(F.count("*").alias("tuples_parsed"))
+            counted = mysqldump.statement_count(read).join(matched, "file", "left").join(parsed_tuples, "file", "left")
+            # a dump may be found with or without a delimiter: both groups count
+            inserts = found if inserts is None else inserts.union(found)
+            counters = counted if counters is None else counters.unionByName(counted)
             parts.append(_common(rows, "statement_seq", F.col("tuple_pos"), F.col("is_noise")))
     if not parts:
         raise ValueError("no lines to ingest")
@@ -132,7 +130,7 @@ def ingest(
     else:
         report = report.select("*", *[F.lit(0).cast("bigint").alias(c) for c in zero])
     report = report.fillna(0)
-    no_rejects = spark.createDataFrame([], "file string, statement_seq bigint, reason string, snippet string")
+    no_rejects = spark.createDataFrame([], "file string, statement_seq bigint, reason string, snippet string, stopped_at string")
     return Ingested(
         records=records,
         templates=dictionary.drop("template_key"),

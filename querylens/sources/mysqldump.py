@@ -1,4 +1,9 @@
-"""SQL dump of the audit table: ``INSERT`` statements with many tuples each."""
+"""SQL dump of the audit table: ``INSERT`` statements with many tuples each.
+
+No statement is ever put together. The text is cut after every ``)`` and ``;`` outside strings, so that a part is the head of a
+statement or one tuple; only a part that crosses a line or a split is joined. What a part means follows from the head of its statement,
+which is carried forward over any number of parts and splits. A statement may thus be as long as a file.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,7 @@ from pyspark.sql import functions as F
 
 from querylens.functions import coerce, encode, sqltext
 from querylens.ordering import Buckets, assemble
+from querylens.session import broadcast_if_small, stage
 from querylens.sources.columns import (
     DUMP_ALIASES,
     default_positions,
@@ -20,7 +26,6 @@ from querylens.sources.columns import (
 )
 from querylens.sources.lines import LINES, read_lines
 
-MAX_STATEMENT_CHARS = 64 * 1024 * 1024
 SNIPPET_CHARS = 200
 
 _S = coerce.SPACE
@@ -49,10 +54,10 @@ _TO_QUOTE = r"(?:[^'\\]+|\\.)*+'"
 _NAME = r"(?:`(?:[^`]++|``)*+`|[A-Za-z0-9_$]++)"
 _TARGET = rf"(?is)^{_S}*+{_INSERT}{_S}++(?:{_NAME}{_S}*+\.{_S}*+)?{_NAME}{_S}*+"
 _COLUMNS = rf"(?:\((?:{_S}*+{_NAME}{_S}*+(?:,|(?=\))))*+{_S}*+\))"
-_HEAD = rf"{_TARGET}({_COLUMNS}?){_S}*+values(?![A-Za-z0-9_$])"
+_VALUES = rf"{_S}*+values(?![A-Za-z0-9_$])"
 _VALUE = rf"(?:'(?:[^'\\]+|\\.|'')*+'|(?!{_S})[^',)][^,)]*+)"
 _TUPLE = rf"\({_S}*+(?:{_VALUE}{_S}*+,{_S}*+)*+(?:{_VALUE}{_S}*+)?\)"
-_TUPLES = rf"(?s)^(?:{_S}*+{_TUPLE}{_S}*+,)*+(?:{_S}*+{_TUPLE})?"
+_PIECE = r"(?s)(?:[^';)`]+|'(?:[^'\\]+|\\.)*+(?:'|\z)|`[^`';\n]*+`|`)*+(?:[;)]|\z)"
 
 
 def quote_state(lines: DataFrame) -> DataFrame:
@@ -110,18 +115,18 @@ def quote_state(lines: DataFrame) -> DataFrame:
 
 
 _FRAGMENTS = Buckets(("file",), ("split_start",), ("line_key", "pos"))
+_PARTS = Buckets(("file",), ("split_start",), ("part",))
+#: About what the first error of a statement takes in memory.
+_ERROR_BYTES = 256
 
 
-def statements(lines: DataFrame, max_chars: int = MAX_STATEMENT_CHARS) -> DataFrame:
-    """``file, split_start, statement_seq, sql, n_chars, oversized``, split at ``;`` outside strings."""
+def parts(lines: DataFrame) -> DataFrame:
+    """``file, split_start, part, text``: the text cut after ``)`` and ``;`` outside strings; ``part`` counts in the file, ``split_start`` is where the part begins."""
     text = F.concat(F.col("value"), F.lit("\n"))
-    opened = rf"(?s)^(?:[^'\\]+|\\.)*+(?:'|\z)"
+    opened = r"(?s)^(?:[^'\\]+|\\.)*+(?:'|\z)"
     lead = F.when(F.col("in_string"), F.regexp_extract(text, opened, 0)).otherwise(F.lit(""))
-    rest = F.substr(text, F.length(lead) + 1)
-    pieces = F.regexp_extract_all(
-        rest, F.lit(r"(?s)(?:[^';]+|'(?:[^'\\]+|\\.)*+(?:'|\z))*+(?:;|\z)"), 0
-    )
-    # The rest of a line ends with its line break, so only closed pieces end with a semicolon.
+    pieces = F.regexp_extract_all(F.substr(text, F.length(lead) + 1), F.lit(_PIECE), 0)
+    # The rest of a line ends with its line break, so only closed pieces end with one of the two signs.
     fragments = (
         quote_state(lines)
         .withColumn("_lead", lead)
@@ -132,80 +137,156 @@ def statements(lines: DataFrame, max_chars: int = MAX_STATEMENT_CHARS) -> DataFr
             "line_key",
             "pos",
             F.when(F.col("pos") == 0, F.concat("_lead", "_p")).otherwise(F.col("_p")).alias("piece"),
-            F.endswith("_p", F.lit(";")).alias("closes"),
+            (F.endswith("_p", F.lit(";")) | F.endswith("_p", F.lit(")"))).alias("closes"),
         )
     )
     rows = _FRAGMENTS.rows().rowsBetween(Window.unboundedPreceding, -1)
-    numbered = fragments.withColumn(
-        "local_seq", F.coalesce(F.sum(F.col("closes").cast("bigint")).over(rows), F.lit(0))
-    )
-    whole = assemble(numbered, _FRAGMENTS, "piece", "local_seq", "closes", max_chars=max_chars)
-    blank = coerce.trim(F.col("text")) == ""
-    return whole.where(~blank).select(
-        *LINES.keys,
-        F.col("record_seq").alias("statement_seq"),
-        F.col("text").alias("sql"),
-        "n_chars",
-        (F.col("n_chars") > max_chars).alias("oversized"),
-    )
+    numbered = fragments.withColumn("local_seq", F.coalesce(F.sum(F.col("closes").cast("bigint")).over(rows), F.lit(0)))
+    whole = assemble(numbered, _FRAGMENTS, "piece", "local_seq", "closes")
+    return whole.select(*LINES.keys, F.col("record_seq").alias("part"), "text")
 
 
-def snippet(sql: Column) -> Column:
-    return F.left(coerce.collapse_space(sql), F.lit(SNIPPET_CHARS))
+def _head(text: Column) -> Column:
+    """What the first part of a statement says: whether it inserts into the audit table, whether a column list or the first tuple
+    ends it, the columns of the fields, and what is wrong with it."""
+    target = F.regexp_replace(text, _TARGET, "")
+    listed = F.regexp_extract(text, rf"{_TARGET}({_COLUMNS})\z", 1)
+    names = F.transform(
+        F.regexp_extract_all(listed, F.lit(rf"(?s){_NAME}"), 0),
+        lambda n: F.replace(F.regexp_replace(n, r"^`|`\z", ""), F.lit("``"), F.lit("`")),
+    )
+    reason = (
+        F.when(~text.rlike(_TARGET), F.lit("no table is named after INSERT INTO"))
+        .when((listed != "") | text.rlike(rf"{_TARGET}{_VALUES}"), F.lit(None).cast("string"))
+        .when(F.startswith(target, F.lit("(")) & ~target.rlike(rf"(?s)^{_COLUMNS}"), F.lit("column list cannot be read"))
+        .otherwise(F.lit("VALUES is missing"))
+    )
+    positions = F.when(F.size(names) > 0, field_positions(field_keys(names, DUMP_ALIASES))).otherwise(default_positions())
+    matched = text.rlike(AUDIT_INSERT)
+    return F.struct(
+        matched.alias("matched"),
+        F.when(matched, listed != "").alias("listed"),
+        F.when(matched, positions).alias("positions"),
+        F.when(matched, reason).alias("reason"),
+    )
 
 
-def parse_inserts(stmts: DataFrame) -> DataFrame:
-    """Audit-table INSERTs with their column fields, tuples and the reason they are bad, if any.
+def statement_parts(cut: DataFrame) -> DataFrame:
+    """``file, split_start, part, statement_seq, idx, head, text`` of cut text; ``idx`` counts the parts of a statement, ``head`` is that of its first part.
 
-    Tuples before the first error are kept.
+    Windows run inside a split. One row per split says how many statements end in it, where the one still open
+    begins and what its head is; these rows carry that to the splits behind.
     """
-    probe = F.when(F.col("oversized"), snippet(F.left(F.col("sql"), F.lit(10_000)))).otherwise(F.col("sql"))
-    matched = stmts.where(probe.rlike(AUDIT_INSERT))
-    fits = ~F.col("oversized")
-    headed = matched.withColumn("_headed", fits & F.col("sql").rlike(_HEAD))
-    listed = F.nullif(F.regexp_extract("sql", _HEAD, 1), F.lit(""))
-    names = F.transform(
-        F.regexp_extract_all(listed, F.lit(rf"(?s){_NAME}"), 0),
-        lambda n: F.replace(F.regexp_replace(n, r"^`|`\z", ""), F.lit("``"), F.lit("`")),
+    rows = _PARTS.rows()
+    before, upto = rows.rowsBetween(Window.unboundedPreceding, -1), rows.rowsBetween(Window.unboundedPreceding, 0)
+    marked = cut.withColumn("_ends", F.endswith("text", F.lit(";"))).withColumn("_mine", F.struct("part", _head(F.col("text")).alias("head")))
+    marked = marked.withColumn("_opens", F.when(F.lag("_ends").over(rows), F.col("_mine")))
+    local = marked.select(
+        *LINES.keys,
+        "part",
+        "text",
+        "_ends",
+        "_opens",
+        F.coalesce(F.sum(F.col("_ends").cast("bigint")).over(before), F.lit(0)).alias("_seq"),
+        F.last("_opens", ignorenulls=True).over(upto).alias("_open"),
+        F.first("_mine").over(upto).alias("_lead"),
+    )
+    splits = local.groupBy(*LINES.keys).agg(
+        F.count_if("_ends").alias("_n"),
+        F.max(F.when(F.col("_ends"), F.col("part") + 1)).alias("_last"),
+        F.max_by("_open", "part").alias("_open"),
+        F.min_by("_lead", "part").alias("_first"),
+    )
+    earlier = _PARTS.summaries().rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(
+        "*",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_seq_before"),
+        F.coalesce(F.max("_last").over(earlier), F.lit(0)).alias("_start"),
     )
-    headed = headed.withColumn("_names", F.when(F.col("_headed"), names)).withColumn(
-        "_rest", F.when(F.col("_headed"), F.regexp_replace("sql", _HEAD, ""))
+    begun = F.when(F.col("_open.part") == F.col("_last"), F.col("_open")).when(
+        F.col("_last").isNull() & (F.col("_first.part") == F.col("_start")), F.col("_first")
+    )
+    splits = splits.withColumn("_begun", begun)
+    carried = splits.select(*LINES.keys, "_seq_before", "_start", F.last("_begun", ignorenulls=True).over(earlier).alias("_carried"))
+    opened = F.coalesce("_open", F.when(F.col("_lead.part") == F.col("_start"), F.col("_lead")).otherwise(F.col("_carried")))
+    return local.join(carried, LINES.keys).select(
+        *LINES.keys,
+        "part",
+        (F.col("_seq_before") + F.col("_seq")).alias("statement_seq"),
+        (F.col("part") - opened["part"]).alias("idx"),
+        opened["head"].alias("head"),
+        "text",
     )
-    headed = headed.withColumn("_good", F.regexp_extract("_rest", _TUPLES, 0))
-    left_over = coerce.trim(F.substr(F.col("_rest"), F.length("_good") + 1))
-    finished = (left_over == "") | F.startswith(left_over, F.lit(";"))
-    wants_tuple = (coerce.trim(F.col("_good")) == "") | F.endswith(coerce.trim(F.col("_good")), F.lit(","))
-    after_target = F.regexp_replace("sql", _TARGET, "")
+
+
+def read_parts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """The parts of all dumps, staged: every result is built from that table."""
+    return stage(statement_parts(stage(parts(read_lines(spark, paths)), "dump-cuts")), "dump-parts")
+
+
+def statement_count(read: DataFrame) -> DataFrame:
+    """``file, statements_scanned``: all statements but an empty rest of a file."""
+    some = F.when(coerce.trim(F.col("text")) != "", F.col("statement_seq"))
+    return read.groupBy("file").agg((F.coalesce(F.max(some), F.lit(-1)) + 1).alias("statements_scanned"))
+
+
+def snippet(text: Column) -> Column:
+    return F.left(coerce.collapse_space(text), F.lit(SNIPPET_CHARS))
+
+
+def _bodies(read: DataFrame) -> DataFrame:
+    """Parts of audit-table INSERTs from the first tuple on: ``tuple_pos``, ``body``, whether the body is a tuple, and else what is wrong."""
+    rows = read.where("head.matched AND head.reason IS NULL").withColumn("tuple_pos", F.col("idx") - F.col("head.listed").cast("int"))
+    rows = rows.where("tuple_pos >= 0")
+    lead = F.when(F.col("head.listed"), F.regexp_replace("text", rf"(?is)^{_VALUES}", "")).otherwise(F.regexp_replace("text", rf"{_TARGET}{_VALUES}", ""))
+    first = F.col("tuple_pos") == 0
+    rows = rows.withColumn("body", F.when(first, lead).otherwise(F.col("text")))
+    unvalued = first & F.col("head.listed") & (F.col("body") == F.col("text"))
+    tuple_ = F.when(first, F.col("body").rlike(rf"(?s)^{_S}*+{_TUPLE}\z")).otherwise(F.col("body").rlike(rf"(?s)^{_S}*+,{_S}*+{_TUPLE}\z"))
+    text = coerce.trim(F.col("body"))
+    comma = F.startswith(text, F.lit(","))
+    rest = F.when(~first & comma, coerce.trim(F.substr(text, F.lit(2)))).otherwise(text)
     reason = (
-        F.when(
-            F.col("oversized"),
-            F.concat(F.lit("statement of "), F.col("n_chars").cast("string"), F.lit(" characters is over the limit")),
-        )
-        .when(~F.col("sql").rlike(_TARGET), F.lit("no table is named after INSERT INTO"))
-        .when(
-            ~F.col("_headed") & F.startswith(after_target, F.lit("(")) & ~after_target.rlike(rf"(?s)^{_COLUMNS}"),
-            F.lit("column list cannot be read"),
-        )
-        .when(~F.col("_headed"), F.lit("VALUES is missing"))
-        .when(finished, F.lit(None).cast("string"))
-        .when(~wants_tuple, F.lit("something else than a comma or the end follows a tuple"))
-        .when(F.startswith(left_over, F.lit("(")), F.lit("tuple cannot be read"))
+        F.when(unvalued, F.lit("VALUES is missing"))
+        .when(F.col("is_tuple") | (rest == "") | F.startswith(rest, F.lit(";")), F.lit(None).cast("string"))
+        .when(~first & ~comma, F.lit("something else than a comma or the end follows a tuple"))
+        .when(F.startswith(rest, F.lit("(")), F.lit("tuple cannot be read"))
         .otherwise(F.lit("no tuple begins where one should"))
     )
-    return headed.select(
+    return rows.withColumn("is_tuple", tuple_ & ~unvalued).withColumn("reason", reason)
+
+
+def _errors(read: DataFrame) -> DataFrame:
+    """First error of each statement that has one behind its head."""
+    bad = _bodies(read).where(F.col("reason").isNotNull())
+    first = F.min(F.struct("tuple_pos", "reason", F.col("text").alias("stopped_at")))
+    return bad.groupBy("file", "statement_seq").agg(first.alias("_error")).select("file", "statement_seq", "_error.*")
+
+
+def parse_inserts(read: DataFrame) -> DataFrame:
+    """One row per audit-table INSERT: ``positions`` of its columns, and if it is bad why, and the whole part where reading stopped."""
+    heads = read.where("idx = 0 AND head.matched")
+    errors = _errors(read).select("file", "statement_seq", F.col("reason").alias("_reason"), "stopped_at")
+    return heads.join(errors, ["file", "statement_seq"], "left").select(
         *LINES.keys,
         "statement_seq",
-        F.when(F.size("_names") > 0, field_positions(field_keys(F.col("_names"), DUMP_ALIASES)))
-        .otherwise(default_positions())
-        .alias("positions"),
-        F.when(F.col("_headed"), F.regexp_extract_all("_good", F.lit(rf"(?s){_TUPLE}"), 0)).alias("tuples"),
-        reason.alias("reason"),
-        snippet(F.left(F.col("sql"), F.lit(10_000))).alias("snippet"),
+        "head.positions",
+        F.coalesce("head.reason", "_reason").alias("reason"),
+        snippet(F.col("text")).alias("snippet"),
+        F.when(F.col("head.reason").isNotNull(), F.col("text")).otherwise(F.col("stopped_at")).alias("stopped_at"),
     )
 
 
 def rejects(inserts: DataFrame) -> DataFrame:
-    return inserts.where(F.col("reason").isNotNull()).select("file", "statement_seq", "reason", "snippet")
+    return inserts.where(F.col("reason").isNotNull()).select("file", "statement_seq", "reason", "snippet", "stopped_at")
+
+
+def tuples(read: DataFrame) -> DataFrame:
+    """``file, split_start, statement_seq, tuple_pos, positions, body``: the tuples before a statement's first error."""
+    errors = stage(_errors(read).select("file", "statement_seq", F.col("tuple_pos").alias("_stop")), "dump-errors")
+    rows = _bodies(read).where("is_tuple").join(broadcast_if_small(errors, _ERROR_BYTES), ["file", "statement_seq"], "left")
+    rows = rows.where(F.col("_stop").isNull() | (F.col("tuple_pos") < F.col("_stop")))
+    return rows.select(*LINES.keys, "statement_seq", "tuple_pos", "head.positions", F.regexp_replace("body", rf"^{_S}*+,?+{_S}*+\(", "").alias("body"))
 
 
 def _token_text(token: Column) -> Column:
@@ -229,14 +310,10 @@ def _token_text(token: Column) -> Column:
     return coerce.once(coerce.trim(text), lambda t: F.when((t != "") & (F.lower(t) != "null"), t))
 
 
-def tuple_records(inserts: DataFrame, tz: str = "UTC") -> DataFrame:
+def tuple_records(read: DataFrame, tz: str = "UTC") -> DataFrame:
     """One parsed row per tuple, in file order."""
-    rows = inserts.select(
-        *LINES.keys, "statement_seq", "positions", F.posexplode("tuples").alias("tuple_pos", "_tuple")
-    )
-    rows = rows.withColumn(
-        "_values", F.regexp_extract_all(F.substr(F.col("_tuple"), F.lit(2)), F.lit(rf"(?s){_VALUE}"), 0)
-    )
+    values = F.regexp_extract_all("body", F.lit(rf"(?s){_VALUE}"), 0)
+    rows = tuples(read).withColumn("_values", values)
 
     place = ["file", "split_start", "statement_seq", "tuple_pos"]
     rows = rows.withColumn("_texts", field_texts(F.col("_values"), F.col("positions"), _token_text))
@@ -253,9 +330,3 @@ def is_noise(stmt: Column) -> Column:
     for prefix in NOISE_PREFIXES:
         hit = hit | F.startswith(text, F.lit(prefix))
     return F.coalesce(hit, F.lit(False))
-
-
-def read_statements(
-    spark: SparkSession, paths: str | Sequence[str], max_chars: int = MAX_STATEMENT_CHARS
-) -> DataFrame:
-    return statements(read_lines(spark, paths), max_chars)

@@ -164,10 +164,10 @@ def test_export_escapes_and_header(spark, tmp_path):
     ]
 
 
-def dump_rows(spark, path, **kw):
-    ins = mysqldump.parse_inserts(mysqldump.read_statements(spark, path, **kw))
-    recs = mysqldump.tuple_records(ins).orderBy("statement_seq", "tuple_pos").collect()
-    return ins.orderBy("statement_seq").collect(), recs
+def dump_rows(spark, path):
+    read = mysqldump.read_parts(spark, path)
+    recs = mysqldump.tuple_records(read).orderBy("statement_seq", "tuple_pos").collect()
+    return mysqldump.parse_inserts(read).orderBy("statement_seq").collect(), recs
 
 
 def test_dump_records(spark, tmp_path):
@@ -211,11 +211,29 @@ def test_dump_rejects(spark, tmp_path):
     assert (report.format_detected, report.bad_statements, report.statements_scanned) == ("auditLogMysqlDump", 4, 5)
 
 
-def test_dump_oversized(spark, tmp_path):
-    sql = f"{SHORT}('q-oversized',{NOW},'{'x' * 512}');\n{SHORT}('ok',{NOW},'s');\n"
-    ins, rows = dump_rows(spark, put(tmp_path, "d.sql", sql), max_chars=140)
-    assert [r.query_id for r in rows] == ["ok"]
-    assert "over the limit" in ins[0].reason and ins[1].reason is None
+@pytest.mark.parametrize("split_bytes", ["150", "1000", "134217728"])
+def test_dump_of_one_statement(spark, tmp_path, split_bytes):
+    """One INSERT is the whole file; tuples cross lines and splits, and only the broken one and what follows it are left out."""
+    bodies = [f"row {i};\n) it''s, (" + "v" * (i % 7) * 40 for i in range(60)]
+    tuples = [f"('w{i}',\n {NOW} ,'{body}')" for i, body in enumerate(bodies)]
+    columns = "(`query_id`, `a)b`, `stmt`)"
+    texts = {
+        "whole": f"{SHORT}" + ",\n".join(tuples) + ";\n",
+        "broken": f"{SHORT}" + ",".join(tuples[:50]) + f",('open' {NOW}, ,'x')," + ",".join(tuples[50:]) + ";\n",
+        "named": f"/* of a tool */;INSERT INTO audit_log {columns}\nVALUES " + ", ".join(f"('n{i}', NULL, '{b}')" for i, b in enumerate(bodies)),
+    }
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+        found = {name: dump_rows(spark, put(tmp_path, f"{name}.sql", text)) for name, text in texts.items()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    expect = [b.replace("''", "'") for b in bodies]
+    assert [(r.query_id, r.stmt_raw) for r in found["whole"][1]] == [(f"w{i}", b) for i, b in enumerate(expect)]
+    assert [r.tuple_pos for r in found["whole"][1]] == list(range(60)) and [i.reason for i in found["whole"][0]] == [None]
+    assert [r.query_id for r in found["broken"][1]] == [f"w{i}" for i in range(50)]
+    assert [(i.reason, i.stopped_at) for i in found["broken"][0]] == [("tuple cannot be read", f",('open' {NOW}, ,'x')")]
+    assert [(r.query_id, r.stmt_raw) for r in found["named"][1]] == [(f"n{i}", b) for i, b in enumerate(expect)]
 
 
 @pytest.mark.parametrize("split_bytes", ["150", "134217728"])
