@@ -140,12 +140,8 @@ _DUMP_FIELDS = {
 }
 
 
-def dump_statements(rows: DataFrame) -> DataFrame:
-    """``value``: one INSERT per 50 records.
-
-    Even groups name their columns, odd ones rely on the default order. Every 71st record follows
-    a probe of the dump client, every 10th group ends in an unfinished tuple.
-    """
+def _dump_tuples(rows: DataFrame, named: Column, group: Column) -> DataFrame:
+    """``g, record_id, t``: a tuple for each record, by the column list where ``named`` holds and else by place; some follow a probe of the dump client."""
 
     def literal(column: str | None) -> Column:
         if column is None:
@@ -162,8 +158,6 @@ def dump_statements(rows: DataFrame) -> DataFrame:
 
     source = _export_columns(rows)
     typed = dict(source.dtypes)
-    group = F.floor(F.col("record_id") / STATEMENT_ROWS)
-    named = group % 2 == 0
     in_list = F.concat(F.lit("("), F.concat_ws(", ", *[literal(c) for c in _DUMP_FIELDS.values()]), F.lit(")"))
     by_place = F.concat(F.lit("("), F.concat_ws(",", *[literal(c) for c in POSITIONAL]), F.lit(")"))
     probe = F.lit("SHOW VARIABLES LIKE \\'gtid_mode\\'")
@@ -176,7 +170,17 @@ def dump_statements(rows: DataFrame) -> DataFrame:
         F.when(F.col("record_id") % 71 == 0, noise).otherwise(F.lit("")),
         F.when(named, in_list).otherwise(by_place),
     )
-    tuples = source.select(group.alias("g"), "record_id", one.alias("t"))
+    return source.select(group.alias("g"), "record_id", one.alias("t"))
+
+
+def dump_statements(rows: DataFrame) -> DataFrame:
+    """``value``: one INSERT per 50 records.
+
+    Even groups name their columns, odd ones rely on the default order. Every 71st record follows
+    a probe of the dump client, every 10th group ends in an unfinished tuple.
+    """
+    group = F.floor(F.col("record_id") / STATEMENT_ROWS)
+    tuples = _dump_tuples(rows, group % 2 == 0, group)
     joined = tuples.groupBy("g").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("record_id", "t"))), lambda r: r["t"]), ","
@@ -192,6 +196,18 @@ def dump_statements(rows: DataFrame) -> DataFrame:
     return lines.withColumn("value", with_other).repartitionByRange(FILES, "g").sortWithinPartitions("g").select("value")
 
 
+def dump_single_inserts(rows: DataFrame) -> DataFrame:
+    """A few INSERT statements that hold the whole table between them, a tuple a line."""
+    group = F.pmod(F.xxhash64("record_id"), F.lit(FILES)).cast("long")
+    tuples = _dump_tuples(rows, F.lit(True), group)
+    firsts = tuples.groupBy("g").agg(F.min("record_id").alias("first"))
+    comma = F.when(F.col("record_id") > F.col("first"), F.lit(",")).otherwise(F.lit(""))
+    lines = tuples.join(firsts, "g").select("g", "record_id", F.concat(comma, "t").alias("value"))
+    head = firsts.select("g", F.lit(-1).cast("long").alias("record_id"), F.lit(f"INSERT INTO `audit_log` ({', '.join(_DUMP_FIELDS)}) VALUES").alias("value"))
+    tail = firsts.select("g", F.lit((1 << 63) - 1).alias("record_id"), F.lit(";").alias("value"))
+    return head.unionByName(lines).unionByName(tail).repartition(FILES, "g").sortWithinPartitions("g", "record_id").select("value")
+
+
 def _write(df: DataFrame, path: str) -> str:
     df.write.option("lineSep", "\n").text(path)
     return path
@@ -207,6 +223,8 @@ def corpus(spark: SparkSession, sf_dir: str, kind: str) -> str:
             return _write(fe_entries(rows), path)
         if kind == "dump":
             return _write(dump_statements(rows), path)
+        if kind == "dump-single":
+            return _write(dump_single_inserts(rows), path)
         if kind == "csv":
             return _write(_csv_lines(rows), path)
         if kind == "tsv":

@@ -161,6 +161,17 @@ def src_11(spark, sf):
     return rows.groupBy("file", "statement_seq").agg(group.alias("g"), F.count("*").alias("n_tuples")).select("g", "n_tuples")
 
 
+@query(
+    "src_11_dump_of_few_inserts",
+    sql(f"SELECT {_fields('is_internal', 'stmt_raw')}, coalesce(template, '') AS template FROM (SELECT src.*, acc.template FROM src LEFT JOIN acc USING (record_id))"),
+)
+def src_11_few(spark, sf):
+    """The whole table in a few statements, each as long as a file."""
+    read = stored(spark, sf, "dump-single-parts", lambda: mysqldump.read_parts(spark, corpus(spark, sf, "dump-single")))
+    rows = mysqldump.tuple_records(read)
+    return rows.where(~F.col("is_noise")).select(*PARSED_FIELDS, F.coalesce("template", F.lit("")).alias("template"))
+
+
 @query(
     "src_13_dump_records",
     sql(f"SELECT {_fields('CASE WHEN record_id // 50 % 2 = 0 THEN is_internal END', 'stmt_raw')}, coalesce(template, '') AS template FROM (SELECT src.*, acc.template FROM src LEFT JOIN acc USING (record_id))"),
