@@ -15,7 +15,9 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -108,17 +110,32 @@ def write_arc(pages: DataFrame, folder: str, date: str = "20240101000000", versi
 def opened(content: bytes) -> io.BufferedIOBase:
     """Plain or gzip, one member or one per record."""
     plain = io.BytesIO(content)
-    return io.BufferedReader(gzip.GzipFile(fileobj=plain), 1 << 20) if content[:2] == b"\x1f\x8b" else plain
+    return io.BufferedReader(gzip.GzipFile(fileobj=plain), 1 << 16) if content[:2] == b"\x1f\x8b" else plain
 
 
 def arc_records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes, str | None]]:
     """(offset, version, fields, block, fault) of every record but the version blocks.
 
     A block shorter than declared is returned with a fault; after a header line that is no header
-    line, or an unknown version, nothing in the file can be placed, so one fault ends it.
+    line, or an unknown version, nothing in the file can be placed, so one fault ends it, as one does
+    where a gzip file is cut short or broken.
     """
-    source, version, place = opened(content), 1, 0
-    while line := source.readline():
+    source, version, place, broken = opened(content), 1, 0, False
+
+    def read(size: int | None = None) -> bytes:
+        """A line, or a block; a gzip file that is cut short or broken ends there."""
+        nonlocal broken
+        found = b""
+        try:
+            if size is None:
+                return source.readline()
+            while len(found) < size and (more := source.read(min(size - len(found), 1 << 24))):
+                found += more
+        except (EOFError, OSError, zlib.error):
+            broken = True
+        return found
+
+    while line := read():
         offset, place = place, place + len(line)
         if not line.strip():
             continue
@@ -127,11 +144,11 @@ def arc_records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], byte
             values = line.split()
             names = ARC_FIELDS[2 if len(values) == len(ARC_FIELDS[2]) else 1]
         values = line.decode("utf-8", "replace").rstrip("\r\n").rsplit(" ", len(names) - 1)
-        if len(values) != len(names) or not values[-1].isdigit():
+        if len(values) != len(names) or not re.fullmatch("[0-9]{1,18}", values[-1]):
             yield offset, version, {}, b"", "no header line"
             return
         length = int(values[-1])
-        block = source.read(length)
+        block = read(length)
         place += len(block)
         if line.startswith(b"filedesc://"):
             first = block.split(None, 1)
@@ -141,6 +158,8 @@ def arc_records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], byte
             version = int(first[0])
             continue
         yield offset, version, dict(zip(names, values)), block, None if len(block) == length else "truncated"
+    if broken:
+        yield place, version, {}, b"", "broken archive"
 
 
 def head_and_payload(block: bytes) -> tuple[bytes, bytes]:
@@ -157,12 +176,14 @@ def field(head: bytes, name: bytes) -> str | None:
 
 
 def number(text: str | None) -> int | None:
-    return int(text) if text and text.lstrip("-").isdigit() and len(text) < 19 else None
+    """A whole number that 64 bits hold, or None."""
+    value = int(text) if text and re.fullmatch(r"-?[0-9]{1,19}", text) else None
+    return value if value is not None and -(1 << 63) <= value < 1 << 63 else None
 
 
 def iso_time(date: str) -> str:
     """14 digits as WARC time; shorter dates of early archives are filled up, others are the epoch."""
-    if not date.isdigit() or not 8 <= len(date) <= 14:
+    if not re.fullmatch("[0-9]{8,14}", date):
         return "1970-01-01T00:00:00Z"
     d = date + "000000"[len(date) - 8 :] if len(date) < 14 else date
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"

@@ -23,6 +23,9 @@ def test_versions_and_faults():
     assert [r[4] for r in A.arc_records(b"filedesc://x 0 0 text/plain 2\n7 \nhttp")] == ["unknown version"]
     assert [r[4] for r in A.arc_records(v1 + b"garbage line\nmore")] == [None, None, "no header line"]
     assert list(A.arc_records(b"")) == []
+    assert [r[4] for r in A.arc_records(gzip.compress(v1)[:-20])][-1] == "broken archive"
+    assert [r[4] for r in A.arc_records(v1 + "http://x/ 1.1.1.1 19970203040506 text/html ٣\nabc".encode())][-1] == "no header line"
+    assert [r[4] for r in A.arc_records(v1 + b"http://x/ 1.1.1.1 19970203040506 text/html 999999999999999999\nabc")][-1] == "truncated"
     assert A.iso_time("1997020304") == "1997-02-03T04:00:00Z" and A.iso_time("x") == "1970-01-01T00:00:00Z"
 
 
@@ -46,6 +49,14 @@ def test_round_trip(spark, tmp_path):
     assert len(ids) == len(rows) and all(r.refers_to_record in ids for r in back if r.type == "revisit")
 
 
+def test_long_ids(spark):
+    keys = [1234567890123456789, -(1 << 63), (1 << 63) - 1, -123456789012345678, 0]
+    df = spark.createDataFrame([(k, "http://a", f"page {k}") for k in keys] + [(k + 1, "http://b", f"page {k}") for k in keys[:2]], "page_id long, url string, html string")
+    out = {r.page_id: (r.record_type, r.refers_to) for r in A.pages_through_archives(df).collect()}
+    assert out == {k: ("response", None) for k in keys} | {k + 1: ("revisit", k) for k in keys[:2]}
+    assert [A.number(x) for x in (None, "", "-", "1.5", "٣", "9223372036854775808", "-9223372036854775809", "12345678901234567890")] == [None] * 8
+
+
 def test_empty(spark):
     assert A.pages_through_archives(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
