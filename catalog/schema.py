@@ -362,27 +362,39 @@ def agg_19(spark, sf):
     return rows.select("database", "table", F.col("total_bytes").cast("bigint").alias("total_bytes"), "total_tablets", "bucketed_count")
 
 
+# Every order is a row of some index of one of 40 tables: names differ in case, types and numbers are partly absent.
+_INDEX_ROWS = {
+    "database": "concat('db', {k} % 4)",
+    "table": "concat('t', {k} % 40)",
+    "pos": "o_orderkey",
+    "Key_name": "concat(CASE WHEN o_orderkey % 2 = 0 THEN 'IDX_' ELSE 'idx_' END, o_orderkey % 5)",
+    "Index_type": "CASE o_orderkey % 3 WHEN 0 THEN 'BITMAP' WHEN 1 THEN '' ELSE 'INVERTED' END",
+    "Column_name": "CASE WHEN o_orderkey % 17 <> 3 THEN concat('c', o_totalprice_class) END",
+    "Seq_in_index": "CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'x' ELSE CAST(o_orderkey % 6 AS {string}) END",
+}
+
+
+def _index_rows(k: str, string: str) -> str:
+    columns = ", ".join(f"{e.format(k=k, string=string)} AS {n}" for n, e in _INDEX_ROWS.items())
+    return f"SELECT {columns.replace(' AS table', ' AS tbl')} FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) % 7 AS o_totalprice_class FROM {{orders}})"
+
+
 @query(
     "agg_18_index_list",
-    sql(
-        "SELECT database, \"table\", 'IdX_A' AS name, 'BITMAP' AS index_type, 'c1,c2,c1' AS columns FROM tl UNION ALL "
-        "SELECT database, \"table\", 'plain', '', 'z' FROM tl"
-    ),
+    f"WITH raw AS ({_index_rows('o_custkey', 'VARCHAR').format(orders='orders')}), "
+    "placed AS (SELECT *, lower(Key_name) AS key, TRY_CAST(Seq_in_index AS BIGINT) AS seq, "
+    "count(Column_name) OVER (PARTITION BY database, tbl, lower(Key_name) ORDER BY pos) AS nth FROM raw), "
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY database, tbl, key ORDER BY CASE WHEN seq > 0 THEN seq ELSE nth END, Column_name, nth) AS r "
+    "FROM placed WHERE Column_name IS NOT NULL), "
+    "apart AS (SELECT *, lag(Column_name) OVER (PARTITION BY database, tbl, key ORDER BY r) AS earlier FROM ranked), "
+    "listed AS (SELECT database, tbl, key, string_agg(Column_name, ',' ORDER BY r) AS columns FROM apart WHERE earlier IS NULL OR earlier <> Column_name GROUP BY ALL), "
+    "named AS (SELECT database, tbl, key, min_by(Key_name, pos) AS name, coalesce(min_by(Index_type, pos) FILTER (Index_type <> ''), '') AS index_type FROM placed GROUP BY ALL) "
+    "SELECT database, tbl AS \"table\", name, index_type, coalesce(columns, '') AS columns FROM named LEFT JOIN listed USING (database, tbl, key)",
 )
 def agg_18(spark, sf):
-    listing = [
-        (0, "IdX_A", "", "c1", "3"),
-        (1, "idx_a", "BITMAP", "c2", "2"),
-        (2, "plain", "", "z", None),
-        (3, "IDX_A", "X", "c1", "1"),
-        (4, "idx_a", "X", "c1", "1"),
-    ]
-    names = ("pos", "Key_name", "Index_type", "Column_name", "Seq_in_index")
-    entries = [
-        F.struct(*[F.lit(v).cast("int" if n == "pos" else "string").alias(n) for n, v in zip(names, row)]) for row in listing
-    ]
-    rows = corpus.table_list(spark, sf).select("database", "table", F.inline(F.array(*entries)))
-    return inputs.index_list(rows).select("database", "table", "name", "index_type", F.array_join("columns", ",").alias("columns"))
+    raw = spark.sql(_index_rows("o_custkey", "STRING").format(orders="{orders}"), orders=spark.read.parquet(f"{sf}/orders.parquet"))
+    rows = inputs.index_list(raw.withColumnRenamed("tbl", "table"))
+    return rows.select("database", "table", "name", "index_type", F.array_join("columns", ",").alias("columns"))
 
 
 @query(
