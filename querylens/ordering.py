@@ -1,13 +1,12 @@
 """Order-dependent columns over groups of any size.
 
 A group (a file, a table) may hold a third of the data, so no window ever spans one. Its rows fall
-into ordered buckets of bounded size (file splits, runs of positions): windows run inside a bucket,
+into ordered buckets of bounded size (runs of lines, runs of positions): windows run inside a bucket,
 and one row per bucket carries the result across.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +15,10 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Buckets:
-    """``group`` and ``bucket`` name the bucket of a row, ``order`` its place inside."""
+    """``group`` and ``bucket`` name the bucket of a row, ``order`` its place inside.
+
+    Several ``bucket`` columns name it from the outside in: split and run of a line.
+    """
 
     group: tuple[str, ...]
     bucket: tuple[str, ...]
@@ -29,22 +31,55 @@ class Buckets:
     def rows(self):
         return Window.partitionBy(*self.keys).orderBy(*self.order)
 
-    def summaries(self):
-        ordered = Window.orderBy(*self.bucket)
-        return Window.partitionBy(*self.group).orderBy(*self.bucket) if self.group else ordered
-
 
 def _before(window):
     return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
+def before_buckets(
+    buckets: DataFrame, lanes: Buckets, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None
+) -> DataFrame:
+    """Add what the buckets before each one hold: sums of numbers, and last non-NULL values.
+
+    ``buckets`` has one row per bucket, and a window runs over the buckets of a group. Without a group
+    it runs over those with the same first column, which are then folded to a row each.
+    """
+    sums, lasts = sums or {}, lasts or {}
+    own = {name: F.coalesce(amount.cast("bigint"), F.lit(0)) for name, amount in sums.items()} | lasts
+    level = buckets.select("*", *[column.alias(f"_own_{name}") for name, column in own.items()])
+
+    def across(rows: DataFrame, window, prefix: str) -> DataFrame:
+        earlier = _before(window)
+        found = {name: F.coalesce(F.sum(f"_own_{name}").over(earlier), F.lit(0)) for name in sums}
+        found |= {name: F.last(f"_own_{name}", ignorenulls=True).over(earlier) for name in lasts}
+        return rows.select("*", *[column.alias(prefix + name) for name, column in found.items()]).drop(
+            *[f"_own_{name}" for name in own]
+        )
+
+    top, *inner = lanes.bucket
+    if lanes.group or not inner:
+        window = Window.partitionBy(*lanes.group) if lanes.group else Window
+        return across(level, window.orderBy(*lanes.bucket), "")
+    place = F.struct(*inner)
+    folded = level.groupBy(top).agg(
+        *[F.sum(f"_own_{name}").alias(f"_own_{name}") for name in sums],
+        *[
+            F.max_by(f"_own_{name}", F.when(F.col(f"_own_{name}").isNotNull(), place)).alias(f"_own_{name}")
+            for name in lasts
+        ],
+    )
+    inside = across(level, Window.partitionBy(top).orderBy(*inner), "_in_")
+    joined = inside.join(across(folded, Window.orderBy(top), "_up_"), top)
+    whole = {name: F.col(f"_in_{name}") + F.col(f"_up_{name}") for name in sums}
+    whole |= {name: F.coalesce(f"_in_{name}", f"_up_{name}") for name in lasts}
+    return joined.select(*buckets.columns, *[column.alias(name) for name, column in whole.items()])
+
+
 def running_total(df: DataFrame, lanes: Buckets, amount: Column, out: str) -> DataFrame:
     """Sum of ``amount`` over the rows of the group up to and including each row."""
     marked = df.withColumn("_amount", F.coalesce(amount.cast("bigint"), F.lit(0)))
     totals = marked.groupBy(*lanes.keys).agg(F.sum("_amount").alias("_total"))
-    offsets = totals.select(
-        *lanes.keys, F.coalesce(F.sum("_total").over(_before(lanes.summaries())), F.lit(0)).alias("_offset")
-    )
+    offsets = before_buckets(totals, lanes, sums={"_offset": F.col("_total")}).drop("_total")
     local = F.sum("_amount").over(lanes.rows().rowsBetween(Window.unboundedPreceding, 0))
     return (
         marked.withColumn("_local", local)
@@ -63,16 +98,10 @@ def carry_last(df: DataFrame, lanes: Buckets, value: Column, out: str) -> DataFr
     """Last non-NULL ``value`` among the rows of the group that come before each row."""
     marked = df.withColumn("_value", value)
     local = F.last("_value", ignorenulls=True).over(_before(lanes.rows()))
-    last = (
-        marked.where(F.col("_value").isNotNull())
-        .groupBy(*lanes.keys)
-        .agg(F.max_by("_value", F.struct(*lanes.order)).alias("_last"))
-    )
     # Buckets without any value still need the carry, so the bucket list comes from all rows.
-    buckets = marked.select(*lanes.keys).distinct().join(last, lanes.keys, "left")
-    carried = buckets.select(
-        *lanes.keys, F.last("_last", ignorenulls=True).over(_before(lanes.summaries())).alias("_carry")
-    )
+    place = F.when(F.col("_value").isNotNull(), F.struct(*lanes.order))
+    buckets = marked.groupBy(*lanes.keys).agg(F.max_by("_value", place).alias("_last"))
+    carried = before_buckets(buckets, lanes, lasts={"_carry": F.col("_last")}).drop("_last")
     return (
         marked.withColumn("_here", local)
         .join(carried, lanes.keys)
@@ -82,68 +111,39 @@ def carry_last(df: DataFrame, lanes: Buckets, value: Column, out: str) -> DataFr
 
 
 def assemble(
-    rows: DataFrame,
-    lanes: Buckets,
-    piece: str,
-    local_seq: str,
-    flag: str,
-    joiner: str = "",
-    max_chars: int | None = None,
+    rows: DataFrame, lanes: Buckets, piece: str, local_seq: str, flag: str, joiner: str = "", lead: bool = True
 ) -> DataFrame:
     """Concatenate the rows of one record, also when it crosses buckets.
 
     ``local_seq`` numbers records inside a bucket and ``flag`` marks the rows that move that number
-    on; record 0 of a bucket continues the record left open before it. Records longer than
-    ``max_chars`` keep their true length but only a prefix of their text.
+    on; record 0 of a bucket continues the record left open before it. Rows before the first mark of
+    their group are a record too; without ``lead`` its text is NULL and its rows are not put together,
+    so that a group without marks, however large, makes no cell.
 
-    Result: group and bucket columns of the record's first row, ``record_seq`` (per group),
-    ``text`` and ``n_chars``.
+    Result: group and bucket columns of the record's first row, ``record_seq`` (per group) and ``text``.
     """
     keys = lanes.keys
-    (split,) = lanes.bucket
-    rows = rows.withColumn("_len", F.length(piece) + len(joiner))
-    if max_chars is not None:
-        within = Window.partitionBy(*keys, local_seq).orderBy(*lanes.order)
-        rows = rows.withColumn("_seen", F.coalesce(F.sum("_len").over(_before(within)), F.lit(0)))
-        kept_piece = F.when(F.col("_seen") <= max_chars, F.col(piece))
-    else:
-        kept_piece = F.col(piece)
-    ordered = F.array_sort(F.collect_list(F.when(kept_piece.isNotNull(), F.struct(*lanes.order, kept_piece.alias("_p")))))
+    ordered = F.array_sort(F.collect_list(F.struct(*lanes.order, F.col(piece).alias("_p"))))
     parts = rows.groupBy(*keys, local_seq).agg(
-        F.array_join(F.transform(ordered, lambda r: r["_p"]), joiner).alias("_text"), F.sum("_len").alias("_chars")
+        F.array_join(F.transform(ordered, lambda r: r["_p"]), joiner).alias("_text")
     )
 
+    bucket = F.struct(*lanes.bucket)
     totals = rows.groupBy(*keys).agg(F.sum(F.col(flag).cast("bigint")).alias("_n"))
-    summary = lanes.summaries()
-    splits = totals.select(
-        *keys,
-        "_n",
-        F.coalesce(F.sum("_n").over(_before(summary)), F.lit(0)).alias("_offset"),
-        F.coalesce(
-            F.last(F.when(F.col("_n") > 0, F.col(split)), ignorenulls=True).over(_before(summary)),
-            F.first(split).over(summary.rowsBetween(Window.unboundedPreceding, 0)),
-        ).alias("_owner"),
-    )
-    parts = parts.join(splits, keys)
-    continued = (F.col(local_seq) == 0) & (F.col("_owner") != F.col(split))
-    tails = parts.where(continued)
-    if max_chars is not None:
-        per_owner = Window.partitionBy(*lanes.group, "_owner").orderBy(split)
-        tails = tails.withColumn("_seen", F.coalesce(F.sum("_chars").over(_before(per_owner)), F.lit(0)))
-        tail_text = F.when(F.col("_seen") <= max_chars, F.col("_text"))
-    else:
-        tail_text = F.col("_text")
-    tails = tails.groupBy(*lanes.group, F.col("_owner").alias(split)).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(
-                    F.collect_list(F.when(tail_text.isNotNull(), F.struct(F.col(split).alias("_s"), tail_text.alias("_p"))))
-                ),
-                lambda r: r["_p"],
-            ),
-            joiner,
-        ).alias("_tail"),
-        F.sum("_chars").alias("_tail_chars"),
+    buckets = before_buckets(totals, lanes, sums={"_offset": F.col("_n"), "_buckets": F.lit(1)})
+    owns = (F.col("_n") > 0) | (F.lit(lead) & (F.col("_buckets") == 0))
+    buckets = before_buckets(buckets, lanes, lasts={"_owner": F.when(owns, bucket)})
+    parts = parts.join(buckets, keys)
+    continued = (F.col(local_seq) == 0) & F.col("_owner").isNotNull()
+    if not lead:
+        leads = (F.col(local_seq) == 0) & F.col("_owner").isNull()
+        parts = parts.where(~leads | (F.col("_buckets") == 0)).withColumn("_text", F.when(~leads, F.col("_text")))
+    piece_of = F.struct(bucket.alias("_b"), F.col("_text").alias("_p"))
+    tails = (
+        parts.where(continued)
+        .groupBy(*lanes.group, "_owner")
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece_of)), lambda r: r["_p"]), joiner).alias("_tail"))
+        .select(*lanes.group, "_owner.*", "_tail")
     )
     last = (F.col(local_seq) == F.col("_n")) & F.col("_tail").isNotNull()
     return (
@@ -153,12 +153,11 @@ def assemble(
             *keys,
             (F.col("_offset") + F.col(local_seq)).alias("record_seq"),
             F.when(last, F.concat_ws(joiner, "_text", "_tail")).otherwise(F.col("_text")).alias("text"),
-            (F.col("_chars") + F.when(last, F.col("_tail_chars")).otherwise(0)).alias("n_chars"),
         )
     )
 
 
 def dense_ids(df: DataFrame, order: str, out: str, bucket_rows_log2: int = 20) -> DataFrame:
     """Consecutive ids from 1 in the order of a unique non-negative number."""
-    bucketed = df.withColumn("_bucket", F.shiftright(order, bucket_rows_log2))
-    return position(bucketed, Buckets((), ("_bucket",), (order,)), out).drop("_bucket")
+    levels = {f"_bucket_{bits}": F.shiftright(order, bits) for bits in (bucket_rows_log2 + 12, bucket_rows_log2)}
+    return position(df.withColumns(levels), Buckets((), tuple(levels), (order,)), out).drop(*levels)

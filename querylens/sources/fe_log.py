@@ -55,12 +55,16 @@ def is_record_start(line: Column) -> Column:
     return line.rlike(RECORD_START)
 
 
-def record_blocks(lines: DataFrame) -> DataFrame:
-    """``file, split_start, record_seq, text``: one row per log entry, continuation lines joined."""
+def record_blocks(lines: DataFrame, lead: bool = True) -> DataFrame:
+    """``file, split_start, run, record_seq, text``: one row per log entry, continuation lines joined.
+
+    Lines before the first entry of a file are one block. It holds no entry; without ``lead`` its lines
+    are not put together and its text is NULL, however many they are.
+    """
     starts = without_cr(lines).withColumn("is_start", is_record_start(F.col("value")))
     running = LINES.rows().rowsBetween(Window.unboundedPreceding, 0)
     numbered = starts.withColumn("local_seq", F.sum(F.col("is_start").cast("bigint")).over(running))
-    return assemble(numbered, LINES, "value", "local_seq", "is_start", joiner="\n").drop("n_chars")
+    return assemble(numbered, LINES, "value", "local_seq", "is_start", joiner="\n", lead=lead)
 
 
 def key_values(body: Column) -> tuple[Column, Column]:
@@ -93,7 +97,7 @@ def parse_entries(blocks: DataFrame, tz: str = "UTC") -> DataFrame:
     """Entry text to typed columns. Entries without a template cannot be stored."""
     body = F.regexp_extract("text", _ENTRY, 2)
     first_line = F.substring_index("text", "\n", 1)
-    split = blocks.select(
+    split = blocks.withColumn("text", F.coalesce("text", F.lit(""))).select(
         "*",
         F.regexp_extract("text", _ENTRY, 1).alias("_prefix_time"),
         F.contains(first_line, F.lit("[slow_query]")).alias("is_slow"),
@@ -115,7 +119,7 @@ def parse_entries(blocks: DataFrame, tz: str = "UTC") -> DataFrame:
             return F.coalesce(*[F.when(coerce.prefix_int(c).try_cast("int").isNotNull(), c) for c in found(field)])
         return F.coalesce(*[F.when(c != "", c) for c in found(field)])
 
-    place = ["file", "split_start", "record_seq", "is_slow", "block_query_id"]
+    place = [*LINES.keys, "record_seq", "is_slow", "block_query_id"]
     texts = split.select(
         *place,
         (F.col("_query_tag") & ~F.col("is_slow")).alias("is_query"),
@@ -140,8 +144,8 @@ def parse_entries(blocks: DataFrame, tz: str = "UTC") -> DataFrame:
     return parsed.withColumn("template", sqltext.template_of(F.col("_entry_stmt"))).drop("_entry_stmt")
 
 
-# Entries of a file, bucketed by the split their first line is in.
-ENTRIES = Buckets(("file",), ("split_start",), ("record_seq",))
+# Entries of a file, bucketed by the run of lines their first line is in.
+ENTRIES = Buckets(LINES.group, LINES.bucket, ("record_seq",))
 
 
 def drop_slow_twins(entries: DataFrame) -> DataFrame:
@@ -156,4 +160,4 @@ def drop_slow_twins(entries: DataFrame) -> DataFrame:
 
 def read_fe_log(spark: SparkSession, paths: str | Sequence[str], tz: str = "UTC") -> DataFrame:
     """All entries of the files, before slow-query twins are dropped."""
-    return parse_entries(record_blocks(read_lines(spark, paths)), tz)
+    return parse_entries(record_blocks(read_lines(spark, paths), lead=False), tz)

@@ -14,11 +14,10 @@ from querylens.ordering import Buckets, position
 from querylens.schemas import PARSED_FIELDS
 from querylens.session import stage
 from querylens.sources import detect, fe_log, mysqldump, outfile
-from querylens.sources.lines import read_lines
+from querylens.sources.lines import LINES, read_lines
 
 _COMMON = [
-    "file",
-    "split_start",
+    *LINES.keys,
     "seq",
     "sub_seq",
     *PARSED_FIELDS,
@@ -42,8 +41,7 @@ class Ingested:
 def _common(df: DataFrame, seq: str, sub_seq: Column, filtered: Column) -> DataFrame:
     queried = F.col("queried_tables") if "queried_tables" in df.columns else F.lit(None).cast("string")
     return df.select(
-        "file",
-        "split_start",
+        *LINES.keys,
         F.col(seq).cast("bigint").alias("seq"),
         sub_seq.cast("int").alias("sub_seq"),
         *PARSED_FIELDS,
@@ -56,7 +54,7 @@ def _common(df: DataFrame, seq: str, sub_seq: Column, filtered: Column) -> DataF
 
 def number_records(accepted: DataFrame) -> DataFrame:
     """Consecutive ``record_id`` from 0 in file order, files in path order."""
-    lanes = Buckets((), ("file", "split_start"), ("seq", "sub_seq"))
+    lanes = Buckets((), tuple(LINES.keys), ("seq", "sub_seq"))
     return position(accepted, lanes, "record_id").withColumn("record_id", F.col("record_id") - 1)
 
 

@@ -1,8 +1,8 @@
 """SQL dump of the audit table: ``INSERT`` statements with many tuples each.
 
 No statement is ever put together. The text is cut after every ``)`` and ``;`` outside strings, so that a part is the head of a
-statement or one tuple; only a part that crosses a line or a split is joined. What a part means follows from the head of its statement,
-which is carried forward over any number of parts and splits. A statement may thus be as long as a file.
+statement or one tuple; only a part that crosses a line is joined. What a part means follows from the head of its statement,
+which is carried forward over any number of parts and runs of lines. A statement may thus be as long as a file.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querylens.functions import coerce, encode, sqltext
-from querylens.ordering import Buckets, assemble
+from querylens.ordering import Buckets, assemble, before_buckets
 from querylens.session import broadcast_if_small, stage
 from querylens.sources.columns import (
     DUMP_ALIASES,
@@ -65,7 +65,7 @@ def quote_state(lines: DataFrame) -> DataFrame:
 
     A line maps the state it starts in to the state it ends in. The map either fixes the end state,
     keeps it, or flips it; the state before a line is the last fixed one, flipped as often as lines
-    since then flip. Only the last fixed state and a flip count cross split borders.
+    since then flip. Only the last fixed state and a flip count cross the borders of runs.
     """
     text = F.concat(F.col("value"), F.lit("\n"))
     from_outside = text.rlike(rf"(?s)^{_CLOSED}'").cast("int")
@@ -84,26 +84,22 @@ def quote_state(lines: DataFrame) -> DataFrame:
         "_flips_before", F.col("_flips") - F.col("_flip")
     )
 
-    # What one split does to the state, then the state every split starts in.
-    per_split = marked.groupBy(*LINES.keys).agg(
+    # What one run does to the state, then the state every run starts in.
+    per_run = marked.groupBy(*LINES.keys).agg(
         F.max(F.struct(F.col("line_key"), F.col("_flips"))).alias("_end"),
         F.max(F.when(F.col("_fix").isNotNull(), F.struct("line_key", "_fix", "_flips"))).alias("_fixed_end"),
     )
     after_fix = F.col("_end._flips") - F.col("_fixed_end._flips")
-    per_split = per_split.select(
+    per_run = per_run.select(
         *LINES.keys,
         F.when(F.col("_fixed_end").isNotNull(), (F.col("_fixed_end._fix") + after_fix) % 2).alias("_set"),
         F.when(F.col("_fixed_end").isNull(), F.col("_end._flips")).otherwise(0).alias("_turns"),
     )
-    summary = LINES.summaries()
-    per_split = per_split.withColumn(
-        "_sum", F.sum("_turns").over(summary.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    per_split = per_split.withColumn("_setting", F.when(F.col("_set").isNotNull(), F.struct("_set", "_sum")))
-    earlier = F.last("_setting", ignorenulls=True).over(summary.rowsBetween(Window.unboundedPreceding, -1))
-    per_split = per_split.withColumn("_earlier", earlier)
-    turned = F.col("_sum") - F.col("_turns") - F.coalesce(F.col("_earlier._sum"), F.lit(0))
-    starts = per_split.select(
+    per_run = before_buckets(per_run, LINES, sums={"_turned": F.col("_turns")})
+    setting = F.when(F.col("_set").isNotNull(), F.struct("_set", F.col("_turned").alias("_at")))
+    per_run = before_buckets(per_run, LINES, lasts={"_earlier": setting})
+    turned = F.col("_turned") - F.coalesce(F.col("_earlier._at"), F.lit(0))
+    starts = per_run.select(
         *LINES.keys, ((F.coalesce(F.col("_earlier._set"), F.lit(0)) + turned) % 2).alias("_entry")
     )
     state = F.when(
@@ -114,14 +110,14 @@ def quote_state(lines: DataFrame) -> DataFrame:
     )
 
 
-_FRAGMENTS = Buckets(("file",), ("split_start",), ("line_key", "pos"))
-_PARTS = Buckets(("file",), ("split_start",), ("part",))
+_FRAGMENTS = Buckets(LINES.group, LINES.bucket, ("line_key", "pos"))
+_PARTS = Buckets(LINES.group, LINES.bucket, ("part",))
 #: About what the first error of a statement takes in memory.
 _ERROR_BYTES = 256
 
 
 def parts(lines: DataFrame) -> DataFrame:
-    """``file, split_start, part, text``: the text cut after ``)`` and ``;`` outside strings; ``part`` counts in the file, ``split_start`` is where the part begins."""
+    """``file, split_start, run, part, text``: the text cut after ``)`` and ``;`` outside strings; ``part`` counts in the file, ``split_start`` and ``run`` are those of its first line."""
     text = F.concat(F.col("value"), F.lit("\n"))
     opened = r"(?s)^(?:[^'\\]+|\\.)*+(?:'|\z)"
     lead = F.when(F.col("in_string"), F.regexp_extract(text, opened, 0)).otherwise(F.lit(""))
@@ -172,10 +168,10 @@ def _head(text: Column) -> Column:
 
 
 def statement_parts(cut: DataFrame) -> DataFrame:
-    """``file, split_start, part, statement_seq, idx, head, text`` of cut text; ``idx`` counts the parts of a statement, ``head`` is that of its first part.
+    """``file, split_start, run, part, statement_seq, idx, head, text`` of cut text; ``idx`` counts the parts of a statement, ``head`` is that of its first part.
 
-    Windows run inside a split. One row per split says how many statements end in it, where the one still open
-    begins and what its head is; these rows carry that to the splits behind.
+    Windows stay inside a run of lines. One row per run says how many statements end in it, where the one still open
+    begins and what its head is; these rows carry that to the runs behind.
     """
     rows = _PARTS.rows()
     before, upto = rows.rowsBetween(Window.unboundedPreceding, -1), rows.rowsBetween(Window.unboundedPreceding, 0)
@@ -191,23 +187,18 @@ def statement_parts(cut: DataFrame) -> DataFrame:
         F.last("_opens", ignorenulls=True).over(upto).alias("_open"),
         F.first("_mine").over(upto).alias("_lead"),
     )
-    splits = local.groupBy(*LINES.keys).agg(
+    runs = local.groupBy(*LINES.keys).agg(
         F.count_if("_ends").alias("_n"),
         F.max(F.when(F.col("_ends"), F.col("part") + 1)).alias("_last"),
         F.max_by("_open", "part").alias("_open"),
         F.min_by("_lead", "part").alias("_first"),
     )
-    earlier = _PARTS.summaries().rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select(
-        "*",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_seq_before"),
-        F.coalesce(F.max("_last").over(earlier), F.lit(0)).alias("_start"),
-    )
+    runs = before_buckets(runs, LINES, sums={"_seq_before": F.col("_n")}, lasts={"_start": F.col("_last")})
+    runs = runs.withColumn("_start", F.coalesce("_start", F.lit(0)))
     begun = F.when(F.col("_open.part") == F.col("_last"), F.col("_open")).when(
         F.col("_last").isNull() & (F.col("_first.part") == F.col("_start")), F.col("_first")
     )
-    splits = splits.withColumn("_begun", begun)
-    carried = splits.select(*LINES.keys, "_seq_before", "_start", F.last("_begun", ignorenulls=True).over(earlier).alias("_carried"))
+    carried = before_buckets(runs, LINES, lasts={"_carried": begun}).select(*LINES.keys, "_seq_before", "_start", "_carried")
     opened = F.coalesce("_open", F.when(F.col("_lead.part") == F.col("_start"), F.col("_lead")).otherwise(F.col("_carried")))
     return local.join(carried, LINES.keys).select(
         *LINES.keys,
@@ -282,7 +273,7 @@ def rejects(inserts: DataFrame) -> DataFrame:
 
 
 def tuples(read: DataFrame) -> DataFrame:
-    """``file, split_start, statement_seq, tuple_pos, positions, body``: the tuples before a statement's first error."""
+    """``file, split_start, run, statement_seq, tuple_pos, positions, body``: the tuples before a statement's first error."""
     errors = stage(_errors(read).select("file", "statement_seq", F.col("tuple_pos").alias("_stop")), "dump-errors")
     rows = _bodies(read).where("is_tuple").join(broadcast_if_small(errors, _ERROR_BYTES), ["file", "statement_seq"], "left")
     rows = rows.where(F.col("_stop").isNull() | (F.col("tuple_pos") < F.col("_stop")))
@@ -315,7 +306,7 @@ def tuple_records(read: DataFrame, tz: str = "UTC") -> DataFrame:
     values = F.regexp_extract_all("body", F.lit(rf"(?s){_VALUE}"), 0)
     rows = tuples(read).withColumn("_values", values)
 
-    place = ["file", "split_start", "statement_seq", "tuple_pos"]
+    place = [*LINES.keys, "statement_seq", "tuple_pos"]
     rows = rows.withColumn("_texts", field_texts(F.col("_values"), F.col("positions"), _token_text))
     timed = rows.select(*place, *named_texts("_texts")).withColumn("_time", coerce.time_digits(F.col("time")))
     parsed = timed.select(*place, *typed_columns(tz))

@@ -20,7 +20,7 @@ from querylens.sources.columns import (
     named_texts,
     typed_columns,
 )
-from querylens.sources.lines import read_lines, without_cr
+from querylens.sources.lines import LINES, read_lines, without_cr
 
 
 def header_positions(fields: Column) -> Column:
@@ -80,6 +80,7 @@ def read_outfile(
     split = joined.where(~is_header).select(
         "file",
         "split_start",
+        "run",
         F.col("line_key").alias("record_seq"),
         encode.split_quoted(F.col("value"), delimiter).alias("_fields"),
         F.when(after, F.col("h_positions")).otherwise(default_positions()).alias("_positions"),
@@ -90,7 +91,7 @@ def read_outfile(
     )
     split = split.withColumn("valid", F.col("_fields").isNotNull() & wide_enough)
 
-    place_columns = ["file", "split_start", "record_seq", "valid"]
+    place_columns = [*LINES.keys, "record_seq", "valid"]
     decoded = field_texts(F.col("_fields"), F.col("_positions"), encode.export_text)
     texts = split.withColumn("_texts", F.when(F.col("valid"), decoded)).select(*place_columns, *named_texts("_texts"))
     timed = texts.withColumn("_time", coerce.time_digits(F.col("time")))

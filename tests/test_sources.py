@@ -1,3 +1,4 @@
+import gzip
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -5,7 +6,8 @@ from conftest import values
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from querylens.sources import detect, fe_log, ingest, mysqldump, outfile, sinks
+from querylens import ordering
+from querylens.sources import detect, fe_log, ingest, lines, mysqldump, outfile, sinks
 from querylens.sources.columns import POSITIONAL
 from querylens.sources.lines import read_lines
 
@@ -211,8 +213,13 @@ def test_dump_rejects(spark, tmp_path):
     assert (report.format_detected, report.bad_statements, report.statements_scanned) == ("auditLogMysqlDump", 4, 5)
 
 
+@pytest.fixture
+def short_runs(monkeypatch):
+    monkeypatch.setattr(lines, "RUN_BITS", 1)
+
+
 @pytest.mark.parametrize("split_bytes", ["150", "1000", "134217728"])
-def test_dump_of_one_statement(spark, tmp_path, split_bytes):
+def test_dump_of_one_statement(spark, tmp_path, split_bytes, short_runs):
     """One INSERT is the whole file; tuples cross lines and splits, and only the broken one and what follows it are left out."""
     bodies = [f"row {i};\n) it''s, (" + "v" * (i % 7) * 40 for i in range(60)]
     tuples = [f"('w{i}',\n {NOW} ,'{body}')" for i, body in enumerate(bodies)]
@@ -237,7 +244,7 @@ def test_dump_of_one_statement(spark, tmp_path, split_bytes):
 
 
 @pytest.mark.parametrize("split_bytes", ["150", "134217728"])
-def test_dump_is_split_invariant(spark, tmp_path, split_bytes):
+def test_dump_is_split_invariant(spark, tmp_path, split_bytes, short_runs):
     stmts, expect = [], []
     for i in range(20):
         body = "a;\n b''c \\' d;\n" * (i % 5) + "it''s;"
@@ -344,3 +351,51 @@ def test_rows_without_time_are_spread(spark, tmp_path):
     sinks.write_records(rows, target, 8)
     sizes = [r["count"] for r in spark.read.parquet(target).groupBy(F.input_file_name()).count().collect()]
     assert len(sizes) == 8 and max(sizes) <= 2 * min(sizes) and sum(sizes) == 4000
+
+
+@pytest.mark.parametrize("bits", [2, 12])
+def test_runs_of_a_packed_log(spark, tmp_path, monkeypatch, bits):
+    """A compressed log is one split; its runs give the same entries, twins and ids, whatever their length."""
+    monkeypatch.setattr(lines, "RUN_BITS", bits)
+    entries, expect = [], []
+    for i in range(40):
+        stmt = f"select {i}" + "\n, more" * (i % 9)
+        tag = "slow_query" if i % 4 == 3 else "query"
+        number = i - 1 if i % 4 == 3 else i
+        entries.append(f"2031-07-05 08:00:{i:02d},250 [{tag}] |QueryId=z{number}|Time(ms)={i}|Stmt={stmt}")
+        if i % 4 != 3:
+            expect.append((f"z{number}", stmt))
+    text = "lines of an entry\n|QueryId=z9|Stmt=cut off\n" * 5 + "\n".join(entries) + "\n"
+    packed = tmp_path / "log.gz"
+    packed.write_bytes(gzip.compress(text.encode()))
+    read = lines.read_lines(spark, str(packed))
+    longest = read.groupBy(*lines.LINES.keys).count().agg({"count": "max"}).first()[0]
+    assert longest <= 2**bits
+    bare = fe_log.record_blocks(read, lead=False).orderBy("record_seq").collect()
+    blocks = fe_log.record_blocks(read).orderBy("record_seq").collect()
+    assert [b.record_seq for b in blocks] == list(range(41)) and bare[0].text is None and blocks[1:] == bare[1:]
+    assert blocks[0].text == text[: text.index("\n2031")]
+    assert [b.text for b in blocks[1:]] == entries
+    done = ingest.ingest(spark, str(packed), "ds", formats={r.file: ("feAuditLog", None) for r in read.select("file").distinct().collect()})
+    rows = done.records.orderBy("record_id").collect()
+    assert [(r.query_id, r.stmt_raw) for r in rows] == expect and [r.record_id for r in rows] == list(range(30))
+    report = done.report.first()
+    assert (report.records_parsed, report.records_inserted, report.bad_records) == (31, 30, 1)
+
+
+@pytest.mark.parametrize("group", [("g",), ()])
+def test_what_comes_before_a_bucket(spark, group):
+    """Sums and last values equal those of one loop over all buckets, within groups and without any."""
+    lanes = ordering.Buckets(group, ("a", "b", "c") if group else ("g", "a", "b", "c"), ("c",))
+    rows = [(g, a, b, c, (7 * a + 3 * b + c) % 5 - 1 or None) for g in "xy" for a in range(3) for b in range(1 + a) for c in range(4)]
+    df = spark.createDataFrame(rows, "g string, a long, b long, c long, v long")
+    got = ordering.before_buckets(df, lanes, sums={"total": F.col("v")}, lasts={"last": F.when(F.col("v") > 2, F.struct("a", "v"))})
+    expect, total, last = [], 0, None
+    for i, row in enumerate(sorted(rows, key=lambda r: r[:4])):
+        if group and i == len(rows) // 2:
+            total, last = 0, None
+        expect.append((*row, total, last))
+        total += row[4] or 0
+        last = (row[1], row[4]) if (row[4] or 0) > 2 else last
+    found = [tuple(r[c] for c in (*"gabcv", "total")) + (r["last"] and tuple(r["last"]),) for r in got.collect()]
+    assert sorted(found, key=lambda r: r[:4]) == expect
