@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.corpus_plans import analysis, documents
-from catalog.registry import query
+from catalog.registry import query, table
 from querylens.plans import nodes as plan_nodes
-from querylens.plans.graph import exchange_ends
+from querylens.plans.graph import exchange_ends, fragment_levels
 from querylens.plans.lines import plan_lines
 
 # One row per fragment of a document.
@@ -125,6 +125,34 @@ def plan_09(spark, sf):
     return analysis(spark, sf).fragments.select("doc_id", "fragment_id", "level")
 
 
+GRAPHS = (
+    "(SELECT l_suppkey * 2 + CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS doc_id, count(*) - 1 AS m FROM lineitem GROUP BY 1)"
+)
+
+
+@query(
+    "plan_09_levels_of_graphs",
+    "SELECT doc_id, f AS fragment_id, CAST(CASE doc_id % 3 WHEN 0 THEN CASE WHEN f > 0 THEN floor(log2(m // f)) WHEN m > 0 THEN floor(log2(m)) + 1 ELSE 0 END "
+    "WHEN 1 THEN m - f ELSE CASE WHEN m < 2 OR f >= m // 2 THEN m - f ELSE 0 END END AS INTEGER) AS level "
+    f"FROM (SELECT doc_id, m, unnest(range(0, m + 1)) AS f FROM {GRAPHS})",
+)
+def plan_09_graphs(spark, sf):
+    """A graph per supplier and line status, of as many fragments as it has lines: a tree that gathers two fragments in one, a
+    ladder of diamonds, and a chain with a cycle at its middle, behind which nothing is reached."""
+    doc = (F.col("l_suppkey") * 2 + (F.col("l_linestatus") == "F").cast("int")).alias("doc_id")
+    sizes = table(spark, sf, "lineitem").groupBy(doc).agg((F.count("*") - 1).alias("m"))
+    frags = sizes.select("doc_id", "m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m"))).alias("fragment_id"))
+    f, m, half = F.col("fragment_id"), F.col("m"), F.expr("m div 2")
+    none = F.lit(None).cast("bigint")
+    targets = (
+        F.when(F.col("doc_id") % 3 == 0, F.array(F.when(f > 0, F.expr("fragment_id div 2"))))
+        .when(F.col("doc_id") % 3 == 1, F.array(F.when(f > 0, f - 1), F.when(f > 1, f - 2)))
+        .otherwise(F.array(F.when(f > 0, f - 1), F.when((m >= 2) & (f == half - 1), half).otherwise(none)))
+    )
+    edges = frags.select("doc_id", f.alias("from_fragment"), F.explode(F.array_compact(targets)).alias("to_fragment"))
+    return fragment_levels(frags, edges)
+
+
 @query(
     "agg_24_fragment_degrees",
     f"SELECT doc_id, fragment_id, (fragment_id < last)::BIGINT AS upstream, (fragment_id > 0)::BIGINT AS downstream FROM {FRAGMENTS}",

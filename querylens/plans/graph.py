@@ -67,53 +67,61 @@ def fragment_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``doc_id, fragment_id, level``: longest way from a source fragment.
 
     A fragment passes its level on once all fragments before it are settled, so fragments on a
-    cycle keep the best level that reached them. One document's graph is one array: as many rounds
-    as it has fragments settle every one that can be.
+    cycle keep the best level that reached them. One document's graph is one row: every round takes
+    off the fragments that wait for none, and with them the edges they send, each of them once.
     """
     fragments = nodes.where(F.col("fragment_id").isNotNull()).select(*FRAGMENT).distinct()
     before = edges.groupBy("doc_id", F.col("to_fragment").alias("fragment_id")).agg(
         F.collect_set("from_fragment").alias("before")
     )
     none = F.array().cast("array<bigint>")
-    states = (
-        fragments.join(before, FRAGMENT, "left")
-        .groupBy("doc_id")
-        .agg(
-            F.collect_list(
-                F.struct(
-                    F.col("fragment_id").alias("f"),
-                    F.coalesce("before", none).alias("before"),
-                    F.lit(0).alias("level"),
-                    F.lit(False).alias("settled"),
-                )
-            ).alias("state")
-        )
+    node = F.struct(
+        F.col("fragment_id").alias("f"), F.coalesce("before", none).alias("before"), F.lit(0).alias("level")
+    )
+    graphs = fragments.join(before, FRAGMENT, "left").groupBy("doc_id").agg(F.collect_list(node).alias("waiting"))
+    ready = F.filter("waiting", lambda n: F.size(n["before"]) == 0)
+    waiting = F.filter("waiting", lambda n: F.size(n["before"]) > 0)
+    start = F.struct(
+        F.array().cast("array<struct<f:bigint,level:int>>").alias("done"),
+        ready.alias("ready"),
+        waiting.alias("waiting"),
     )
 
-    def advance(state: Column, _round: Column) -> Column:
-        settled = F.transform(F.filter(state, lambda s: s["settled"]), lambda s: s["f"])
+    def peel(state: Column, _round: Column) -> Column:
+        taken = F.transform(state["ready"], lambda n: n["f"])
 
-        def step(node: Column) -> Column:
-            reached = F.transform(
-                F.filter(state, lambda s: s["settled"] & F.array_contains(node["before"], s["f"])),
-                lambda s: s["level"] + 1,
+        def reached(n: Column) -> Column:
+            levels = F.filter(state["ready"], lambda r: F.array_contains(n["before"], r["f"]))
+            return F.struct(
+                n["f"].alias("f"),
+                F.array_except(n["before"], taken).alias("before"),
+                F.greatest(n["level"], F.coalesce(F.array_max(F.transform(levels, lambda r: r["level"] + 1)), F.lit(0))).alias("level"),
             )
+
+        def split(rest: Column) -> Column:
             return F.struct(
-                node["f"].alias("f"),
-                node["before"].alias("before"),
-                F.coalesce(F.array_max(reached), F.lit(0)).alias("level"),
-                F.forall(node["before"], lambda b: F.array_contains(settled, b)).alias("settled"),
+                F.concat(state["done"], F.transform(state["ready"], _level_of)).alias("done"),
+                F.filter(rest, lambda n: F.size(n["before"]) == 0).alias("ready"),
+                F.filter(rest, lambda n: F.size(n["before"]) > 0).alias("waiting"),
             )
 
-        return F.transform(state, step)
+        return F.when(F.size(state["ready"]) == 0, state).otherwise(
+            coerce.once(F.transform(state["waiting"], reached), split)
+        )
+
+    def ended(state: Column) -> Column:
+        return F.concat(state["done"], F.transform(F.concat(state["ready"], state["waiting"]), _level_of))
 
-    rounds = F.sequence(F.lit(0), F.size("state"))
-    final = F.aggregate(rounds, F.col("state"), advance)
-    return states.select("doc_id", F.explode(final).alias("s")).select(
+    final = F.aggregate(F.sequence(F.lit(1), F.size("waiting")), start, peel, ended)
+    return graphs.select("doc_id", F.explode(final).alias("s")).select(
         "doc_id", F.col("s.f").alias("fragment_id"), F.col("s.level").alias("level")
     )
 
 
+def _level_of(node: Column) -> Column:
+    return F.struct(node["f"].alias("f"), node["level"].alias("level"))
+
+
 def fragment_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Number of distinct fragments before and after every fragment."""
     fragments = nodes.where(F.col("fragment_id").isNotNull()).select(*FRAGMENT).distinct()
