@@ -208,8 +208,8 @@ def dump_single_inserts(rows: DataFrame) -> DataFrame:
     return head.unionByName(lines).unionByName(tail).repartition(FILES, "g").sortWithinPartitions("g", "record_id").select("value")
 
 
-def _write(df: DataFrame, path: str) -> str:
-    df.write.option("lineSep", "\n").text(path)
+def _write(df: DataFrame, path: str, compression: str = "none") -> str:
+    df.write.option("lineSep", "\n").text(path, compression=compression)
     return path
 
 
@@ -221,6 +221,8 @@ def corpus(spark: SparkSession, sf_dir: str, kind: str) -> str:
         path = f"{scratch_dir(spark, 'logs')}/{kind}"
         if kind == "fe":
             return _write(fe_entries(rows), path)
+        if kind == "fe-packed":
+            return _write(fe_entries(rows), path, compression="gzip")
         if kind == "dump":
             return _write(dump_statements(rows), path)
         if kind == "dump-single":

@@ -218,6 +218,15 @@ def src_17(spark, sf):
     return ingested(spark, sf, "fe").records.select("record_id", "query_id", "stripped_template_id")
 
 
+@query(
+    "src_17_packed_log",
+    sql("SELECT row_number() OVER (ORDER BY record_id) - 1 AS record_id, query_id, nullif(user_name, '') AS user_name, query_time_ms, replace(stmt_raw, chr(13) || chr(10), chr(10)) AS stmt_raw FROM r"),
+)
+def src_17_packed(spark, sf):
+    """A compressed log cannot be split; runs of its lines give the same records, texts and ids."""
+    return ingested(spark, sf, "fe-packed").records.select("record_id", "query_id", "user_name", "query_time_ms", "stmt_raw")
+
+
 @query(
     "src_18_statement_cut",
     "SELECT doc_id, CASE WHEN length(text) > 4096 THEN left(text, 4096) || ' ...[truncated]' ELSE text END AS shown FROM documents",

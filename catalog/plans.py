@@ -243,6 +243,25 @@ def flt_10(spark, sf):
     return rows.groupBy("doc_id", "fragment_id").agg(F.sum("depth").alias("depths"))
 
 
-@query("q_10_plan_nodes")
+_TREE_HEAD = "repeat('--', CAST(2 * fragment_id AS BIGINT)) || "
+_TREE_TAG = "']||[Fragment: ' || fragment_id || ']||"
+_PLAIN_SINK = "CASE WHEN fragment_id = 0 THEN 'VRESULT SINK' ELSE 'STREAM DATA SINK' END"
+NODES = (
+    # tree form: a sink and what feeds it, two levels a fragment
+    f"SELECT doc_id, 2 * fragment_id AS node_seq, 'tree' AS form, 2 * fragment_id AS depth, fragment_id, CASE WHEN fragment_id = 0 THEN 'ResultSink' ELSE 'DataStreamSink' END AS operator, "
+    f"{_TREE_HEAD} CASE WHEN fragment_id = 0 THEN '[00]:[0: ResultSink' || {_TREE_TAG}VRESULT SINK||' "
+    f"ELSE '[0' || fragment_id || ']:[' || fragment_id || ': DataStreamSink' || {_TREE_TAG}STREAM DATA SINK||EXCHANGE ID: 0' || fragment_id || '||' END AS raw_line FROM {FRAGMENTS} WHERE tree UNION ALL "
+    f"SELECT doc_id, 2 * fragment_id + 1, 'tree', 2 * fragment_id + 1, fragment_id, CASE WHEN fragment_id < last THEN 'VEXCHANGE' ELSE 'VOlapScanNode' END, "
+    f"'--' || {_TREE_HEAD} CASE WHEN fragment_id < last THEN '[0' || (fragment_id + 1) || ']:[' || (fragment_id + 1) || ': VEXCHANGE' || {_TREE_TAG}offset: 0||' "
+    f"ELSE '[00]:[0: VOlapScanNode' || {_TREE_TAG}TABLE: shop.orders(' || {INDEX} || ')||cardinality=' || format('{{:,}}', card::BIGINT) || '||PREDICATES: (o = ' || doc_id || ')||partitions=' || (doc_id % 3 + 1) || '/3 (p1)||' END FROM {FRAGMENTS} WHERE tree UNION ALL "
+    # plan form: a fragment's line, its sink, its one other node
+    f"SELECT doc_id, 3 * fragment_id, 'plan', 0, fragment_id, 'PLAN FRAGMENT ' || fragment_id, 'PLAN FRAGMENT ' || fragment_id FROM {FRAGMENTS} WHERE NOT tree UNION ALL "
+    f"SELECT doc_id, 3 * fragment_id + 1, 'plan', 1, fragment_id, {_PLAIN_SINK}, '  ' || {_PLAIN_SINK} FROM {FRAGMENTS} WHERE NOT tree UNION ALL "
+    "SELECT doc_id, 3 * fragment_id + 2, 'plan', 1, fragment_id, CASE WHEN fragment_id < last THEN 'VEXCHANGE' ELSE 'VOlapScanNode(85)' END, "
+    f"CASE WHEN fragment_id < last THEN '  ' || (fragment_id + 1) || ':VEXCHANGE' ELSE '  0:VOlapScanNode(85)' END FROM {FRAGMENTS} WHERE NOT tree"
+)
+
+
+@query("q_10_plan_nodes", f"SELECT * REPLACE (CAST(node_seq AS BIGINT) AS node_seq, CAST(depth AS INTEGER) AS depth) FROM ({NODES})")
 def q_10(spark, sf):
     return analysis(spark, sf).nodes.select("doc_id", "node_seq", "form", "depth", "fragment_id", "operator", "raw_line")
