@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.registry import stored, table
+from querylens.plans.lines import plan_lines, with_form
+from querylens.plans.nodes import parse_nodes
 from querylens.plans.signals import PlanAnalysis, analyze_plans
+from querylens.session import stage
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,3 +67,43 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analysis(spark: SparkSession, sf_dir: str) -> PlanAnalysis:
     return stored(spark, sf_dir, "plans", lambda: analyze_plans(documents(spark, sf_dir)))
+
+
+def joined_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan per row of ``customer``: a join with repeated facts and runtime filters, fed twice by one fragment; every third
+    plan was made without statistics."""
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("doc_id"),
+        (F.col("c_nationkey") % 8 + 2).cast("string").alias("low"),
+        (F.col("c_custkey") % 90 + 10).cast("string").alias("high"),
+        (F.col("c_nationkey") % 3).cast("string").alias("filter"),
+        F.col("c_mktsegment").alias("segment"),
+    )
+    lines = [
+        "PLAN FRAGMENT 0\n  PARTITION: UNPARTITIONED\n\n  VRESULT SINK\n     MYSQL_PROTOCAL\n\n  200:VHASH JOIN(40)\n  |  join op: INNER JOIN\n",
+        "  |  runtime filters: RF000\n  |  join op: INNER JOIN\n  |  runtime filters: RF00",
+        F.col("filter"),
+        "\n  |----",
+        F.col("high"),
+        ":VEXCHANGE\n  |       offset: 0\n  |\n  ",
+        F.col("low"),
+        ":VEXCHANGE\n     offset: 0\n\nPLAN FRAGMENT 1\n  PARTITION: HASH\n\n  STREAM DATA SINK\n    EXCHANGE ID: 0",
+        F.col("high"),
+        "\n    UNPARTITIONED\n\n  STREAM DATA SINK\n    EXCHANGE ID: 0",
+        F.col("low"),
+        "\n    UNPARTITIONED\n\n  0:VOlapScanNode(8)\n     TABLE: shop.customer(",
+        F.col("segment"),
+        ")\n     cardinality=40\n",
+        F.when(F.col("doc_id") % 3 == 0, "\nplanned with unknown column statistics\n").otherwise(""),
+    ]
+    return rows.select("doc_id", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in lines]).alias("text"))
+
+
+def joined_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines and nodes of those plans."""
+
+    def build() -> tuple[DataFrame, DataFrame]:
+        lines = stage(with_form(plan_lines(joined_documents(spark, sf_dir))), "joined-lines")
+        return lines, stage(parse_nodes(lines), "joined-nodes")
+
+    return stored(spark, sf_dir, "joined-plans", build)

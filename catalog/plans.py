@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.corpus_plans import analysis, documents
+from catalog.corpus_plans import analysis, documents, joined_documents, joined_nodes
 from catalog.registry import query, table
 from querylens.plans import nodes as plan_nodes
-from querylens.plans.graph import exchange_ends, fragment_levels
+from querylens.plans.graph import exchange_ends, fragment_edges, fragment_levels, fragment_summary
+from querylens.plans.keyvalues import lookup
 from querylens.plans.lines import plan_lines
+from querylens.plans.signals import materializations, node_signals
 
 # One row per fragment of a document.
 FRAGMENTS = (
@@ -265,3 +267,46 @@ NODES = (
 @query("q_10_plan_nodes", f"SELECT * REPLACE (CAST(node_seq AS BIGINT) AS node_seq, CAST(depth AS INTEGER) AS depth) FROM ({NODES})")
 def q_10(spark, sf):
     return analysis(spark, sf).nodes.select("doc_id", "node_seq", "form", "depth", "fragment_id", "operator", "raw_line")
+
+
+@query(
+    "agg_26_repeated_keys",
+    "SELECT c_custkey AS doc_id, 'INNER JOIN' AS join_op, CASE c_nationkey % 3 WHEN 0 THEN 'RF000' ELSE 'RF000; RF00' || c_nationkey % 3 END AS runtime_filters FROM customer",
+)
+def agg_26(spark, sf):
+    """Equal values of a repeated key are one, different ones are joined."""
+    _, nodes = joined_nodes(spark, sf)
+    joins = nodes.where(F.startswith("operator", F.lit("VHASH JOIN")))
+    return joins.select("doc_id", lookup(F.col("kv"), "JOIN_OP").alias("join_op"), lookup(F.col("kv"), "RUNTIME_FILTERS").alias("runtime_filters"))
+
+
+@query(
+    "sort_10_edge_exchange_ids",
+    "SELECT c_custkey AS doc_id, 1::BIGINT AS from_fragment, 0::BIGINT AS to_fragment, (c_nationkey % 8 + 2) || ',' || (c_custkey % 90 + 10) AS exchange_ids FROM customer",
+)
+def sort_10(spark, sf):
+    """Two exchanges between the same fragments are one edge, their ids sorted as numbers."""
+    _, nodes = joined_nodes(spark, sf)
+    return fragment_edges(exchange_ends(nodes)).withColumn("exchange_ids", F.array_join("exchange_ids", ","))
+
+
+@query(
+    "plan_13_runtime_filters",
+    "SELECT c_custkey AS doc_id, f AS fragment_id, (f = 0)::BIGINT AS runtime_filter_count, (f = 0)::BIGINT AS join_count, CASE f WHEN 0 THEN 4 ELSE 3 END::BIGINT AS node_count, "
+    "CASE f WHEN 0 THEN CASE c_nationkey % 3 WHEN 0 THEN 'RF000' ELSE 'RF000; RF00' || c_nationkey % 3 END END AS runtime_filters FROM customer, (SELECT unnest([0::BIGINT, 1::BIGINT]) AS f)",
+)
+def plan_13(spark, sf):
+    lines, nodes = joined_nodes(spark, sf)
+    told = node_signals(nodes, materializations(lines)).groupBy("doc_id", "fragment_id").agg(F.max("runtime_filters").alias("runtime_filters"))
+    counts = fragment_summary(nodes, exchange_ends(nodes)).select("doc_id", "fragment_id", "runtime_filter_count", "join_count", "node_count")
+    return counts.join(told, ["doc_id", "fragment_id"])
+
+
+@query(
+    "plan_14_unknown_statistics",
+    "SELECT c_custkey AS doc_id, true AS ok, c_custkey % 3 = 0 AS unknown_statistics, 9::BIGINT AS n_nodes FROM customer",
+)
+def plan_14(spark, sf):
+    lines, nodes = joined_nodes(spark, sf)
+    status = plan_nodes.document_status(joined_documents(spark, sf), lines, nodes)
+    return status.select("doc_id", "ok", "unknown_statistics", "n_nodes")
