@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querylens.functions import coerce
+from querylens.ordering import running_total
+from querylens.sources.lines import LINES
 from querylens.sources.mysqldump import AUDIT_MARKER
 from querylens.sources.outfile import line_delimiter
 
@@ -29,11 +31,10 @@ def detect_formats(lines: DataFrame) -> DataFrame:
     first line; a marker further on counts only for files that look like a script and not like a
     tab-delimited export. Places are counted in bytes of the file, whatever its splits.
     """
-    in_file = Window.partitionBy("file").orderBy("split_start", "line_key").rowsBetween(Window.unboundedPreceding, -1)
+    sized = lines.where(F.col("split_start") < HEAD_BYTES).withColumn("_size", F.octet_length("value") + 1)
     head = (
-        lines.where(F.col("split_start") < HEAD_BYTES)
-        .withColumn("_size", F.octet_length("value") + 1)
-        .withColumn("_offset", F.coalesce(F.sum("_size").over(in_file), F.lit(0)))
+        running_total(sized, LINES, F.col("_size"), "_end")
+        .withColumn("_offset", F.col("_end") - F.col("_size"))
         .where(F.col("_offset") < HEAD_BYTES)
         .withColumn("value", F.left(F.col("value").cast("binary"), (F.lit(HEAD_BYTES) - F.col("_offset")).cast("int")).cast("string"))
     )
