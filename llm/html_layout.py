@@ -43,7 +43,7 @@ GROUPS = names("thead tbody tfoot")
 TABLE_PARTS = names("caption colgroup col thead tbody tfoot tr td th")
 WALLS = names("td th caption table html body template button object")
 
-#: Elements below this depth become children of the element at it, as browsers do; no text is lost.
+#: Elements below this depth become children of the element at it, as browsers do; no text is lost, and what they hide stays hidden.
 MAX_DEPTH = 200
 #: Limits of the HTML standard on spans.
 MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
@@ -79,11 +79,44 @@ class Node:
 
 
 class Tree:
-    """Builds the tree while markup is read; ``open`` is the innermost open element."""
+    """Builds the tree while markup is read; ``open`` is the innermost open element, down to MAX_DEPTH.
+
+    ``deep`` are the elements open below that, each with what its content is: (makes a box, visible; None: as around it).
+    """
 
     def __init__(self):
+        self.deep: list[tuple[Node, tuple[bool, bool | None]]] = []
+        self.places: dict[str, list[int]] = {}  # where the elements of a name are in ``deep``
         self.root = self.open = Node("html", "", None)
 
+    @property
+    def open(self) -> Node:
+        return self._open
+
+    @open.setter
+    def open(self, node: Node) -> None:
+        self.leave(0)
+        self._open = node
+
+    def enter(self, node: Node) -> None:
+        """Opens an element below the depth limit."""
+        box, shown = self.deep[-1][1] if self.deep else (True, None)
+        if node.tag == "summary" and self.deep and self.deep[-1][0].tag == "details":
+            box, shown = self.deep[-2][1] if len(self.deep) > 1 else (True, None)
+            box = box and visibility(self.deep[-1][0], shown)[0]
+        own, shown = visibility(node, shown)
+        folded = node.tag == "details" and node.attribute("open") is None
+        self.places.setdefault(node.tag, []).append(len(self.deep))
+        self.deep.append((node, (box and own and not folded, shown)))
+
+    def leave(self, place: int) -> None:
+        while len(self.deep) > place:
+            self.places[self.deep.pop()[0].tag].pop()
+
+    def nearest(self, tags: frozenset[str]) -> int:
+        """Where the innermost of these is in ``deep``; -1 if it has none."""
+        return max((self.places[tag][-1] for tag in tags if self.places.get(tag)), default=-1)
+
     def find(self, tags: frozenset[str], walls: frozenset[str]) -> Node | None:
         node = self.open
         while node.parent:
@@ -95,12 +128,27 @@ class Tree:
         return None
 
     def close(self, tags: frozenset[str], walls: frozenset[str]) -> None:
+        if self.deep:
+            place, wall = self.nearest(tags), self.nearest(walls)
+            if place >= 0 and place >= wall:
+                self.leave(place)
+            if max(place, wall) >= 0:
+                return
         if found := self.find(tags, walls):
             self.open = found.parent
 
     def attach(self, child: Node | str) -> None:
         """Below the open element; content that a table cannot hold goes in front of the table."""
         parent = self.open
+        if self.deep:
+            box, shown = self.deep[-1][1]
+            if isinstance(child, Node) and child.tag == "summary" and self.deep[-1][0].tag == "details":
+                box = True  # it has no children here; its content goes by its own state
+            if not box:
+                return
+            if shown is not None:
+                holder = Node("span", f'style="visibility:{"visible" if shown else "hidden"}"', parent)
+                holder.children, child = [child], holder
         if parent.tag in TABLE_LEVELS and not (isinstance(child, str) and not child.strip()) and not (isinstance(child, Node) and child.tag in PARTS_OR_SILENT):
             holder = parent
             while holder.tag != "table" and holder.parent:
@@ -125,7 +173,9 @@ class Tree:
             self.open = self.open.parent
         if tag == "head" and self.open.parent:
             return None
-        if tag in TABLE_PARTS:
+        if tag in TABLE_PARTS and self.places.get("table"):
+            pass  # parts of a table below the depth limit are elements like others
+        elif tag in TABLE_PARTS:
             holder = self.find(names_table, frozenset())
             if not holder:
                 return None  # no table is open: the tag means nothing
@@ -147,14 +197,21 @@ class Tree:
             elif tag in ("dt", "dd"):
                 self.close(TERMS, DL | WALLS)
             self.close(P, WALLS)
-            if tag in HEADINGS and self.open.tag in HEADINGS:
-                self.open = self.open.parent
+            if tag in HEADINGS and (self.deep[-1][0] if self.deep else self.open).tag in HEADINGS:
+                if self.deep:
+                    self.leave(len(self.deep) - 1)
+                else:
+                    self.open = self.open.parent
         elif tag in ("option", "optgroup"):
             self.close(frozenset((tag, "option")), SELECT | WALLS)
         node = Node(tag, attributes, self.open)
         self.attach(node)
-        if tag not in VOID and self.open.depth < MAX_DEPTH:
-            self.open = node
+        if tag not in VOID:
+            # the summary of details has to be its child or, as it, below the limit
+            if not self.deep and self.open.depth < MAX_DEPTH - (tag == "details"):
+                self.open = node
+            else:
+                self.enter(node)
         return node
 
     def end(self, tag: str) -> None:
@@ -197,6 +254,8 @@ def parse(page: str) -> Node:
                 place = stop.start() if stop else size
                 if tree.open is node:
                     tree.open = node.parent
+                elif tree.deep and tree.deep[-1][0] is node:
+                    tree.leave(len(tree.deep) - 1)
     if place < size:
         tree.text(unescape(page[place:]))
     return tree.root

@@ -1,4 +1,5 @@
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -84,6 +85,34 @@ def test_query_keeps_all_visible_words(spark, sf_dir):
         assert "".join(bullets.split()) == "".join("".join(other.words).split()), pages[row.page_id][:300]
 
 
+HIDING = [
+    ("<p hidden>no</p>yes", "yes"),
+    ("<p hidden>no<p>yes", "yes"),
+    ("<div hidden><div>no</div><b>no</b>no<br>no</div>yes", "yes"),
+    ("<div style='display:none'><ul><li>no<ul><li>no</ul></ul></div><i>yes</i>", "yes"),
+    ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>", "yes"),
+    ("<details>no<summary>yes</summary><p>no</p></details>", "yes"),
+    ("<details hidden>no<summary>no</summary></details>yes", "yes"),
+    ("<div hidden><table><tr><td>no</td><td>no</td></tr></table>no</div>yes", "yes"),
+    ("<div hidden><script>no</script><textarea>no</textarea></div>yes", "yes"),
+    ("<h1 hidden>no<h2>yes</h2>", "yes"),
+    ("</div></div>yes", "yes"),
+]
+
+
+@pytest.mark.parametrize("depth", [0, 3, 180, 196, 197, 198, 199, 200, 205, 3000])
+@pytest.mark.parametrize("page, text", HIDING)
+def test_hidden_at_any_depth(page, text, depth):
+    assert page_text("<div>" * depth + page).strip() == text
+    assert page_text("<table><tr><td>" + "<div>" * depth + page).strip() == text
+
+
+def test_deep_pages_take_time_in_proportion():
+    start = time.monotonic()
+    assert page_text("<p><button>" + "<div>" * 200_000 + "yes") == "yes"
+    assert time.monotonic() - start < 60
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (None, "<p>a", "z"), (None, "<p>a", "z")], "page_id long, html string, text string")
     assert sorted(((r.page_id, r.text) for r in html_text(df).collect()), key=str) == sorted([(1, ""), (2, ""), (None, "a"), (None, "a")], key=str)
