@@ -139,7 +139,7 @@ def fill(pool: Pool, limits: Limits) -> list[tuple]:
 
 
 def halves(pieces: list[tuple]) -> Iterator[list[tuple]]:
-    """A last, short sequence as sequences of a power of two."""
+    """A short sequence as sequences of a power of two, which need no padding."""
     total, queue = sum(p[2] for p in pieces), list(pieces)
     for bit in range(total.bit_length() - 1, -1, -1):
         room, part = total & (1 << bit), []
@@ -167,7 +167,7 @@ def pack(examples: Iterator[tuple], limits: Limits, waiting: int) -> Iterator[li
         if not pool.size:
             return
         pieces = fill(pool, limits)
-        if pool.size or more or sum(p[2] for p in pieces) == limits.tokens:
+        if sum(p[2] for p in pieces) == limits.tokens:
             yield pieces
         else:
             yield from halves(pieces)

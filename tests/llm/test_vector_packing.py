@@ -62,6 +62,19 @@ def test_limits(limits):
     assert seen == loss and tokens == sum(len(ids) // 4 for _, ids, _ in items)
 
 
+@pytest.mark.parametrize("size", [1, 3, 5, 10, 20])
+@pytest.mark.parametrize("limits", [Limits(), Limits(2048, 64, 100)])
+def test_short_texts_take_no_padding(size, limits):
+    """Sequences that the segment or loss limit closes early have a power of two of tokens."""
+    ids = np.arange(size, dtype="<u4").tobytes()
+    used = []
+    for pieces in pack(((i, ids, 0) for i in range(1000)), limits, 256):
+        assert len(pieces) <= limits.segments and sum(p[5] for p in pieces) <= limits.loss
+        assert all(p[4] == np.arange(p[1], p[1] + p[2], dtype="<u4").tobytes() for p in pieces)
+        used.append(sum(p[2] for p in pieces))
+    assert sum(used) == 1000 * size and all(n & (n - 1) == 0 for n in used)
+
+
 def test_rows(spark, library):
     rows = [(1, "One two", "x", 1), (2, None, "y", None), (3, "", "z", -4), (4, "long words " * 3000, None, 50)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string, n int")
