@@ -11,11 +11,12 @@ from catalog.audit import sql
 from catalog.corpus_audit import DATASET, audit_source, audit_tables
 from catalog.corpus_logs import corpus, ingested
 from catalog.registry import query, stored, table
-from querylens.functions import coerce, encode
+from querylens.functions import coerce, encode, sqltext
 from querylens.ordering import Buckets, carry_last, position
 from querylens.schemas import PARSED_FIELDS
 from querylens.session import scratch_dir, stage
 from querylens.sources import detect, fe_log, lookback, mysqldump, outfile, sinks
+from querylens.sources.ingest import ingest
 from querylens.sources.lines import read_lines
 
 
@@ -325,6 +326,38 @@ def src_22(spark, sf):
     return total
 
 
+#: The first ignores case; the second does not, and the statements write AND; the last keeps a group.
+RULES = (
+    sqltext.DEFAULT_RULES[0],
+    sqltext.StrippingRule("strip_lower_tenant_id", r"\s+and\s+tenant_id\s*=\s*\?", flags=""),
+    sqltext.StrippingRule("strip_limit", r"\s+limit\s+\?", flags=""),
+    sqltext.StrippingRule("plain_facts", r"from\s+([a-z]+)_facts", "from $1", flags=""),
+)
+_RULED = (
+    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(base, '\s+and\s+is_deleted\s*=\s*\?', '', 'gi'), "
+    r"'\s+and\s+tenant_id\s*=\s*\?', '', 'g'), '\s+limit\s+\?', '', 'g'), 'from\s+([a-z]+)_facts', 'from \1', 'g')"
+)
+
+
+@query(
+    "str_13_rules_through_ingest",
+    sql(
+        f", d AS (SELECT trim({_RULED}) AS template, record_id FROM acc) "
+        "SELECT kind, template, min(record_id) AS first_id, count(*) AS n FROM d, (VALUES ('fe'), ('csv'), ('dump')) v(kind) "
+        "WHERE NOT (kind = 'csv' AND record_id % 100 = 7) GROUP BY 1, 2"  # these lines of the export are too short
+    ),
+)
+def str_13_rules(spark, sf):
+    total = None
+    for kind in ("fe", "csv", "dump"):
+        done = stored(spark, sf, f"ruled-{kind}", lambda: ingest(spark, corpus(spark, sf, kind), dataset_id="events", rules=RULES))
+        number = F.substr(F.col("query_id"), F.lit(3)).cast("bigint")
+        sums = done.records.groupBy("stripped_template_id").agg(F.min(number).alias("first_id"), F.count("*").alias("n"))
+        rows = sums.join(done.templates, "stripped_template_id").select(F.lit(kind).alias("kind"), F.col("sql_template_stripped").alias("template"), "first_id", "n")
+        total = rows if total is None else total.unionByName(rows)
+    return total
+
+
 @query(
     "q_08_ingest_dump_templates",
     sql(

@@ -31,11 +31,24 @@ _FROM_NAME = rf"(?i){_WORD_START}from\s+({_NAME_PART}(?:\s*\.\s*{_NAME_PART})*)"
 
 @dataclass(frozen=True)
 class StrippingRule:
-    """One rewrite of a template; rules run in list order and ignore case."""
+    """One rewrite of a template at every place that matches; rules run in list order.
+
+    ``flags``: i ignores case, m lets ``^`` and ``$`` match at lines, s lets the dot match line ends. The
+    replacement may name groups of the pattern as ``$1``.
+    """
 
     name: str
     pattern: str
     replacement: str = ""
+    flags: str = "i"
+
+    def __post_init__(self) -> None:
+        if set(self.flags) - set("ims"):
+            raise ValueError(f"unknown flags of rule {self.name}: {self.flags}")
+
+    def applied_to(self, text: Column) -> Column:
+        inline = f"(?{self.flags})" if self.flags else ""
+        return F.regexp_replace(text, f"{inline}{self.pattern}", self.replacement)
 
 
 # Predicates that say nothing about the workload.
@@ -60,7 +73,7 @@ def normalize_statement(stmt: Column) -> Column:
 def strip_template(base: Column, rules: Sequence[StrippingRule] = DEFAULT_RULES) -> Column:
     out = base
     for rule in rules:
-        out = F.regexp_replace(out, f"(?i){rule.pattern}", rule.replacement)
+        out = rule.applied_to(out)
     return F.when(out == base, base).otherwise(collapse_space(out))
 
 
@@ -68,7 +81,7 @@ def applied_rules(base: Column, rules: Sequence[StrippingRule] = DEFAULT_RULES)
     """Names of the rules that changed the template, in rule order."""
     hits, before = [], base
     for rule in rules:
-        after = F.regexp_replace(before, f"(?i){rule.pattern}", rule.replacement)
+        after = rule.applied_to(before)
         hits.append(F.when(before != after, F.lit(rule.name)))
         before = after
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")

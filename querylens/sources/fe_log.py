@@ -93,7 +93,7 @@ def alias_values(keys: Column, values: Column) -> Column:
     return coerce.once(F.struct(keys.alias("keys"), values.alias("values")), all_aliases)
 
 
-def parse_entries(blocks: DataFrame, tz: str = "UTC") -> DataFrame:
+def parse_entries(blocks: DataFrame, tz: str = "UTC", rules: Sequence[sqltext.StrippingRule] = sqltext.DEFAULT_RULES) -> DataFrame:
     """Entry text to typed columns. Entries without a template cannot be stored."""
     body = F.regexp_extract("text", _ENTRY, 2)
     first_line = F.substring_index("text", "\n", 1)
@@ -141,7 +141,7 @@ def parse_entries(blocks: DataFrame, tz: str = "UTC") -> DataFrame:
         "queried_tables",
         F.when(F.col("_prefix_time") != "", F.col("stmt_raw")).alias("_entry_stmt"),
     )
-    return parsed.withColumn("template", sqltext.template_of(F.col("_entry_stmt"))).drop("_entry_stmt")
+    return parsed.withColumn("template", sqltext.template_of(F.col("_entry_stmt"), rules)).drop("_entry_stmt")
 
 
 # Entries of a file, bucketed by the run of lines their first line is in.
@@ -158,6 +158,8 @@ def drop_slow_twins(entries: DataFrame) -> DataFrame:
     return carried.where(~twin).drop("_last_query_id")
 
 
-def read_fe_log(spark: SparkSession, paths: str | Sequence[str], tz: str = "UTC") -> DataFrame:
+def read_fe_log(
+    spark: SparkSession, paths: str | Sequence[str], tz: str = "UTC", rules: Sequence[sqltext.StrippingRule] = sqltext.DEFAULT_RULES
+) -> DataFrame:
     """All entries of the files, before slow-query twins are dropped."""
-    return parse_entries(record_blocks(read_lines(spark, paths), lead=False), tz)
+    return parse_entries(record_blocks(read_lines(spark, paths), lead=False), tz, rules)

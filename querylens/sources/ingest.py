@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylens.functions.sqltext import has_template
+from querylens.functions.sqltext import DEFAULT_RULES, StrippingRule, has_template
 from querylens.operators.dictionary import build_dictionary, encode_records
 from querylens.ordering import Buckets, position
 from querylens.schemas import PARSED_FIELDS
@@ -64,11 +64,13 @@ def ingest(
     dataset_id: str = "default",
     tz: str = "UTC",
     formats: dict[str, tuple[str, str | None]] | None = None,
+    rules: Sequence[StrippingRule] = DEFAULT_RULES,
 ) -> Ingested:
     """Read, parse and number the records of a set of files.
 
     ``formats`` maps file path to (format, delimiter) and saves the detection pass. The list of
-    files is the only thing held on the driver, as it is by any Spark file source. Parsed rows are
+    files is the only thing held on the driver, as it is by any Spark file source. ``rules`` say what
+    is stripped from templates, in all formats alike. Parsed rows are
     staged once below ``spark.checkpoint.dir``: all results are built from that table.
     """
     if formats is None:
@@ -83,15 +85,15 @@ def ingest(
     counters = None
     for (fmt, delimiter), files in by_format.items():
         if fmt == detect.FE_LOG:
-            entries = stage(fe_log.read_fe_log(spark, files, tz), "entries")
+            entries = stage(fe_log.read_fe_log(spark, files, tz, rules), "entries")
             parts.append(_common(fe_log.drop_slow_twins(entries), "record_seq", F.lit(0), F.lit(False)))
         elif fmt == detect.OUTFILE:
-            rows = outfile.read_outfile(spark, files, delimiter or "\t", tz)
+            rows = outfile.read_outfile(spark, files, delimiter or "\t", tz, rules)
             parts.append(_common(rows, "record_seq", F.lit(0), F.lit(False)))
         else:
             read = mysqldump.read_parts(spark, files)
             found = stage(mysqldump.parse_inserts(read), "inserts")
-            rows = stage(mysqldump.tuple_records(read, tz), "tuples")
+            rows = stage(mysqldump.tuple_records(read, tz, rules), "tuples")
             matched = found.groupBy("file").agg(F.count("*").alias("insert_statements_matched"), F.count("reason").alias("bad_statements"))
             parsed_tuples = rows.groupBy("file").agg(F.count("*").alias("tuples_parsed"))
             counted = mysqldump.statement_count(read).join(matched, "file", "left").join(parsed_tuples, "file", "left")

@@ -301,7 +301,7 @@ def _token_text(token: Column) -> Column:
     return coerce.once(coerce.trim(text), lambda t: F.when((t != "") & (F.lower(t) != "null"), t))
 
 
-def tuple_records(read: DataFrame, tz: str = "UTC") -> DataFrame:
+def tuple_records(read: DataFrame, tz: str = "UTC", rules: Sequence[sqltext.StrippingRule] = sqltext.DEFAULT_RULES) -> DataFrame:
     """One parsed row per tuple, in file order."""
     values = F.regexp_extract_all("body", F.lit(rf"(?s){_VALUE}"), 0)
     rows = tuples(read).withColumn("_values", values)
@@ -311,7 +311,7 @@ def tuple_records(read: DataFrame, tz: str = "UTC") -> DataFrame:
     timed = rows.select(*place, *named_texts("_texts")).withColumn("_time", coerce.time_digits(F.col("time")))
     parsed = timed.select(*place, *typed_columns(tz))
     return parsed.withColumn("is_noise", is_noise(F.col("stmt_raw"))).withColumn(
-        "template", sqltext.template_of(F.col("stmt_raw"))
+        "template", sqltext.template_of(F.col("stmt_raw"), rules)
     )
 
 

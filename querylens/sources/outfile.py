@@ -65,7 +65,11 @@ def header_lines(lines: DataFrame, delimiter: str) -> DataFrame:
 
 
 def read_outfile(
-    spark: SparkSession, paths: str | Sequence[str], delimiter: str = "\t", tz: str = "UTC"
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    delimiter: str = "\t",
+    tz: str = "UTC",
+    rules: Sequence[sqltext.StrippingRule] = sqltext.DEFAULT_RULES,
 ) -> DataFrame:
     """One row per data line. ``valid`` is false for lines of the wrong width or with an open quote.
 
@@ -96,4 +100,4 @@ def read_outfile(
     texts = split.withColumn("_texts", F.when(F.col("valid"), decoded)).select(*place_columns, *named_texts("_texts"))
     timed = texts.withColumn("_time", coerce.time_digits(F.col("time")))
     parsed = timed.select(*place_columns, *typed_columns(tz))
-    return parsed.withColumn("template", sqltext.template_of(F.col("stmt_raw")))
+    return parsed.withColumn("template", sqltext.template_of(F.col("stmt_raw"), rules))

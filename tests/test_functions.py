@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from querylens.functions import coerce, display, encode, sqltext
@@ -73,6 +74,19 @@ def test_template_survives_long_statements(spark):
     assert got[1] == "select ? from t where k IN (?)"
 
 
+def test_rules_with_flags(spark):
+    rules = [
+        sqltext.StrippingRule("upper", r"\s+AND\s+shard\s*=\s*\?", flags=""),
+        sqltext.StrippingRule("group", r"from\s+([a-z]+)_[0-9]+", "from $1"),
+        sqltext.StrippingRule("end", r";$", flags="m"),
+    ]
+    texts = ["select a FROM orders_7 where x = ? AND shard = ? and shard = ? AND shard = ?", "b;", "plain", None]
+    assert apply(spark, lambda c: sqltext.strip_template(c, rules), texts) == ["select a from orders where x = ? and shard = ?", "b", "plain", None]
+    assert apply(spark, lambda c: sqltext.applied_rules(c, rules), texts[:3]) == [["upper", "group"], ["end"], []]
+    with pytest.raises(ValueError):
+        sqltext.StrippingRule("wrong", "a", flags="g")
+
+
 def test_applied_rules(spark):
     got = apply(
         spark,
