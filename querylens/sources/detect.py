@@ -28,7 +28,8 @@ def detect_formats(lines: DataFrame) -> DataFrame:
     """``file, format, delimiter`` for every file with at least one line.
 
     Server-log keys in the first 256 KiB win, then a dump marker there, then the delimiter of the
-    first line; a marker further on counts only for files that look like a script and not like a
+    first line there that shows one: an export may begin with lines that are too short, but not with those
+    of a script. A marker further on counts only for files that look like a script and not like a
     tab-delimited export. Places are counted in bytes of the file, whatever its splits.
     """
     sized = lines.where(F.col("split_start") < HEAD_BYTES).withColumn("_size", F.octet_length("value") + 1)
@@ -41,19 +42,19 @@ def detect_formats(lines: DataFrame) -> DataFrame:
     fe_marker = F.lit(False)
     for marker in FE_MARKERS:
         fe_marker = fe_marker | F.contains("value", F.lit(marker))
-    non_blank = F.when(coerce.trim(F.col("value")) != "", F.struct("split_start", "line_key", "value"))
-    by_head = head.groupBy("file").agg(
+    shown = head.withColumn("_delimiter", F.when(~fe_marker, line_delimiter(coerce.trim(F.col("value")))))
+    by_head = shown.groupBy("file").agg(
         F.bool_or(fe_marker).alias("fe"),
         F.bool_or(F.col("value").rlike(AUDIT_MARKER)).alias("dump_head"),
-        F.min(non_blank).alias("_first"),
+        F.min(F.when(F.col("_delimiter").isNotNull(), F.struct("split_start", "line_key", "_delimiter"))).alias("_wide"),
+        F.min(F.when(F.col("value").rlike(_SCRIPT_LINE), F.struct("split_start", "line_key"))).alias("_script"),
     )
     by_file = lines.groupBy("file").agg(
         F.bool_or(F.col("value").rlike(AUDIT_MARKER)).alias("dump_any"),
         F.bool_or(F.col("value").rlike(_SCRIPT_LINE)).alias("script"),
     )
-    found = by_file.join(by_head, "file", "left").withColumn(
-        "delimiter", line_delimiter(coerce.trim(F.col("_first.value")))
-    )
+    after_script = F.coalesce(F.struct("_wide.split_start", "_wide.line_key") > F.col("_script"), F.lit(False))
+    found = by_file.join(by_head, "file", "left").withColumn("delimiter", F.when(~after_script, F.col("_wide._delimiter")))
     not_tab = F.col("delimiter").isNull() | (F.col("delimiter") == ",")
     chosen = (
         F.when(F.col("fe"), FE_LOG)
