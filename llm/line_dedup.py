@@ -1,4 +1,4 @@
-"""Fuzzy line deduplication by MinHash, in DataFrame functions only.
+"""Fuzzy line deduplication by MinHash; signatures are worked out by numpy on Arrow batches, all else in DataFrame functions.
 
 Lines that are equal in lower case and without outer blanks are one node. A node's set holds the
 hashes of its character shingles: every window of SHINGLE characters (a shorter line is its own shingle). Its
@@ -17,12 +17,14 @@ document id, then the smallest line number.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import shuffle_width, stage, table
+from llm.common import shuffle_width, stage, table, texts_in_slices
 from llm.linking import components, open_members, ordered_pairs, star_pairs
 from querylens.session import broadcast_if_small
 
@@ -35,6 +37,10 @@ _WIDE = 4
 SKETCH = 22
 #: Of a long line only about so many of the smallest hashes are sorted.
 _SORTED = 64
+#: Bytes of text whose windows are hashed at once; a longer line is hashed by so many windows at a time.
+SLICE = 1 << 16
+#: Lines whose marks are made at once; their numbers have 10 bits.
+_ROWS = 1024
 #: Bits of a mark, in words of 64.
 WORDS = 16
 BITS = 64 * WORDS
@@ -66,10 +72,10 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def shingles(norm: Column, by: Callable[..., Column] = F.xxhash64) -> Column:
+def shingles(norm: Column) -> Column:
     """Hashes of the shingles, in the order of the line and with repeats."""
     last = lambda units: F.greatest(F.lit(1), F.octet_length(units) - (_WIDE * SHINGLE - 1))
-    window = lambda units, start: by(F.substr(units, start, F.lit(_WIDE * SHINGLE)))
+    window = lambda units, start: F.xxhash64(F.substr(units, start, F.lit(_WIDE * SHINGLE)))
     cut = lambda units: F.transform(F.sequence(F.lit(1), last(units), F.lit(_WIDE)), lambda start: window(units, start))
     return bound(F.encode(norm, "UTF-32"), cut)
 
@@ -80,13 +86,112 @@ def similar(one: Column, other: Column) -> Column:
     return bound(counted, lambda q: 100 * q["n"] >= THRESHOLD * (q["both"] - q["n"]))
 
 
-def sketch(hashes: Column) -> Column:
-    """The smallest distinct hashes, in 32 bits; only a line that repeats its smallest ones needs all of them sorted."""
-    lowest = lambda values: F.slice(F.sort_array(F.array_distinct(values)), 1, SKETCH)
-    limit = lambda h: F.when(F.size(h) > 2 * _SORTED, (F.lit(2.0**32 * _SORTED) / F.size(h) - 2.0**31).cast("int"))
-    few = lambda p: F.when(p["limit"].isNull(), p["h"]).otherwise(F.filter(p["h"], lambda x: x < p["limit"]))
-    enough = lambda p: bound(lowest(few(p)), lambda s: F.when(p["limit"].isNull() | (F.size(s) >= SKETCH), s).otherwise(lowest(p["h"])))
-    return bound(hashes, lambda h: bound(F.struct(h.alias("h"), limit(h).alias("limit")), enough))
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in ascending order; numpy's own function goes by a table and takes many times as long."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def windows(codes: np.ndarray) -> np.ndarray:
+    """A hash of 64 bits of every window of SHINGLE characters: of polynomials of twice the width in each step, mixed."""
+    out, width, factor = codes.astype(np.uint64), 1, 0x9E3779B97F4A7C15
+    while width < SHINGLE:
+        wider = out[:-width] * np.uint64(factor)
+        wider += out[width:]
+        out = wider
+        width, factor = 2 * width, factor * factor % 2**64
+    for times in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        out ^= out >> np.uint64(33)
+        out *= np.uint64(times)
+    return out
+
+
+def inside(lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the first ``n`` windows over all texts: the text of each one, and whether it ends in that text."""
+    row = np.repeat(np.arange(len(lengths)), lengths)[:n]
+    return row, np.arange(n) + SHINGLE <= np.cumsum(lengths)[row]
+
+
+def characters(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+
+
+def short_ones(texts: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts are shorter than a window, and their hashes: filled up with what is no character, they are one window."""
+    row = np.flatnonzero(lengths < SHINGLE)
+    filled = np.full((len(row), SHINGLE), 0x110000, dtype=np.uint32)
+    filled[np.arange(SHINGLE) < lengths[row][:, None]] = characters([texts[i] for i in row])
+    return row, windows(filled.ravel())[::SHINGLE] if len(row) else np.empty(0, dtype=np.uint64)
+
+
+def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest distinct hashes of every text's windows, one after the other, and how many each text has; a text shorter than a window has one."""
+    codes = characters(texts)
+    if len(texts) == 1 and len(codes) > SLICE:
+        lowest = np.empty(0, dtype=np.uint64)
+        for start in range(0, len(codes) - SHINGLE + 1, SLICE):
+            lowest = distinct(np.concatenate([lowest, windows(codes[start : start + SLICE + SHINGLE - 1]) >> np.uint64(32)]))[:SKETCH]
+        return lowest, np.array([len(lowest)])
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    few = lengths - SHINGLE + 1
+    short, own = short_ones(texts, lengths)
+    keys = (short.astype(np.uint64) << np.uint64(32)) | (own >> np.uint64(32))
+    if len(short) < len(texts):
+        hashes = windows(codes) >> np.uint64(32)
+        row, whole = inside(lengths, len(hashes))
+        row, hashes = row[whole], hashes[whole]
+        limited = few > 2 * _SORTED
+        limit = np.where(limited, 2.0**32 * _SORTED / np.maximum(few, 1), 2.0**32).astype(np.uint64)
+        every = (row.astype(np.uint64) << np.uint64(32)) | hashes
+        low = distinct(every[hashes < limit[row]])
+        # only a text that repeats its smallest ones needs all of them sorted
+        lacking = limited & (np.bincount((low >> np.uint64(32)).astype(np.int64), minlength=len(texts)) < SKETCH)
+        keys = distinct(np.concatenate([keys, low, every[lacking[row]]])) if len(short) or lacking.any() else low
+    owner = (keys >> np.uint64(32)).astype(np.int64)
+    counts = np.bincount(owner, minlength=len(texts))
+    rank = np.arange(len(keys)) - (np.cumsum(counts) - counts)[owner]
+    return keys[rank < SKETCH] & np.uint64(0xFFFFFFFF), np.minimum(counts, SKETCH)
+
+
+def parities(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of every text the number of its different windows and a row of WORDS words, of which each window flips a bit."""
+    codes = characters(texts)
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    # the text's number in the upper 10 bits, and 54 bits of the hash
+    key = lambda row, hashes: (row.astype(np.uint64) << np.uint64(54)) | (hashes >> np.uint64(10))
+    short, own = short_ones(texts, lengths)
+    keys = key(short, own)
+    if len(short) < len(texts):
+        hashes = windows(codes)
+        row, whole = inside(lengths, len(hashes))
+        keys = distinct(np.concatenate([keys, key(row[whole], hashes[whole])]))
+    row = (keys >> np.uint64(54)).astype(np.int64)
+    place = row * BITS + (keys & np.uint64(BITS - 1)).astype(np.int64)
+    odd = (np.bincount(place, minlength=len(texts) * BITS) & 1).astype(np.uint8)
+    return np.bincount(row, minlength=len(texts)), np.packbits(odd, bitorder="little").view(np.int64).reshape(len(texts), WORDS)
+
+
+def decoded(part: pa.RecordBatch) -> list[str]:
+    """The texts; bytes that are no UTF-8 count as the character that stands for them."""
+    return [x.decode("utf-8", "replace") for x in part.column("text").cast(pa.binary()).to_pylist()]
+
+
+def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) to (node, size, w0 to w15)."""
+    for part in texts_in_slices(batches, SLICE):
+        for start in range(0, part.num_rows, _ROWS):
+            rows = part.slice(start, _ROWS)
+            sizes, words = parities(decoded(rows))
+            columns = [rows.column("node"), pa.array(sizes, pa.int32()), *[pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS)]]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "size", *[f"w{i}" for i in range(WORDS)]])
+
+
+def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) to (node, sketch)."""
+    for part in texts_in_slices(batches, SLICE):
+        values, counts = sketches(decoded(part))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.uint32).view(np.int32)))], ["node", "sketch"])
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
@@ -119,11 +224,8 @@ def texts_of(together: DataFrame, rows: DataFrame, df: DataFrame) -> DataFrame:
 
 def marks_of(texts: DataFrame) -> DataFrame:
     """(node, size, w0 to w15): the size of the node's set and the parities of its shingles by place."""
-    sets = texts.select("node", F.array_distinct(shingles(F.col("norm"))).alias("shingles"))
-    each = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("x"))
-    flip, word = F.expr("shiftleft(1L, CAST(x & 63 AS INT))"), F.shiftright("x", 6).bitwiseAND(F.lit(WORDS - 1))
-    words = [F.bit_xor(F.when(word == i, flip).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)]
-    return stage(each.groupBy("node").agg(F.first("size").alias("size"), *words), "op5-marks")
+    words = ", ".join(f"w{i} long" for i in range(WORDS))
+    return stage(texts.select("node", F.col("norm").alias("text")).mapInArrow(marked, f"node long, size int, {words}"), "op5-marks")
 
 
 def apart(x: Column, y: Column, words: int = WORDS) -> Column:
@@ -216,7 +318,7 @@ def line_rows(df: DataFrame) -> DataFrame:
     """As ``line_classes``, with the digest of the row's text."""
     lines = lines_of(df)
     rows = stage(lines.select("doc_id", "digest", "line_no", F.when(F.col("norm").isNotNull(), node(F.col("norm"))).alias("node")), "op5-rows")
-    signed = lines.where("norm IS NOT NULL").select(node(F.col("norm")).alias("node"), sketch(shingles(F.col("norm"), F.hash)).alias("sketch"))
+    signed = lines.where("norm IS NOT NULL").select(node(F.col("norm")).alias("node"), F.col("norm").alias("text")).mapInArrow(sketched, "node long, sketch array<int>")
     found = linked(stage(signed.dropDuplicates(["node"]), "op5-nodes"), rows, df)
     labelled = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "digest")
