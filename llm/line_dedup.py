@@ -29,31 +29,33 @@ from querylens.session import broadcast_if_small
 SHINGLE = 16
 #: Similarity in per cent from which lines are linked.
 THRESHOLD = 80
-#: Bytes of a character, the same for all, so that a window is a slice at a known place.
-_WIDE = 4
+#: Bytes of a character, the same for all of a line, so that a window is a slice at a known place: two, or four in a line with characters beyond U+FFFF.
+_NARROW, _WIDE = 2, 4
 #: Hashes of a signature.
 SKETCH = 22
 #: Of a long line only about so many of the smallest hashes are sorted.
-_SORTED = 64
+_SORTED = 44
+#: What a blank line may hold, and what it may end with.
+_BLANKS, _ENDS = "\t\n\x0b\f\r", ("", "\x85", "\u2028", "\u2029")
 #: Bits of a mark, in words of 64.
 WORDS = 16
 BITS = 64 * WORDS
 #: Partners that a line hands on in the first round, and by how much this grows from round to round.
-PARTNERS, MORE = 4, 16
+PARTNERS, MORE = 16, 16
 #: About what a broadcast id takes in memory.
 ROW_BYTES = 64
 
 
 def plain(line: Column) -> Column:
-    """What lines are compared by; null for a blank line."""
-    text = F.trim(F.lower(line))
-    return F.when(~text.rlike(r"^[\x09-\x0D]*$"), text)
+    """What lines in lower case are compared by; null for a blank line."""
+    text = F.trim(line)
+    return F.when(~F.ltrim(text, F.lit(_BLANKS)).isin(*_ENDS), text)
 
 
 def lines_of(df: DataFrame) -> DataFrame:
     """(doc_id, digest, line_no, norm) of every line of every document; an empty text is one blank line. digest: tells rows with the same id apart."""
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = texts.select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = texts.select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "line"))
     return lines.select("doc_id", "digest", "line_no", plain(F.col("line")).alias("norm"))
 
 
@@ -67,11 +69,11 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def shingles(norm: Column, by: Callable[..., Column] = F.xxhash64) -> Column:
-    """Hashes of the shingles, in the order of the line and with repeats."""
-    last = lambda units: F.greatest(F.lit(1), F.octet_length(units) - (_WIDE * SHINGLE - 1))
-    window = lambda units, start: by(F.substr(units, start, F.lit(_WIDE * SHINGLE)))
-    cut = lambda units: F.transform(F.sequence(F.lit(1), last(units), F.lit(_WIDE)), lambda start: window(units, start))
-    return bound(F.encode(norm, "UTF-32"), cut)
+    """Hashes of the shingles, in the order of the line and with repeats. All are hashed in UTF-16, whatever they are cut from."""
+    last = lambda units, wide: F.greatest(F.lit(1), F.octet_length(units) - (wide * SHINGLE - 1))
+    cut = lambda units, wide, use: F.transform(F.sequence(F.lit(1), last(units, wide), F.lit(wide)), lambda start: by(use(F.substr(units, start, F.lit(wide * SHINGLE)))))
+    far = bound(F.encode(norm, "UTF-32"), lambda units: cut(units, _WIDE, lambda window: F.encode(F.decode(window, "UTF-32"), "UTF-16BE")))
+    return bound(F.encode(norm, "UTF-16BE"), lambda units: F.when(F.octet_length(units) == _NARROW * F.char_length(norm), cut(units, _NARROW, lambda window: window)).otherwise(far))
 
 
 def similar(one: Column, other: Column) -> Column:
@@ -80,20 +82,25 @@ def similar(one: Column, other: Column) -> Column:
     return bound(counted, lambda q: 100 * q["n"] >= THRESHOLD * (q["both"] - q["n"]))
 
 
-def sketch(hashes: Column) -> Column:
-    """The smallest distinct hashes, in 32 bits; only a line that repeats its smallest ones needs all of them sorted."""
-    lowest = lambda values: F.slice(F.sort_array(F.array_distinct(values)), 1, SKETCH)
-    limit = lambda h: F.when(F.size(h) > 2 * _SORTED, (F.lit(2.0**32 * _SORTED) / F.size(h) - 2.0**31).cast("int"))
-    few = lambda p: F.when(p["limit"].isNull(), p["h"]).otherwise(F.filter(p["h"], lambda x: x < p["limit"]))
-    enough = lambda p: bound(lowest(few(p)), lambda s: F.when(p["limit"].isNull() | (F.size(s) >= SKETCH), s).otherwise(lowest(p["h"])))
-    return bound(hashes, lambda h: bound(F.struct(h.alias("h"), limit(h).alias("limit")), enough))
+def signatures(lines: DataFrame) -> DataFrame:
+    """(node, sketch): the smallest distinct hashes, in 32 bits; only a line that repeats its smallest ones needs all of them sorted.
+
+    Each step is a column of its own, outside functions on elements: so Spark compiles the sorting, on plain integers.
+    """
+    n, lowest = F.size("hashes"), lambda values: F.slice(F.sort_array(F.array_distinct(values)), 1, SKETCH)
+    limit = F.when(n > 2 * _SORTED, (F.lit(2.0**32 * _SORTED) / n - 2.0**31).cast("int"))
+    hashed = lines.select("node", shingles(F.col("norm"), F.hash).alias("hashes"))
+    limited = hashed.select("node", "hashes", limit.alias("limit"))
+    few = F.when(F.col("limit").isNull(), F.col("hashes")).otherwise(F.filter("hashes", lambda x: x < F.col("limit")))
+    tried = limited.select("node", "hashes", "limit", lowest(few).alias("few"))
+    return tried.select("node", F.when(F.col("limit").isNull() | (F.size("few") >= SKETCH), F.col("few")).otherwise(lowest(F.col("hashes"))).alias("sketch"))
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
     """(key, node): one key for every two hashes that follow each other in a node's signature; a single one has a key of its own."""
     at = lambda i: F.get("sketch", i)
-    keys = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("sketch") - 2)), lambda i: F.xxhash64(at(i), F.coalesce(at(i + 1), at(i))))
-    return nodes.select("node", F.explode(keys).alias("key"))
+    places = nodes.select("node", "sketch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("sketch") - 2))).alias("i"))
+    return places.select("node", F.xxhash64(at(F.col("i")), F.coalesce(at(F.col("i") + 1), at(F.col("i")))).alias("key"))
 
 
 def keyed_members(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -119,11 +126,14 @@ def texts_of(together: DataFrame, rows: DataFrame, df: DataFrame) -> DataFrame:
 
 def marks_of(texts: DataFrame) -> DataFrame:
     """(node, size, w0 to w15): the size of the node's set and the parities of its shingles by place."""
-    sets = texts.select("node", F.array_distinct(shingles(F.col("norm"))).alias("shingles"))
-    each = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("x"))
+    # all further work on a node stays in its task: its bits per word first, then its words side by side
+    sets = texts.repartition(shuffle_width(texts.sparkSession), "node").select("node", F.array_distinct(shingles(F.col("norm"))).alias("shingles"))
+    # no set is empty; without "outer" Spark would add a test of its size that cuts and hashes the line once more
+    each = sets.select("node", F.size("shingles").alias("size"), F.explode_outer("shingles").alias("x"))
     flip, word = F.expr("shiftleft(1L, CAST(x & 63 AS INT))"), F.shiftright("x", 6).bitwiseAND(F.lit(WORDS - 1))
-    words = [F.bit_xor(F.when(word == i, flip).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)]
-    return stage(each.groupBy("node").agg(F.first("size").alias("size"), *words), "op5-marks")
+    flips = each.groupBy("node", "size", word.alias("word")).agg(F.bit_xor(flip).alias("bits"))
+    words = [F.bit_xor(F.when(F.col("word") == i, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)]
+    return stage(flips.groupBy("node", "size").agg(*words), "op5-marks")
 
 
 def apart(x: Column, y: Column, words: int = WORDS) -> Column:
@@ -135,10 +145,10 @@ def apart(x: Column, y: Column, words: int = WORDS) -> Column:
 
 
 def likely(x: Column, y: Column) -> Column:
-    """Whether sizes and marks allow the threshold; no pair that reaches it is ruled out. Half a mark rules most pairs out."""
+    """Whether sizes and marks allow the threshold; no pair that reaches it is ruled out. A quarter of a mark rules most pairs out."""
     sizes = (100 * y["size"] >= THRESHOLD * x["size"]) & (100 * x["size"] >= THRESHOLD * y["size"])
     allowed = lambda words: (100 + THRESHOLD) * apart(x, y, words) <= (100 - THRESHOLD) * (x["size"] + y["size"])
-    return sizes & allowed(WORDS // 2) & allowed(WORDS)
+    return sizes & allowed(WORDS // 4) & allowed(WORDS // 2) & allowed(WORDS)
 
 
 def mark(df: DataFrame, *more: str) -> Column:
@@ -161,9 +171,9 @@ def compared(blocks: DataFrame, marks: DataFrame, most: int) -> DataFrame:
     dealt = blocks.join(marks.join(keys, "node"), "node").repartition(shuffle_width(blocks.sparkSession), "key", "block")
     held = dealt.groupBy("key", "block").agg(F.collect_list(mark(marks, "component", "keys")).alias("held"))
     owned = lambda x, y: F.col("key") == F.array_min(F.array_intersect(x["keys"], y["keys"]))
-    # from the larger set to the smaller, so that a pair is looked at once; sizes rule most pairs out
+    # from the larger set to the smaller, so that a pair is looked at once; most lines of a block are of one component, then sizes rule most pairs out
     order = lambda x, y: (y["size"] <= x["size"]) & (100 * y["size"] >= THRESHOLD * x["size"]) & ((y["size"] < x["size"]) | (y["node"] < x["node"]))
-    fits = lambda x, y: order(x, y) & (x["component"] != y["component"]) & likely(x, y) & owned(x, y)
+    fits = lambda x, y: (x["component"] != y["component"]) & order(x, y) & likely(x, y) & owned(x, y)
     ranked = lambda x: F.transform(F.filter("held", lambda y: fits(x, y)), lambda y: F.struct((apart(x, y) / (x["size"] + y["size"])).alias("far"), y["node"].alias("y")))
     partners = F.transform("held", lambda x: F.struct(x["node"].alias("x"), F.sort_array(ranked(x)).alias("found")))
     tried = held.select("key", "block", F.filter(partners, lambda p: F.size(p["found"]) > 0).alias("tried"))
@@ -195,7 +205,8 @@ def linked(nodes: DataFrame, rows: DataFrame, df: DataFrame) -> DataFrame:
         pairs = ordered_pairs(round_.select(F.explode("pairs").alias("p")).select("p.x", "p.y"), "x", "y")
         fresh = stage(pairs.join(tried, ["a", "b"], "left_anti"), "op5-pairs")
         if fresh.take(1):
-            tried, found = tried.union(fresh), united(found, verified(fresh, texts))
+            tried, links = tried.union(fresh), verified(fresh, texts)
+            found = united(found, links) if links.take(1) else found
         left = round_.where("more").select("key", "block")
         if not left.take(1):
             return found
@@ -216,7 +227,7 @@ def line_rows(df: DataFrame) -> DataFrame:
     """As ``line_classes``, with the digest of the row's text."""
     lines = lines_of(df)
     rows = stage(lines.select("doc_id", "digest", "line_no", F.when(F.col("norm").isNotNull(), node(F.col("norm"))).alias("node")), "op5-rows")
-    signed = lines.where("norm IS NOT NULL").select(node(F.col("norm")).alias("node"), sketch(shingles(F.col("norm"), F.hash)).alias("sketch"))
+    signed = signatures(lines.where("norm IS NOT NULL").select(node(F.col("norm")).alias("node"), "norm"))
     found = linked(stage(signed.dropDuplicates(["node"]), "op5-nodes"), rows, df)
     labelled = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "digest")

@@ -172,3 +172,51 @@ def test_near_copy_without_id(spark):
     line = "a line of some length that is found once more with a slight change near its very end, {}"
     df = spark.createDataFrame([(None, line.format("x")), (7, line.format("y"))], "doc_id long, text string")
     assert {(r.doc_id, r.first_doc_id, r.kept) for r in L.line_classes(df).collect()} == {(7, 7, True), (None, 7, False)}
+
+
+def test_marks_cut_every_line_once(spark, monkeypatch):
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(L, "stage", lambda df, label: plans.append(plan(df)) or df)
+    texts = spark.range(9).selectExpr("id AS node", "repeat(CAST(id AS STRING), 30) AS norm")
+    L.marks_of(texts)
+    assert plans[0].count("sequence(") == plan(texts.select(L.shingles(texts["norm"]).alias("x"))).count("sequence(")
+
+
+def test_no_components_without_links(spark, monkeypatch):
+    """Lines that meet in buckets and pass the marks, but do not reach the threshold: what is known of components stays as it is."""
+    from llm.linking import components
+
+    draw, labels, stage = random.Random(21), [], L.stage
+    text = lambda n: "".join(draw.choice("abcdefghij ") for _ in range(n))
+    base = text(295)
+    rows = [base[:at] + "#" + base[at + 1 :] for at in range(20, 270, 30)]
+    monkeypatch.setattr(L, "stage", lambda df, label: labels.append(label) or stage(df, label))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    monkeypatch.setattr(L, "components", lambda edges, label: labels.append(f"components of {edges.count()}") or components(edges, label))
+    expect = brute(list(enumerate(rows)))
+    got = {(False, r.doc_id, r.line_no): (False, r.first_doc_id, r.first_line_no) for r in L.line_classes(df).collect()}
+    assert got == expect
+    later = labels[labels.index("op5-round") :]
+    assert later.count("op5-edges") >= 1 and "components of 0" not in later
+
+
+def test_characters_of_two_and_four_bytes(spark):
+    """A shingle has one hash, in a line of short characters as in one that holds a long one; neither bytes nor halves of characters meet."""
+    draw = random.Random(4)
+    line = "".join(chr(draw.randrange(0x61, 0x7B)) for _ in range(100)) + "é中" + "".join(chr(draw.randrange(0x4E00, 0x9000)) for _ in range(80))
+    rows = [(1, line), (2, line + "🙂"), (3, line[:90] + "🙂" * 2 + line[90:]), (4, "🙂" + line[1:]), (5, "😀" * 20), (6, "🙂" * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(False, r.doc_id, r.line_no): (False, r.first_doc_id, r.first_line_no) for r in L.line_classes(df).collect()}
+    assert got == brute(rows) and len(set(got.values())) < 6
+    sizes = df.select(L.F.size(L.F.array_distinct(L.shingles(L.F.col("text")))).alias("n"), "text").collect()
+    assert all(r.n == len(shingles(r.text)) for r in sizes)
+
+
+def test_blank_lines(spark):
+    """Blank is what holds nothing but blanks and control white space; a single mark of a line's end after them counts as that."""
+    lines = ["", "  ", "\t\x0b\x0c\r", " \t \t", "\x85", "\t\u2028", "\u2029", "\u00a0", "a", "\u2028\u2028"]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    old = L.F.trim(L.F.lower("line"))
+    rows = L.lines_of(df).join(df.withColumnRenamed("text", "line"), "doc_id").select("norm", L.F.when(~old.rlike(r"^[\x09-\x0D]*$"), old).alias("old")).collect()
+    assert len(rows) == len(lines) and all(r.norm == r.old for r in rows)
