@@ -415,3 +415,18 @@ def test_what_comes_before_a_bucket(spark, group):
         last = (row[1], row[4]) if (row[4] or 0) > 2 else last
     found = [tuple(r[c] for c in (*"gabcv", "total")) + (r["last"] and tuple(r["last"]),) for r in got.collect()]
     assert sorted(found, key=lambda r: r[:4]) == expect
+
+
+def test_lines_of_an_export_are_not_dealt_by_file(spark, tmp_path):
+    """One file may hold most lines: the header must come to them, not they to the header."""
+    header = "query_id,time,client_ip,stmt"
+    put(tmp_path, "a.csv", "\n".join([header, *(f'q{i},2025-12-25 11:17:02,198.51.100.7:1,"say ""{i}"", then"' for i in range(20))]))
+    put(tmp_path, "b.csv", csv_row())
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = outfile.read_outfile(spark, str(tmp_path), ",")
+        assert "hashpartitioning(file" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert sorted(values(rows, "query_id", "stmt_raw")) == sorted([*((f"q{i}", f'say "{i}", then') for i in range(20)), (record(3)["query_id"], "select 42")])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
