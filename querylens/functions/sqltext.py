@@ -18,11 +18,12 @@ from querylens.functions.coerce import collapse_space, non_blank, trim
 # The normalisation rules of templates; loops are possessive, word borders ASCII.
 _WORD_START = "(?<![A-Za-z0-9_])"
 _WORD_END = "(?![A-Za-z0-9_])"
+# The first character comes before the look behind it, so that most places are settled by one comparison.
 _LIST = r"\s*+\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)"
-_NOT_IN_LIST = rf"(?i){_WORD_START}NOT\s++IN{_LIST}"
-_IN_LIST = rf"(?i){_WORD_START}IN{_LIST}"
+_NOT_IN_LIST = rf"(?i)N(?<![A-Za-z0-9_]N)OT\s++IN{_LIST}"
+_IN_LIST = rf"(?i)I(?<![A-Za-z0-9_]I)N{_LIST}"
 _STRING = r"(?:'[^']*+')++"
-_NUMBER = rf"{_WORD_START}[0-9]+(?:\.[0-9]+)?{_WORD_END}"
+_NUMBER = rf"[0-9](?<![A-Za-z0-9_][0-9])[0-9]*(?:\.[0-9]+)?{_WORD_END}"
 
 _CTE_NAME = rf"(?i)(?:^|{_WORD_START}with{_WORD_END}|,)\s*([a-zA-Z0-9_]+)\s+as\s*\("
 _NAME_PART = r"(?:`[^`]+`|[a-zA-Z0-9_$]+)"
