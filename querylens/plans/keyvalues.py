@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from querylens.functions.coerce import collapse_space, once, trim
+from querylens.functions.coerce import collapse_space, once, trim, trimmed
 
 # How facts of a node are written.
 _EQ = r"^([A-Za-z_][A-Za-z0-9_]*)=(.+)\z"
@@ -14,15 +14,18 @@ _NEXT_PAIR = r",\s+(?=[A-Za-z_][A-Za-z0-9_ ]*\s*[:=])"
 
 
 def entry(segment: Column) -> Column:
-    """``struct(k, v)``, NULL when the segment is no pair. ``=`` keys are lower, ``:`` keys upper case."""
-    eq, colon = segment.rlike(_EQ), segment.rlike(_COLON)
-    upper = F.replace(F.upper(collapse_space(F.regexp_extract(segment, _COLON, 1))), F.lit(" "), F.lit("_"))
+    """``struct(k, v)``, NULL when the segment, a lambda's variable, is no pair. ``=`` keys are lower, ``:`` keys upper case."""
+
+    def parts(sign: str) -> tuple[Column, Column]:
+        """No key holds its sign, so the first sign ends it."""
+        key = F.substring_index(segment, sign, 1)
+        return key, trim(F.substr(segment, F.length(key) + 2))
+
+    (key, value), (name, fact) = parts("="), parts(":")
+    upper = F.when(F.contains(name, F.lit(" ")), F.replace(F.upper(collapse_space(name)), F.lit(" "), F.lit("_"))).otherwise(F.upper(name))
     return F.when(
-        eq,
-        F.struct(
-            F.lower(F.regexp_extract(segment, _EQ, 1)).alias("k"), trim(F.regexp_extract(segment, _EQ, 2)).alias("v")
-        ),
-    ).when(colon, F.struct(upper.alias("k"), trim(F.regexp_extract(segment, _COLON, 2)).alias("v")))
+        F.contains(segment, F.lit("=")) & segment.rlike(_EQ), F.struct(F.lower(key).alias("k"), value.alias("v"))
+    ).when(F.contains(segment, F.lit(":")) & segment.rlike(_COLON), F.struct(upper.alias("k"), fact.alias("v")))
 
 
 def entries(segments: Column) -> Column:
@@ -31,16 +34,23 @@ def entries(segments: Column) -> Column:
 
 def split_pairs(segment: Column) -> Column:
     """A continuation line may hold several pairs, separated by commas."""
-    return F.filter(F.transform(F.split(trim(segment), _NEXT_PAIR), trim), lambda s: s != "")
+
+    def cut(text: Column) -> Column:
+        return F.when(F.contains(text, F.lit(",")), F.transform(F.split(text, _NEXT_PAIR), trimmed)).otherwise(F.array(text))
+
+    return F.filter(once(trim(segment), cut), lambda s: s != "")
 
 
 def _by_key(pairs: Column, combine) -> Column:
     def build(found: Column) -> Column:
-        keys = F.array_distinct(F.transform(found, lambda e: e["k"]))
-        values = F.transform(
-            keys, lambda k: combine(F.transform(F.filter(found, lambda e: e["k"] == k), lambda e: e["v"]))
-        )
-        return F.map_from_arrays(keys, values)
+        def by_distinct(keys: Column) -> Column:
+            values = F.transform(
+                keys, lambda k: combine(F.transform(F.filter(found, lambda e: e["k"] == k), lambda e: e["v"]))
+            )
+            # a key that comes once has nothing to combine
+            return F.when(F.size(keys) == F.size(found), F.map_from_entries(found)).otherwise(F.map_from_arrays(keys, values))
+
+        return once(F.array_distinct(F.transform(found, lambda e: e["k"])), by_distinct)
 
     return once(pairs, build)
 

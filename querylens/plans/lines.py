@@ -15,50 +15,69 @@ def by_doc():
     return Window.partitionBy("doc_id").orderBy("line_no")
 
 
-def whole_doc():
-    return Window.partitionBy("doc_id")
-
-
 def trim_end(col: Column) -> Column:
     last = F.right(col, F.lit(1))
     return F.when(last.isin(*coerce.TEXT_SPACE), F.rtrim(col, F.lit(coerce.TEXT_SPACE))).otherwise(col)
 
 
+def _unframed(raw: Column) -> tuple[Column, Column]:
+    """Line without the frame, NULL for a rule, and whether it had one; ``raw`` is a column or a lambda's variable."""
+    inner = coerce.trim(F.substr(raw, F.lit(2), F.length(raw) - 2))
+    rule = F.startswith(raw, F.lit("+")) & raw.rlike(r"^\+.*\+\z") & F.replace(inner, F.lit("+"), F.lit("")).rlike(r"^-+\z")
+    cell = F.startswith(raw, F.lit("|")) & F.endswith(raw, F.lit("|"))
+    return F.when(rule, F.lit(None).cast("string")).when(cell, inner).otherwise(raw), rule | cell
+
+
 def plan_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, line, boxed``: frames that a command-line client draws are taken off."""
-    text = F.regexp_replace("text", r"\r\n?", "\n")
-    lines = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "_raw")).withColumn(
-        "_raw", trim_end(F.col("_raw"))
-    )
-    inner = coerce.trim(F.substr(F.col("_raw"), F.lit(2), F.length("_raw") - 2))
-    rule = F.col("_raw").rlike(r"^\+.*\+\z") & F.replace(inner, F.lit("+"), F.lit("")).rlike(r"^-+\z")
-    cell = F.startswith("_raw", F.lit("|")) & F.endswith("_raw", F.lit("|"))
-    boxed = lines.withColumn("_rule", rule).withColumn("_cell", cell)
-    return boxed.select(
+    """``doc_id, has_tree, has_views, line_no, line, boxed``: frames that a command-line client draws are taken off.
+
+    Whether a document has a tree line or reports materialised views is asked of the document, while it is one row.
+    """
+    text = F.when(F.contains("text", F.lit("\r")), F.regexp_replace("text", r"\r\n?", "\n")).otherwise(F.col("text"))
+
+    def is_tree(raw: Column) -> Column:
+        line = coerce.once(trim_end(raw), lambda r: _unframed(r)[0])
+        return F.contains(raw, F.lit("]||")) & coerce.once(line, lambda x: _tree_marks(x)[1])
+
+    # a document is small beside the work on its lines, and a file may come as one split
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = docs.select("doc_id", "text").repartition(width, "doc_id").select("doc_id", "text", F.split(text, "\n").alias("_all"))
+    asked = whole.select(
         "doc_id",
-        "line_no",
-        F.when(F.col("_rule"), F.lit(None)).when(F.col("_cell"), inner).otherwise(F.col("_raw")).alias("line"),
-        (F.col("_rule") | F.col("_cell")).alias("boxed"),
+        F.exists("_all", is_tree).alias("has_tree"),
+        # the word holds no character that a frame or a line end is made of
+        F.contains(F.upper("text"), F.lit("MATERIALIZATION")).alias("has_views"),
+        "_all",
+    )
+    lines = asked.select("doc_id", "has_tree", "has_views", F.posexplode("_all").alias("line_no", "_raw"))
+    line, boxed = _unframed(F.col("_raw"))
+    return lines.withColumn("_raw", trim_end(F.col("_raw"))).select(
+        "doc_id", "has_tree", "has_views", "line_no", line.alias("line"), boxed.alias("boxed")
     )
 
 
 def tree_rest(line: Column) -> Column:
-    return F.ltrim(F.regexp_replace(line, "^-+", ""))
+    return F.ltrim(F.when(F.startswith(line, F.lit("-")), F.regexp_replace(line, "^-+", "")).otherwise(line))
+
+
+def _tree_marks(line: Column) -> tuple[Column, Column]:
+    """Whether a line looks like a tree node, and whether it is one."""
+    rest = tree_rest(line)
+    looks = F.coalesce(F.contains(line, F.lit("]||")) & F.startswith(rest, F.lit("[")) & F.contains(rest, F.lit("]||")), F.lit(False))
+    header = F.when(looks, coerce.trim(F.substring_index(rest, "||", 1)))
+    return looks, F.coalesce(header.rlike(_TREE_HEADER), F.lit(False))
 
 
 def with_form(lines: DataFrame) -> DataFrame:
     """Add ``is_tree_line`` (a tree node), ``bad_header`` and ``form`` (tree wins over plan)."""
-    rested = lines.withColumn("_rest", tree_rest(F.col("line")))
-    looks = F.coalesce(F.startswith("_rest", F.lit("[")) & F.contains("_rest", F.lit("]||")), F.lit(False))
-    header = F.when(looks, coerce.trim(F.substring_index("_rest", "||", 1)))
-    known = F.coalesce(header.rlike(_TREE_HEADER), F.lit(False))
-    marked = rested.withColumn("is_tree_line", known).withColumn("bad_header", looks & ~F.col("is_tree_line")).drop("_rest")
-    has_tree = F.max("is_tree_line").over(whole_doc())
-    return marked.withColumn("form", F.when(has_tree, "tree").otherwise("plan"))
+    looks, known = _tree_marks(F.col("line"))
+    marked = lines.withColumn("_looks", looks).withColumn("is_tree_line", known)
+    marked = marked.withColumn("bad_header", F.col("_looks") & ~F.col("is_tree_line")).drop("_looks")
+    return marked.withColumn("form", F.when(F.col("has_tree"), "tree").otherwise("plan")).drop("has_tree")
 
 
 def tree_segments(line: Column) -> Column:
-    return F.filter(F.transform(F.split(tree_rest(line), r"\|\|"), coerce.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(tree_rest(line), r"\|\|"), coerce.trimmed), lambda s: s != "")
 
 
 def tree_header(segments: Column) -> tuple[Column, Column, Column]:

@@ -16,7 +16,7 @@ from querylens.plans.graph import (
     fragment_summary,
 )
 from querylens.plans.keyvalues import lookup
-from querylens.plans.lines import by_doc, whole_doc, plan_lines, with_form
+from querylens.plans.lines import by_doc, plan_lines, with_form
 from querylens.plans.nodes import document_status, is_fragment_header, parse_nodes
 from querylens.session import stage
 
@@ -30,8 +30,7 @@ def materializations(lines: DataFrame) -> DataFrame:
 
     A reason belongs to the failure right before it; of several in a row the last one counts.
     """
-    told = F.max(F.coalesce(F.contains(F.upper("line"), F.lit("MATERIALIZATION")), F.lit(False))).over(whole_doc())
-    rows = lines.where(F.col("line").isNotNull()).withColumn("_told", told).where("_told")
+    rows = lines.where(F.col("line").isNotNull() & F.col("has_views"))
     text = coerce.trim(F.col("line"))
     rows = rows.select(
         "doc_id",

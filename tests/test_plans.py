@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from querylens.plans import graph, nodes, signals
+from querylens.plans import graph, lines, nodes, signals
 
 def tree_lines(node, depth=0):
     """A tree-form document from nested (id, operator, fragment, facts, children)."""
@@ -133,3 +133,12 @@ def test_operator_lists(spark, result):
     assert kept == ["VMERGING-EXCHANGE", "VOlapScanNode(31)"]
     depths = [r.depth for r in nodes.select_fragment(result.nodes.where("doc_id = 1"), 2).orderBy("node_seq").collect()]
     assert depths == [0, 1]
+
+
+def test_form_is_asked_of_documents(spark):
+    """Lines carry their document's form and whether it reports views without being gathered by document again."""
+    texts = {0: FAN_IN, 1: LEDGER, 2: BOXED, 3: "+ ]|| +\n|  " + USED.split("\n")[0] + " |\n| Materializations |", 4: ""}
+    found = lines.with_form(lines.plan_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    told = {r.doc_id: (r.form, r.has_views, r.is_tree_line) for r in found.where("line_no = 0").collect()}
+    assert told == {0: ("tree", False, True), 1: ("plan", True, False), 2: ("plan", False, False), 3: ("tree", True, False), 4: ("plan", False, False)}
