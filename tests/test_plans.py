@@ -142,3 +142,7 @@ def test_form_is_asked_of_documents(spark):
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
     told = {r.doc_id: (r.form, r.has_views, r.is_tree_line) for r in found.where("line_no = 0").collect()}
     assert told == {0: ("tree", False, True), 1: ("plan", True, False), 2: ("plan", False, False), 3: ("tree", True, False), 4: ("plan", False, False)}
+
+
+def test_exchange_ends_are_staged(result):
+    assert "plan-ends" in " ".join(result.edges.inputFiles())
